@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language_id import op5_language_id
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
