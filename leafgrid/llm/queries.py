@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op5_language_id
+from .secret_scan import op7_secret_scan
 from .toxicity import op6_toxicity
 
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
