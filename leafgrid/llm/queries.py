@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .language_id import op5_language_id
+from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
