@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
 from .language_id import op5_language_id
 from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
@@ -9,6 +10,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
