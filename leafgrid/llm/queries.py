@@ -7,6 +7,7 @@ from .language_id import op5_language_id
 from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
 from .toxicity import op6_toxicity
+from .weighted_fingerprint import op9_weighted_fingerprint
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op9_weighted_fingerprint": op9_weighted_fingerprint,
 }
 
 ORACLES: dict[str, str] = {}
