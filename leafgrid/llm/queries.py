@@ -6,10 +6,12 @@ from .decontamination import op4_decontamination
 from .language_id import op5_language_id
 from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
+from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op6_toxicity
 from .weighted_fingerprint import op9_weighted_fingerprint
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
