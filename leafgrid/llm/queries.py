@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .jaccard_join import op10_jaccard_join
 from .language_id import op5_language_id
 from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op9_weighted_fingerprint": op9_weighted_fingerprint,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
