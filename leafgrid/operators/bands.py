@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, normal_noise, quantise, safe_div
 
-IMAGE = Window.partitionBy("image_id")
-ALONG_X = Window.partitionBy("image_id", "y").orderBy("x")
-ALONG_Y = Window.partitionBy("image_id", "x").orderBy("y")
 BANDS = ("Blue", "Green", "Red", "RedEdge", "NIR")
 
 
+def whole_image():
+    return Window.partitionBy("image_id")
+
+
+def along_x():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_y():
+    return Window.partitionBy("image_id", "x").orderBy("y")
+
+
 def by_image(pixels: DataFrame) -> DataFrame:
     """The one shuffle of the pixel pipeline."""
     return pixels.repartition("image_id")
@@ -24,7 +33,7 @@ def by_image(pixels: DataFrame) -> DataFrame:
 
 def normalise(pixels: DataFrame, clipped: bool = True) -> DataFrame:
     """Columns rn, gn, bn: divided by 255 if the largest value of the whole image is over 1."""
-    peak = F.max(F.greatest("r", "g", "b")).over(IMAGE)
+    peak = F.max(F.greatest("r", "g", "b")).over(whole_image())
     scaled = pixels.withColumn("_peak", peak)
     unit = lambda c: F.when(F.col("_peak") > 1, F.col(c) / F.lit(255.0)).otherwise(F.col(c).cast("double"))
     return scaled.withColumns({c + "n": clip(unit(c), 0, 1) if clipped else unit(c) for c in "rgb"}).drop("_peak")
@@ -32,7 +41,7 @@ def normalise(pixels: DataFrame, clipped: bool = True) -> DataFrame:
 
 def stretch(pixels: DataFrame, name: str) -> DataFrame:
     """Min-max of a column within each image; a constant image is 0 everywhere."""
-    low = pixels.withColumn("_low", F.min(name).over(IMAGE)).withColumn("_peak", F.max(name).over(IMAGE))
+    low = pixels.withColumn("_low", F.min(name).over(whole_image())).withColumn("_peak", F.max(name).over(whole_image()))
     return low.withColumn(name, safe_div(F.col(name) - F.col("_low"), F.col("_peak") - F.col("_low") + F.lit(1e-6))).drop("_low", "_peak")
 
 
@@ -52,7 +61,7 @@ def _smooth(value: str, order: Window) -> Column:
 
 def gaussian(pixels: DataFrame, name: str) -> DataFrame:
     """5 x 5 binomial smoothing, one axis after the other, the border mirrored without repeating the edge."""
-    return pixels.withColumn(name, _smooth(name, ALONG_X)).withColumn(name, _smooth(name, ALONG_Y))
+    return pixels.withColumn(name, _smooth(name, along_x())).withColumn(name, _smooth(name, along_y()))
 
 
 def vegetation_probability(pixels: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import above, mask255
-from .bands import ALONG_X, ALONG_Y, by_image, excess_green, normalise
+from .bands import along_x, along_y, by_image, excess_green, normalise
 
 
 def _sweep(pixels: DataFrame, name: str, k: int, pick) -> DataFrame:
     low, high = -(k // 2), k - 1 - k // 2
-    across = pixels.withColumn(name, pick(name).over(ALONG_X.rangeBetween(low, high)))
-    return across.withColumn(name, pick(name).over(ALONG_Y.rangeBetween(low, high)))
+    across = pixels.withColumn(name, pick(name).over(along_x().rangeBetween(low, high)))
+    return across.withColumn(name, pick(name).over(along_y().rangeBetween(low, high)))
 
 
 def erode(pixels: DataFrame, name: str = "mask", k: int = 5) -> DataFrame:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import label_image
+from ..functions.geometry import rings as ring_rows
 from ..functions.scratch import scratch
-from .bands import ALONG_X, ALONG_Y
+from .bands import along_x, along_y
 
 
 def runs(mask: DataFrame) -> DataFrame:
     """Foreground runs of each scan line: image_id, y, x0, x1."""
-    on = mask.where("mask > 0").withColumn("_island", F.col("x") - F.row_number().over(ALONG_X))
+    on = mask.where("mask > 0").withColumn("_island", F.col("x") - F.row_number().over(along_x()))
     return on.groupBy("image_id", "y", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_island")
 
 
@@ -27,36 +27,10 @@ def run_edges(run: DataFrame) -> DataFrame:
     return a.join(b, ["image_id", "below_y"]).where(meet).select("image_id", "y", "x0", "below_x0")
 
 
-def _label_image(frame: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Union-find over the runs of one image; the label is the smallest y * width + x of the object."""
-    frame = frame.sort_values(["y", "x0"], ignore_index=True)
-    y, x0, x1 = (frame[c].to_numpy() for c in ("y", "x0", "x1"))
-    parent = np.arange(len(frame))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    first = {int(v): int(k) for k, v in zip(*np.unique(y, return_index=True)[::-1], strict=True)}
-    for k in range(len(frame)):
-        j = first.get(int(y[k]) + 1)
-        while j is not None and j < len(frame) and y[j] == y[k] + 1 and x0[j] <= x1[k] + 1:
-            if x1[j] >= x0[k] - 1:
-                p, q = sorted((root(k), root(j)))
-                parent[q] = p
-            j += 1
-    roots = np.array([root(k) for k in range(len(frame))], dtype=np.int64)
-    starts = y.astype(np.int64) * width + x0
-    least = pd.Series(starts).groupby(roots).transform("min") if len(frame) else pd.Series([], dtype="int64")
-    return frame.assign(label=least.astype("int64"))
-
-
 def components(run: DataFrame, width: int) -> DataFrame:
     """Label the runs of each image: one shuffle on the image, work on runs and not on pixels."""
     schema = "image_id bigint, y int, x0 int, x1 int, label bigint"
-    return run.select("image_id", "y", "x0", "x1").groupBy("image_id").applyInPandas(lambda f: _label_image(f, width), schema)
+    return run.select("image_id", "y", "x0", "x1").groupBy("image_id").applyInPandas(lambda f: label_image(f, width), schema)
 
 
 def components_by_joins(run: DataFrame, width: int) -> DataFrame:
@@ -94,11 +68,11 @@ def object_statistics(labelled: DataFrame) -> DataFrame:
     return (
         labelled.groupBy("image_id", "label")
         .agg(
-            F.sum(n).alias("area"), F.min("x0").alias("bx"), F.min("y").alias("by"), F.max("x1").alias("_mx"), F.max("y").alias("_my"),
+            F.sum(n).alias("area"), F.min("x0").alias("x_min"), F.min("y").alias("y_min"), F.max("x1").alias("_mx"), F.max("y").alias("_my"),
             F.sum(n * (F.col("x0") + F.col("x1"))).alias("_sx"), F.sum(n * F.col("y")).alias("_sy"),
         )
         .select(
-            "image_id", "label", "area", "bx", "by", (F.col("_mx") - F.col("bx") + 1).alias("bw"), (F.col("_my") - F.col("by") + 1).alias("bh"),
+            "image_id", "label", "area", "x_min", "y_min", (F.col("_mx") - F.col("x_min") + 1).alias("w"), (F.col("_my") - F.col("y_min") + 1).alias("h"),
             (F.col("_sx") / 2 / F.col("area")).alias("cx"), (F.col("_sy") / F.col("area")).alias("cy"),
         )
     )
@@ -122,87 +96,28 @@ def object_counts(images: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def box_outline(pixels: DataFrame, objects: DataFrame) -> DataFrame:
     """Pixels on the one-pixel outline of detection boxes, from (x, y) to (x + w, y + h) inclusive."""
-    box = objects.select("image_id", "label", "bx", "by", (F.col("bx") + F.col("bw")).alias("ex"), (F.col("by") + F.col("bh")).alias("ey"))
-    inside = F.col("x").between(F.col("bx"), F.col("ex")) & F.col("y").between(F.col("by"), F.col("ey"))
-    edge = F.col("x").isin(F.col("bx"), F.col("ex")) | F.col("y").isin(F.col("by"), F.col("ey"))
+    box = objects.select("image_id", "label", "x_min", "y_min", (F.col("x_min") + F.col("w")).alias("ex"), (F.col("y_min") + F.col("h")).alias("ey"))
+    inside = F.col("x").between(F.col("x_min"), F.col("ex")) & F.col("y").between(F.col("y_min"), F.col("ey"))
+    edge = F.col("x").isin(F.col("x_min"), F.col("ex")) | F.col("y").isin(F.col("y_min"), F.col("ey"))
     return pixels.select("image_id", "x", "y").join(box, "image_id").where(inside & edge).select("image_id", "label", "x", "y")
 
 
 def boundary(mask: DataFrame) -> DataFrame:
     """Foreground pixels with a background or missing neighbour on one of four sides."""
-    sides = [F.lag("mask").over(ALONG_X), F.lead("mask").over(ALONG_X), F.lag("mask").over(ALONG_Y), F.lead("mask").over(ALONG_Y)]
+    sides = [F.lag("mask").over(along_x()), F.lead("mask").over(along_x()), F.lag("mask").over(along_y()), F.lead("mask").over(along_y())]
     flagged = mask.withColumns({f"_s{k}": s for k, s in enumerate(sides)})
     open_side = F.least(*[F.coalesce(f"_s{k}", F.lit(0)) for k in range(4)]) == 0
     return flagged.where((F.col("mask") > 0) & open_side).select("image_id", "x", "y")
 
 
-_AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
-
-
-def trace(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Outer ring of one object, clockwise from its first pixel in scan order (Moore neighbours)."""
-    start = min(cells, key=lambda p: (p[1], p[0]))
-    ring, here, heading = [start], start, 6
-    first_move = None
-    while True:
-        for turn in range(8):
-            side = (heading + 6 + turn) % 8
-            dx, dy = _AROUND[side]
-            if (here[0] + dx, here[1] + dy) in cells:
-                break
-        else:
-            return ring
-        if here == start and side == first_move:
-            return ring[:-1] if len(ring) > 1 else ring
-        if here == start and first_move is None:
-            first_move = side
-        here, heading = (here[0] + dx, here[1] + dy), side
-        ring.append(here)
-
-
-def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Closed Douglas-Peucker: split at the vertex farthest from the first, keep what deviates by more than ``tolerance``."""
-    if len(ring) < 3:
-        return ring
-    far = int(((ring - ring[0]) ** 2).sum(1).argmax())
-    closed = np.vstack([ring, ring[:1]])
-    keep = np.zeros(len(closed), bool)
-    keep[[0, far, -1]] = True
-    stack = [(0, far), (far, len(closed) - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        way, rest = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
-        size = np.hypot(*way)
-        off = np.abs(way[0] * rest[:, 1] - way[1] * rest[:, 0]) / size if size else np.hypot(*rest.T)
-        k = int(off.argmax())
-        if off[k] > tolerance:
-            keep[a + 1 + k] = True
-            stack += [(a, a + 1 + k), (a + 1 + k, b)]
-    return closed[:-1][keep[:-1]]
-
-
-def ring_length(ring: np.ndarray) -> float:
-    return float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
-
-
-def _rings(frame: pd.DataFrame, factor: float | None) -> pd.DataFrame:
-    cells = {(x, y) for y, x0, x1 in zip(frame["y"].tolist(), frame["x0"].tolist(), frame["x1"].tolist(), strict=True) for x in range(x0, x1 + 1)}
-    ring = np.array(trace(cells), dtype=np.int64).reshape(-1, 2)
-    if factor is not None:
-        ring = simplify(ring.astype(float), factor * ring_length(ring)).astype(np.int64)
-    return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "label": frame["label"].iloc[0], "seq": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0].astype(np.int32), "y": ring[:, 1].astype(np.int32)})
-
-
 def contours(labelled: DataFrame) -> DataFrame:
     """Ordered outer ring of each object, holes ignored: image_id, label, seq, x, y."""
-    return labelled.groupBy("image_id", "label").applyInPandas(lambda f: _rings(f, None), "image_id bigint, label bigint, seq int, x int, y int")
+    return labelled.groupBy("image_id", "label").applyInPandas(lambda f: ring_rows(f, None), "image_id bigint, label bigint, seq int, x int, y int")
 
 
 def simplified_contours(labelled: DataFrame, epsilon_factor: float = 0.003) -> DataFrame:
     """Rings simplified with a tolerance of ``epsilon_factor`` times their length."""
-    return labelled.groupBy("image_id", "label").applyInPandas(lambda f: _rings(f, epsilon_factor), "image_id bigint, label bigint, seq int, x int, y int")
+    return labelled.groupBy("image_id", "label").applyInPandas(lambda f: ring_rows(f, epsilon_factor), "image_id bigint, label bigint, seq int, x int, y int")
 
 
 def perimeter(rings: DataFrame, keys: list[str]) -> DataFrame:

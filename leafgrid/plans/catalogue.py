@@ -1,6 +1,635 @@
-"""Registered queries over the given tables and their DuckDB SQL."""
+"""Registered queries over the given tables and their DuckDB SQL. Keys are operator ids with short names."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..functions.scratch import scratch
+from ..operators import audit, bands, catalog, indices, materials, morphology, objects, sensors
+from ..sources import pixels as images
+from ..sources import sinks
+from ..streaming.ingest import ingest
+from . import fixtures as fx
+from . import jobs
+from .fixtures import with_
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+W = fx.WIDTH
+MIN_AREA = 50
+PALETTE = [(0, 48, 18, 59), (64, 70, 200, 220), (128, 164, 252, 60), (192, 251, 126, 33), (255, 122, 4, 3)]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def clip_sql(v: str, low: str = "0", high: str = "1") -> str:
+    return fx._clip(v, low, high)
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def finite(v):
+    """NaN to null, so that engines agree on how to print it."""
+    return F.when(~F.isnan(v), v)
+
+
+def new_folder(spark) -> str:
+    return f"{scratch(spark)}/out-{uuid.uuid4().hex}"
+
+
+# ---- bands ----------------------------------------------------------------------------------------------------------
+
+PX = "image_id, x, y"
+
+
+@query("p1_normalise", with_("units") + f"SELECT {PX}, {', '.join(clip_sql(c + 'n') + f' AS {c}n' for c in 'rgb')} FROM units")
+def _(spark, d):
+    return bands.normalise(bands.by_image(fx.pixels(spark, d))).select("image_id", "x", "y", "rn", "gn", "bn")
+
+
+@query("p2_normalise_unclipped", with_("units") + f"SELECT {PX}, rn, gn, bn FROM units")
+def _(spark, d):
+    return bands.normalise(bands.by_image(fx.pixels(spark, d)), clipped=False).select("image_id", "x", "y", "rn", "gn", "bn")
+
+
+@query("p3_excess_green", with_("exg") + f"SELECT {PX}, exg FROM exg")
+def _(spark, d):
+    return bands.excess_green(bands.normalise(bands.by_image(fx.pixels(spark, d)))).select("image_id", "x", "y", "exg")
+
+
+@query("w1_gaussian", with_("blur") + f"SELECT {PX}, blur FROM blur")
+def _(spark, d):
+    px = bands.excess_green(bands.normalise(bands.by_image(fx.pixels(spark, d))))
+    return bands.gaussian(px.withColumnRenamed("exg", "blur"), "blur").select("image_id", "x", "y", "blur")
+
+
+@query("p4_vegetation_probability", with_("veg") + f"SELECT {PX}, veg FROM veg")
+def _(spark, d):
+    return bands.vegetation_probability(bands.normalise(bands.by_image(fx.pixels(spark, d)))).select("image_id", "x", "y", "veg")
+
+
+for _name, _cols in (("p5_visible_bands", ("blue", "green", "red")), ("p6_red_edge", ("red_edge",)), ("p7_nir", ("nir",))):
+    query(_name, with_("bands") + f"SELECT {PX}, {', '.join(_cols)} FROM bands")(lambda spark, d, cols=_cols: jobs.index_table(fx.pixels(spark, d)).select("image_id", "x", "y", *cols))
+
+BATCH = with_("pixels") + ", batch AS (SELECT image_id, x, y, r, g, r / CAST(255 AS DOUBLE) AS red, " + clip_sql("(g / CAST(255 AS DOUBLE) * CAST(1.6 AS DOUBLE) - r / CAST(255 AS DOUBLE) * CAST(0.4 AS DOUBLE) + CAST(0.1 AS DOUBLE))") + " AS nir FROM pixels), ndvi AS (SELECT *, (nir - red) / (nir + red + CAST(1e-8 AS DOUBLE)) AS ndvi FROM batch) "
+
+
+@query("p8_batch_nir", BATCH + f"SELECT {PX}, nir FROM batch")
+def _(spark, d):
+    return bands.batch_nir(fx.pixels(spark, d)).select("image_id", "x", "y", "nir")
+
+
+@query("p10_batch_ndvi", BATCH + f"SELECT {PX}, ndvi FROM ndvi")
+def _(spark, d):
+    return jobs.batch_index(fx.pixels(spark, d)).select("image_id", "x", "y", "ndvi")
+
+
+@query("a1_index_statistics", BATCH + "SELECT image_id, min(ndvi) AS minimum, max(ndvi) AS maximum, round(avg(ndvi), 6) AS mean, round(stddev_pop(ndvi), 6) AS std FROM ndvi GROUP BY image_id")
+def _(spark, d):
+    return r6(jobs.batch_statistics(fx.pixels(spark, d)), "mean", "std")
+
+
+# ---- indices on reflectance samples ---------------------------------------------------------------------------------
+
+E8, KEY = "CAST(1e-8 AS DOUBLE)", ["image_id", "l_orderkey", "l_linenumber"]
+INDEX_SQL = {
+    "ndvi": clip_sql(f"((nir - red) / (nir + red + {E8}))", "-1", "1"),
+    "gndvi": clip_sql(f"((nir - green) / (nir + green + {E8}))", "-1", "1"),
+    "savi": clip_sql("((nir - red) / (nir + red + CAST(0.5 AS DOUBLE)) * CAST(1.5 AS DOUBLE))", "-1", "1"),
+    "msavi": clip_sql("((nir * 2 + 1 - sqrt((nir * 2 + 1) * (nir * 2 + 1) - (nir - red) * 8)) / 2)", "-1", "1"),
+    "evi": clip_sql("((nir - red) * CAST(2.5 AS DOUBLE) / (nir + red * CAST(6 AS DOUBLE) - blue * CAST(7.5 AS DOUBLE) + CAST(1 AS DOUBLE)))", "-1", "1"),
+}
+ALL_SQL = ", ".join(f"{v} AS {k}" for k, v in INDEX_SQL.items())
+STACK = with_("samples") + f", stack AS (SELECT {', '.join(KEY)}, {ALL_SQL} FROM samples) "
+LONG = STACK + ", long AS (" + " UNION ALL ".join(f"SELECT {', '.join(KEY)}, '{n}' AS \"index\", {n} AS value FROM stack" for n in INDEX_SQL) + ") "
+
+for _id, _n in (("p9", "ndvi"), ("p11", "gndvi"), ("p12", "savi"), ("p13", "msavi"), ("p14", "evi")):
+    query(f"{_id}_{_n}", STACK + f"SELECT {', '.join(KEY)}, {_n} FROM stack")(lambda spark, d, n=_n: indices.with_indices(fx.samples(spark, d), [n]).select(*KEY, n))
+
+
+@query(
+    "p13_msavi_out_of_range",
+    with_("tiles") + ", m AS (SELECT *, (nir * 2 + 1) * (nir * 2 + 1) - (nir - red) * 8 AS rad FROM tiles) SELECT image_id, x, y, CASE WHEN rad < 0 THEN NULL ELSE " + clip_sql("((nir * 2 + 1 - sqrt(abs(rad))) / 2)", "-1", "1") + " END AS msavi, " + INDEX_SQL["ndvi"] + " AS ndvi FROM m",
+)
+def _(spark, d):
+    t = fx.tiles(spark, d)
+    return t.select("image_id", "x", "y", finite(X.msavi(F.col("red"), F.col("nir"))).alias("msavi"), X.ndvi(F.col("red"), F.col("nir")).alias("ndvi"))
+
+
+@query("p15_index_code", STACK + f"SELECT {', '.join(KEY)}, (ndvi + 1) / 2 AS unit, CAST(trunc(CAST(255 AS DOUBLE) * ((ndvi + 1) / 2)) AS INTEGER) AS code FROM stack")
+def _(spark, d):
+    t = indices.with_indices(fx.samples(spark, d), ["ndvi"])
+    return t.select(*KEY, X.index_unit(F.col("ndvi")).alias("unit"), X.index_code(F.col("ndvi")).alias("code"))
+
+
+@query("p16_preview", BATCH + f"SELECT {PX}, " + clip_sql("((ndvi + CAST(0.2 AS DOUBLE)) / CAST(1.2 AS DOUBLE))") + " AS preview FROM ndvi")
+def _(spark, d):
+    return jobs.batch_index(fx.pixels(spark, d)).select("image_id", "x", "y", X.preview(F.col("ndvi")).alias("preview"))
+
+
+PALETTE_SQL = "stops AS (SELECT * FROM (VALUES " + ", ".join(str((*a, *b)) for a, b in zip(PALETTE, PALETTE[1:], strict=False)) + ") t(c0, r0, g0, b0, c1, r1, g1, b1)), palette AS (SELECT CAST(range AS INTEGER) AS code, " + ", ".join(f"CAST(trunc({c}0 + ({c}1 - {c}0) * (range - c0) / CAST(c1 - c0 AS DOUBLE)) AS INTEGER) AS p{c}" for c in "rgb") + " FROM range(256), stops WHERE range >= c0 AND (range < c1 OR (range = 255 AND c1 = 255))) "
+
+
+@query("p17_colour_map", BATCH + ", " + PALETTE_SQL + f", coded AS (SELECT *, CAST(trunc(CAST(255 AS DOUBLE) * {clip_sql('((ndvi + 1) / 2)')}) AS INTEGER) AS code FROM ndvi) SELECT {PX}, code, pr, pg, pb FROM coded JOIN palette USING (code)")
+def _(spark, d):
+    palette = indices.palette_from_stops(spark, PALETTE)
+    return indices.colourise(jobs.batch_index(fx.pixels(spark, d)), "ndvi", palette).select("image_id", "x", "y", "code", "pr", "pg", "pb")
+
+
+def q_sql(v: str, levels: int) -> str:
+    return f"CAST(trunc(CAST({levels} AS DOUBLE) * {clip_sql(v)}) AS INTEGER)"
+
+
+@query("p18_quantise", with_("tiles") + f"SELECT image_id, x, y, {q_sql('red', 255)} AS red8, {q_sql('red', 65535)} AS red16 FROM tiles")
+def _(spark, d):
+    return fx.tiles(spark, d).select("image_id", "x", "y", X.quantise(F.col("red")).alias("red8"), X.quantise(F.col("red"), 65535).alias("red16"))
+
+
+@query("p19_noise")
+def _(spark, d):
+    return bands.add_noise(jobs.index_table(fx.pixels(spark, d)), "nir", std=0.01, seed=42).select("image_id", "x", "y", "nir")
+
+
+@query("p26_selected_indices", STACK + f"SELECT {', '.join(KEY)}, gndvi, evi FROM stack")
+def _(spark, d):
+    return indices.with_indices(fx.samples(spark, d), ["gndvi", "evi"]).select(*KEY, "gndvi", "evi")
+
+
+@query("p27_index_stack", LONG + f"SELECT {', '.join(KEY)}, \"index\", value FROM long")
+def _(spark, d):
+    return indices.long_indices(fx.samples(spark, d), KEY)
+
+
+@query("f10_index_audit", LONG + 'SELECT "index", count(*) AS n, count(*) FILTER (WHERE isnan(value)) AS n_nan, count(*) FILTER (WHERE NOT isnan(value) AND value NOT BETWEEN -1 AND 1) AS n_outside FROM long GROUP BY "index"')
+def _(spark, d):
+    return audit.index_audit(indices.long_indices(fx.samples(spark, d), KEY))
+
+
+@query("a1_sample_statistics", LONG + 'SELECT image_id, "index", min(value) AS minimum, max(value) AS maximum, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM long GROUP BY image_id, "index"')
+def _(spark, d):
+    return r6(audit.statistics(indices.long_indices(fx.samples(spark, d), KEY), "value", ("image_id", "index")), "mean", "std")
+
+
+@query("p27_pixel_index_means", with_("bands") + f", s AS (SELECT image_id, {ALL_SQL} FROM bands) SELECT image_id, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in INDEX_SQL) + " FROM s GROUP BY image_id")
+def _(spark, d):
+    table = indices.with_indices(jobs.index_table(fx.pixels(spark, d)))
+    return table.groupBy("image_id").agg(*[F.round(F.avg(n), 6).alias(n) for n in INDEX_SQL])
+
+
+@query("a2_image_extrema", with_("pixels") + "SELECT image_id, min(least(r, g, b)) AS low, max(greatest(r, g, b)) AS high FROM pixels GROUP BY image_id")
+def _(spark, d):
+    return audit.extrema(fx.pixels(spark, d))
+
+
+# ---- masks ----------------------------------------------------------------------------------------------------------
+
+
+@query("f3_vegetation_threshold", with_("raw_mask") + f"SELECT {PX}, mask FROM raw_mask")
+def _(spark, d):
+    return morphology.raw_vegetation_mask(fx.pixels(spark, d)).select("image_id", "x", "y", "mask")
+
+
+@query("f4_batch_canopy", BATCH + f"SELECT {PX}, CASE WHEN ndvi > CAST(0.35 AS DOUBLE) AND g > r THEN 255 ELSE 0 END AS mask FROM ndvi")
+def _(spark, d):
+    return jobs.batch_canopy(fx.pixels(spark, d)).select("image_id", "x", "y", "mask")
+
+
+@query("f5_binary_mask", with_("tiles") + "SELECT image_id, x, y, CAST(red > CAST(0.1 AS DOUBLE) AS INTEGER) AS mask FROM tiles")
+def _(spark, d):
+    return fx.tiles(spark, d).select("image_id", "x", "y", X.above(F.col("red"), 0.1).cast("int").alias("mask"))
+
+
+@query("f6_canopy_mask", STACK + f"SELECT {', '.join(KEY)}, CAST(ndvi > CAST(0.35 AS DOUBLE) AS INTEGER) AS mask FROM stack")
+def _(spark, d):
+    return indices.with_indices(fx.samples(spark, d), ["ndvi"]).select(*KEY, X.above(F.col("ndvi"), 0.35).cast("int").alias("mask"))
+
+
+for _name, _f, _cte in (
+    ("w2_erode", morphology.erode, fx.SQL["raw_mask"] + ", " + fx._sweep("raw_mask", "done", "min")),
+    ("w3_dilate", morphology.dilate, fx.SQL["raw_mask"] + ", " + fx._sweep("raw_mask", "done", "max")),
+    ("w4_open", morphology.opening, fx.SQL["opened"] + ", done AS (SELECT * FROM opened)"),
+    ("w5_close", morphology.closing, fx.SQL["raw_mask"] + ", " + fx._sweep("raw_mask", "di", "max") + ", " + fx._sweep("di", "done", "min")),
+):
+    query(_name, "WITH " + _cte + f" SELECT {PX}, mask FROM done")(lambda spark, d, f=_f: f(morphology.raw_vegetation_mask(fx.pixels(spark, d))).select("image_id", "x", "y", "mask"))
+
+
+@query("w6_vegetation_mask", with_("closed") + f"SELECT {PX}, mask FROM closed")
+def _(spark, d):
+    return morphology.vegetation_mask(fx.pixels(spark, d)).select("image_id", "x", "y", "mask")
+
+
+@query("w6_tiled_vegetation_mask", with_("closed") + f"SELECT {PX}, mask FROM closed")
+def _(spark, d):
+    return morphology.tiled_vegetation_mask(fx.pixels(spark, d), size=16)
+
+
+@query("a9_mask_values", with_("closed") + "SELECT image_id, mask AS value, count(*) AS n FROM closed GROUP BY image_id, mask")
+def _(spark, d):
+    return audit.distinct_values(morphology.vegetation_mask(fx.pixels(spark, d)))
+
+
+@query("u3_allowed_values", with_("closed") + "SELECT mask AS value, count(*) AS n FROM closed WHERE mask NOT IN (0, 1) GROUP BY mask")
+def _(spark, d):
+    return audit.disallowed(morphology.vegetation_mask(fx.pixels(spark, d)), (0, 1))
+
+
+# ---- objects --------------------------------------------------------------------------------------------------------
+
+
+def _runs(spark, d):
+    return objects.runs(morphology.vegetation_mask(fx.pixels(spark, d)))
+
+
+def _labelled(spark, d):
+    return objects.components(_runs(spark, d), W)
+
+
+@query("w7_runs", with_("runs") + "SELECT image_id, y, x0, x1 FROM runs")
+def _(spark, d):
+    return _runs(spark, d).select("image_id", "y", "x0", "x1")
+
+
+@query("j5_run_adjacency", with_("edges") + "SELECT image_id, y, x0, below_x0 FROM edges")
+def _(spark, d):
+    return objects.run_edges(_runs(spark, d))
+
+
+@query("g1_components", with_("labelled", True) + "SELECT image_id, y, x0, x1, label FROM labelled")
+def _(spark, d):
+    return _labelled(spark, d)
+
+
+@query("g1_components_by_joins", with_("labelled", True) + "SELECT image_id, y, x0, x1, label FROM labelled")
+def _(spark, d):
+    return objects.components_by_joins(_runs(spark, d), W)
+
+
+OBJ = "image_id, label, area, x_min, y_min, w, h, round(cx, 6) AS cx, round(cy, 6) AS cy"
+
+
+@query("a3_object_statistics", with_("objects", True) + f"SELECT {OBJ} FROM objects")
+def _(spark, d):
+    return r6(objects.object_statistics(_labelled(spark, d)), "cx", "cy")
+
+
+@query("f7_minimum_area", with_("objects", True) + f"SELECT {OBJ} FROM objects WHERE area >= {MIN_AREA}")
+def _(spark, d):
+    return r6(objects.at_least(objects.object_statistics(_labelled(spark, d)), MIN_AREA), "cx", "cy")
+
+
+@query("g2_filtered_mask", with_("objects", True) + f", keep AS (SELECT l.image_id, l.y, l.x0, l.x1 FROM labelled l JOIN objects o ON l.image_id = o.image_id AND l.label = o.label WHERE o.area >= {MIN_AREA}) SELECT c.image_id, c.x, c.y, CASE WHEN k.x0 IS NULL THEN 0 ELSE 255 END AS mask FROM closed c LEFT JOIN keep k ON c.image_id = k.image_id AND c.y = k.y AND c.x BETWEEN k.x0 AND k.x1")
+def _(spark, d):
+    labelled = _labelled(spark, d)
+    return objects.filtered_mask(fx.pixels(spark, d), labelled, objects.at_least(objects.object_statistics(labelled), MIN_AREA))
+
+
+@query("a4_object_counts", with_("labelled", True) + "SELECT s_suppkey AS image_id, count(DISTINCT label) AS n_objects FROM supplier LEFT JOIN labelled ON s_suppkey = image_id GROUP BY s_suppkey")
+def _(spark, d):
+    return objects.object_counts(fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id")), _labelled(spark, d))
+
+
+@query("j6_box_outline", with_("objects", True) + f"SELECT p.image_id, label, x, y FROM pixels p JOIN objects o ON p.image_id = o.image_id AND x BETWEEN x_min AND x_min + w AND y BETWEEN y_min AND y_min + h WHERE area >= {MIN_AREA} AND (x IN (x_min, x_min + w) OR y IN (y_min, y_min + h))")
+def _(spark, d):
+    return objects.box_outline(fx.pixels(spark, d), objects.at_least(objects.object_statistics(_labelled(spark, d)), MIN_AREA))
+
+
+_NEAR = ", ".join(f"coalesce({f}(mask) OVER (PARTITION BY {p} ORDER BY {o}), 0)" for p, o in (("image_id, y", "x"), ("image_id, x", "y")) for f in ("lag", "lead"))
+
+
+@query("g3_boundary_pixels", with_("closed") + f", near AS (SELECT image_id, x, y, mask, least({_NEAR}) AS side FROM closed) SELECT image_id, x, y FROM near WHERE mask > 0 AND side = 0")
+def _(spark, d):
+    return objects.boundary(morphology.vegetation_mask(fx.pixels(spark, d)))
+
+
+@query("g3_contours")
+def _(spark, d):
+    return objects.contours(_labelled(spark, d))
+
+
+@query("g4_perimeter", with_("polygons") + ", n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM polygons WINDOW w AS (PARTITION BY image_id ORDER BY seq)) SELECT image_id, round(sum(sqrt(CAST((nx - x) * (nx - x) + (ny - y) * (ny - y) AS DOUBLE))), 6) AS perimeter FROM n GROUP BY image_id")
+def _(spark, d):
+    return r6(objects.perimeter(fx.polygons(spark, d), ["image_id"]), "perimeter")
+
+
+@query("g5_simplified_contours")
+def _(spark, d):
+    return objects.simplified_contours(_labelled(spark, d))
+
+
+@query("g6_polygon_labels")
+def _(spark, d):
+    return objects.polygon_labels(_labelled(spark, d), W, W).select("image_id", "label", "line")
+
+
+@query("f8_minimum_points", with_("polygons") + "SELECT image_id, count(*) AS n_points FROM polygons GROUP BY image_id HAVING count(*) >= 10")
+def _(spark, d):
+    return objects.rings_as_arrays(fx.polygons(spark, d), ["image_id"]).select("image_id", F.size("points").cast("bigint").alias("n_points"))
+
+
+@query("p22_normalised_points", with_("polygons") + "SELECT image_id, seq, x / CAST(48 AS DOUBLE) AS nx, y / CAST(48 AS DOUBLE) AS ny FROM polygons WHERE image_id IN (SELECT image_id FROM polygons GROUP BY image_id HAVING count(*) >= 10)")
+def _(spark, d):
+    rings = objects.normalised_points(objects.rings_as_arrays(fx.polygons(spark, d), ["image_id"]), W, W)
+    at = rings.select("image_id", "values", F.posexplode("points").alias("seq", "_p"))
+    return at.select("image_id", "seq", F.get("values", F.col("seq") * 2).alias("nx"), F.get("values", F.col("seq") * 2 + 1).alias("ny"))
+
+
+@query("p23_label_lines", with_("polygons") + "SELECT image_id, '0 ' || string_agg(printf('%.6f %.6f', x / CAST(48 AS DOUBLE), y / CAST(48 AS DOUBLE)), ' ' ORDER BY seq) AS line FROM polygons GROUP BY image_id HAVING count(*) >= 10")
+def _(spark, d):
+    rings = objects.normalised_points(objects.rings_as_arrays(fx.polygons(spark, d), ["image_id"]), W, W)
+    return objects.label_lines(rings).select("image_id", "line")
+
+
+# ---- materials ------------------------------------------------------------------------------------------------------
+
+BAND_SQL = "(VALUES ('Red'), ('Green'), ('NIR')) b(band)"
+VALUE_SQL = "CASE band WHEN 'Red' THEN red WHEN 'Green' THEN green ELSE nir END"
+
+
+@query("s2_material_json", with_("materials") + "SELECT version, name, category, red, green, coalesce(nir, 0) AS nir, chlorophyll, water_content, lai, stress, CASE WHEN version % 10 = 3 THEN 'unknown key' WHEN version % 10 = 7 THEN 'not an object' END AS problem FROM materials WHERE version % 10 NOT IN (7)")
+def _(spark, d):
+    made = materials.to_json(fx.materials(spark, d)).select(F.col("version").cast("string").alias("path"), F.when(F.col("version") % 10 == 3, F.regexp_replace("body", "^\\{", '{"colour":1,')).when(F.col("version") % 10 == 7, F.lit("[1]")).otherwise(F.col("body")).alias("body"))
+    parsed = materials.parse_materials(made).where("problem is null or problem <> 'not an object'")
+    return parsed.select(F.col("path").cast("bigint").alias("version"), "name", "category", *[materials.reflectance(b).alias(b.lower()) for b in ("Red", "Green", "NIR")], *materials.SCALARS, "problem")
+
+
+@query("p24_reflectance_access", with_("materials") + "SELECT name, version, red, coalesce(nir, 0) AS nir, CAST(0 AS DOUBLE) AS swir, CAST(0.5 AS DOUBLE) AS green_set, CASE WHEN nir IS NULL THEN 'Green,Red' ELSE 'Green,NIR,Red' END AS bands FROM materials")
+def _(spark, d):
+    m = fx.materials(spark, d)
+    changed = materials.with_reflectance(m.withColumn("bands", F.concat_ws(",", materials.bands())), "Green", F.lit(0.5))
+    return changed.select("name", "version", materials.reflectance("Red").alias("red"), materials.reflectance("NIR").alias("nir"), materials.reflectance("SWIR").alias("swir"), materials.reflectance("Green").alias("green_set"), "bands")
+
+
+def _pairs(library: DataFrame) -> DataFrame:
+    """Each material with the next of its category by name."""
+    from pyspark.sql import Window
+
+    nxt = F.lead("name").over(Window.partitionBy("category").orderBy("name"))
+    return library.select(F.col("name").alias("name_a"), nxt.alias("name_b")).where("name_b is not null")
+
+
+PAIR_SQL = with_("materials") + ", p AS (SELECT name AS name_a, lead(name) OVER (PARTITION BY category ORDER BY name) AS name_b FROM latest), j AS (SELECT a.name AS name_a, b.name AS name_b, a.category AS category, " + ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("red", "green", "nir", "chlorophyll", "lai")) + " FROM p JOIN latest a ON a.name = name_a JOIN latest b ON b.name = name_b) "
+
+
+@query("j2_material_pairs", PAIR_SQL + "SELECT name_a, name_b, category, a_red, b_red FROM j")
+def _(spark, d):
+    m = materials.latest(fx.materials(spark, d))
+    return materials.pair(m, m, _pairs(m)).select("name_a", "name_b", F.col("a.category").alias("category"), materials.reflectance("Red", "a.reflectance").alias("a_red"), materials.reflectance("Red", "b.reflectance").alias("b_red"))
+
+
+def _mix_sql(a: str, b: str) -> str:
+    return f"{a} * (CAST(1 AS DOUBLE) - alpha) + {b} * alpha"
+
+
+@query("p25_material_mixing", PAIR_SQL + f"SELECT alpha, name_a || '_' || name_b AS name, category, {_mix_sql('a_red', 'b_red')} AS red, coalesce({_mix_sql('a_nir', 'coalesce(b_nir, 0)')}, 0) AS nir, {_mix_sql('a_lai', 'b_lai')} AS lai, {_mix_sql('a_chlorophyll', 'b_chlorophyll')} AS chlorophyll FROM j, (VALUES (CAST(0 AS DOUBLE)), (CAST(0.25 AS DOUBLE)), (CAST(1 AS DOUBLE))) t(alpha)")
+def _(spark, d):
+    m = materials.latest(fx.materials(spark, d))
+    pairs = materials.pair(m, m, _pairs(m)).withColumn("alpha", F.explode(F.array(F.lit(0.0), F.lit(0.25), F.lit(1.0))))
+    return materials.mixed(pairs).select("alpha", "name", "category", materials.reflectance("Red").alias("red"), materials.reflectance("NIR").alias("nir"), "lai", "chlorophyll")
+
+
+@query("f1_reflectance_violations", with_("materials") + f", l AS (SELECT name, version, band, {VALUE_SQL} AS value FROM materials, {BAND_SQL}) SELECT name, version, band, value FROM l WHERE value < 0 OR value > 1")
+def _(spark, d):
+    return materials.violations(fx.materials(spark, d))
+
+
+@query("f2_by_category", with_("materials") + "SELECT name, version FROM materials WHERE category = 'ECONOMY'")
+def _(spark, d):
+    return materials.of_category(fx.materials(spark, d), "ECONOMY").select("name", "version")
+
+
+@query("f9_key_lookup", with_("materials") + "SELECT DISTINCT p_brand AS name, p_brand IN (SELECT name FROM materials) AS found FROM part UNION SELECT DISTINCT p_name, true FROM part")
+def _(spark, d):
+    part = fx.read(spark, d, "part")
+    keys = part.select(F.col("p_brand").alias("name")).unionByName(part.select(F.col("p_name").alias("name"))).distinct()
+    return materials.looked_up(fx.materials(spark, d), keys)
+
+
+@query("f9_remove", with_("materials") + "SELECT name, version FROM latest WHERE name NOT IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0)")
+def _(spark, d):
+    gone = fx.read(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_name").alias("name")).distinct()
+    return materials.without(materials.latest(fx.materials(spark, d)), gone).select("name", "version")
+
+
+@query("a5_latest_by_key", with_("materials") + "SELECT name, version, category, red FROM latest")
+def _(spark, d):
+    return materials.latest(fx.materials(spark, d)).select("name", "version", "category", materials.reflectance("Red").alias("red"))
+
+
+@query("a6_category_counts", with_("materials") + "SELECT category, count(*) AS n_materials FROM latest GROUP BY category")
+def _(spark, d):
+    return materials.summary(materials.latest(fx.materials(spark, d)))
+
+
+@query("l2_sorted_names", with_("materials") + "SELECT DISTINCT name FROM materials ORDER BY name")
+def _(spark, d):
+    return materials.names(fx.materials(spark, d))
+
+
+@query("l3_random_pick")
+def _(spark, d):
+    return materials.random_pick(materials.latest(fx.materials(spark, d)), seed=42).select("category", "name", "version")
+
+
+@query("u1_library_merge", with_("materials") + "SELECT name, version FROM latest")
+def _(spark, d):
+    m = fx.materials(spark, d)
+    return materials.merged(m.where("version % 2 = 0"), m.where("version % 2 = 1")).select("name", "version")
+
+
+@query("u2_categories", with_("materials") + "SELECT DISTINCT category FROM materials")
+def _(spark, d):
+    return materials.categories(fx.materials(spark, d))
+
+
+# ---- sensors --------------------------------------------------------------------------------------------------------
+
+SENSOR_SQL = "sensor_bands AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', CAST({c} AS DOUBLE), CAST({w} AS DOUBLE))" for b, c, w in sensors.DRONE_BANDS) + ") t(band, center, bandwidth))"
+LONG_PX = with_("bands") + ", " + SENSOR_SQL + ", long AS (" + " UNION ALL ".join(f"SELECT {PX}, '{b}' AS band, {c} AS value FROM bands" for b, c in zip(bands.BANDS, ("blue", "green", "red", "red_edge", "nir"), strict=True)) + ") "
+
+
+@query("j1_band_wavelengths", LONG_PX + "SELECT image_id, band, center, bandwidth, round(avg(value), 6) AS mean FROM long JOIN sensor_bands USING (band) GROUP BY ALL")
+def _(spark, d):
+    long = bands.long_bands(bands.derive_bands(fx.pixels(spark, d)))
+    joined = sensors.with_wavelengths(long, sensors.sensor_bands(spark))
+    return joined.groupBy("image_id", "band", "center", "bandwidth").agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("x1_new_sensor", LONG_PX + "SELECT sensor, band, center, count(*) AS n FROM long JOIN (SELECT 'drone' AS sensor, band, center FROM sensor_bands UNION ALL SELECT 'handheld', 'Red', CAST(650 AS DOUBLE) UNION ALL SELECT 'handheld', 'NIR', CAST(860 AS DOUBLE)) s USING (band) GROUP BY ALL")
+def _(spark, d):
+    both = sensors.sensor_bands(spark).unionByName(sensors.sensor_bands(spark, "handheld", (("Red", 650.0, 10.0), ("NIR", 860.0, 10.0))))
+    long = bands.long_bands(bands.derive_bands(fx.pixels(spark, d)))
+    return sensors.with_wavelengths(long, both).groupBy("sensor", "band", "center").agg(F.count("*").alias("n"))
+
+
+# ---- catalogue ------------------------------------------------------------------------------------------------------
+
+META = "idx, 'samples' AS dataset, '1.0' AS version, name AS image, stem, suffix, false AS synthetic, 'RGB' AS sensor, 'TreePolygons' AS annotations"
+CLEAN = "replace(replace(replace(stem, '_NDVI', ''), '_NIR', ''), '_canopy', '')"
+
+
+@query("p20_path_parts", with_("image_samples") + "SELECT idx, name, stem, suffix FROM named")
+def _(spark, d):
+    return catalog.with_names(fx.image_samples(spark, d)).select("idx", "name", "stem", "suffix")
+
+
+@query("s4_metadata", with_("image_samples") + f"SELECT {META} FROM named")
+def _(spark, d):
+    records = catalog.metadata(fx.image_samples(spark, d), "samples", "1.0")
+    sinks.write_metadata(records, folder := new_folder(spark))
+    return spark.read.schema(records.schema).json(folder)
+
+
+@query("s1_supported_suffixes", with_("image_samples") + "SELECT idx, name FROM named WHERE lower(suffix) IN ('.png', '.jpg', '.jpeg', '.tif', '.tiff')")
+def _(spark, d):
+    return catalog.images_only(fx.image_samples(spark, d)).select("idx", "name")
+
+
+@query("s1_image_pixels", "WITH px AS (SELECT vec_id AS image_id, CAST((p - 1) % 8 AS INTEGER) AS x, CAST((p - 1) // 8 AS INTEGER) AS y, CAST(floor((CAST(embedding[p] AS FLOAT) + 1) * 100) AS INTEGER) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS p FROM embeddings)) SELECT image_id, x, y, v AS r, v AS g, v AS b FROM px")
+def _(spark, d):
+    return images.explode_pixels(fx.encoded(spark, d), ["image_id"])
+
+
+@query("p21_base_names", with_("image_samples") + f"SELECT idx, name, {CLEAN} AS base FROM named")
+def _(spark, d):
+    return catalog.cleaned(fx.image_samples(spark, d)).select("idx", "name", "base")
+
+
+@query("p21_collisions", with_("image_samples") + f"SELECT {CLEAN} AS base, count(DISTINCT name) AS n_names FROM named GROUP BY 1 HAVING count(DISTINCT name) > 1")
+def _(spark, d):
+    return catalog.collisions(fx.image_samples(spark, d))
+
+
+@query("l1_first_samples", with_("image_samples") + "SELECT idx, image FROM image_samples ORDER BY idx LIMIT 100")
+def _(spark, d):
+    return catalog.first_samples(fx.image_samples(spark, d))
+
+
+INGEST = with_("image_samples") + ", present AS (SELECT DISTINCT name FROM named WHERE idx % 5 = 0 AND idx % 3 = 0), firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY name ORDER BY idx) = 1) SELECT idx, name FROM firsts WHERE name NOT IN (SELECT name FROM present)"
+
+
+@query("s10_incremental_ingest", INGEST)
+def _(spark, d):
+    s = fx.image_samples(spark, d)
+    return catalog.to_ingest(s, catalog.with_names(s).where("idx % 5 = 0 and idx % 3 = 0")).select("idx", "name")
+
+
+@query("j3_anti_join", INGEST.replace("SELECT idx, name FROM firsts", "SELECT count(*) AS n_new, CAST(sum(idx) AS BIGINT) AS idx_sum FROM firsts"))
+def _(spark, d):
+    s = fx.image_samples(spark, d)
+    new = catalog.to_ingest(s, catalog.with_names(s).where("idx % 5 = 0 and idx % 3 = 0"))
+    return new.agg(F.count("*").alias("n_new"), F.sum("idx").alias("idx_sum"))
+
+
+RECON = with_("image_samples") + ", a AS (SELECT DISTINCT stem FROM named WHERE idx % 13 <> 0), b AS (SELECT DISTINCT stem FROM named WHERE idx % 7 = 1), c AS (SELECT DISTINCT stem FROM named WHERE idx % 11 <> 0), rec AS (SELECT stem, a.stem IS NOT NULL AS has_rgb, b.stem IS NOT NULL AS has_polygons, c.stem IS NOT NULL AS has_metadata FROM a FULL JOIN b USING (stem) FULL JOIN c USING (stem)) "
+
+
+def _reconciled(spark, d):
+    named = catalog.with_names(fx.image_samples(spark, d))
+    return catalog.reconcile(named.where("idx % 13 <> 0"), named.where("idx % 7 = 1"), named.where("idx % 11 <> 0"))
+
+
+@query("j4_reconcile", RECON + "SELECT * FROM rec")
+def _(spark, d):
+    return _reconciled(spark, d)
+
+
+@query("a7_verification", RECON + "SELECT *, n_rgb <> n_polygons AS polygons_mismatch, n_rgb <> n_metadata AS metadata_mismatch FROM (SELECT count(*) FILTER (WHERE has_rgb) AS n_rgb, count(*) FILTER (WHERE has_polygons) AS n_polygons, count(*) FILTER (WHERE has_metadata) AS n_metadata FROM rec)")
+def _(spark, d):
+    return catalog.verification(_reconciled(spark, d))
+
+
+@query("s11_quarantine", with_("image_samples") + "SELECT idx, name FROM named WHERE idx % 97 = 0")
+def _(spark, d):
+    return catalog.quarantine(catalog.with_names(fx.image_samples(spark, d)).withColumn("ok", F.col("idx") % 97 != 0))[1].select("idx", "name")
+
+
+@query("a8_success_ratio", with_("image_samples") + "SELECT count(*) FILTER (WHERE idx % 97 <> 0) AS n_ok, count(*) AS n FROM image_samples")
+def _(spark, d):
+    return catalog.success_ratio(fx.image_samples(spark, d).withColumn("ok", F.col("idx") % 97 != 0))
+
+
+@query("s12_sample_source", with_("image_samples") + "SELECT idx, image FROM image_samples")
+def _(spark, d):
+    fx.image_samples(spark, d).write.parquet(folder := new_folder(spark))
+    return images.read_samples(spark, folder)
+
+
+@query("s3_polygon_sink", with_("image_samples") + "SELECT stem, CAST(count(*) AS BIGINT) AS n_polygons FROM named WHERE idx % 7 <> 0 GROUP BY stem")
+def _(spark, d):
+    named = catalog.with_names(fx.image_samples(spark, d)).where("idx % 7 <> 0")
+    sinks.write_polygons(named.groupBy("stem").agg(F.collect_list("idx").alias("polygons")), folder := new_folder(spark))
+    back = spark.read.schema("polygons array<bigint>, stem string").json(folder)
+    return back.select("stem", F.size("polygons").cast("bigint").alias("n_polygons"))
+
+
+# ---- sinks ----------------------------------------------------------------------------------------------------------
+
+BAND_CODES = with_("bands") + ", codes AS (" + " UNION ALL ".join(f"SELECT image_id, '{b}' AS band, {q_sql(c, 255)} AS value FROM bands" for b, c in zip(bands.BANDS, ("blue", "green", "red", "red_edge", "nir"), strict=True)) + ") "
+
+
+@query("s5_band_export", BAND_CODES + "SELECT image_id, band, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM codes GROUP BY image_id, band")
+def _(spark, d):
+    sinks.write_bands(bands.derive_bands(fx.pixels(spark, d)), folder := new_folder(spark))
+    back = spark.read.schema("image_id bigint, x int, y int, value int, band string").parquet(folder)
+    return back.groupBy("image_id", "band").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("s6_index_export", with_("bands") + f"SELECT {PX}, CAST(ndvi AS FLOAT) AS ndvi, CAST(evi AS FLOAT) AS evi FROM (SELECT {PX}, {ALL_SQL} FROM bands)")
+def _(spark, d):
+    sinks.write_indices(jobs.index_table(fx.pixels(spark, d)), folder := new_folder(spark), ["image_id", "x", "y"], ["ndvi", "evi"])
+    return spark.read.schema("image_id bigint, x int, y int, ndvi float, evi float").parquet(folder)
+
+
+@query("s7_index_preview", with_("bands") + f"SELECT {PX}, CAST(trunc(CAST(255 AS DOUBLE) * ((ndvi + 1) / 2)) AS INTEGER) AS code FROM (SELECT {PX}, {ALL_SQL} FROM bands)")
+def _(spark, d):
+    return sinks.preview_codes(indices.with_indices(jobs.index_table(fx.pixels(spark, d)), ["ndvi"]), ["image_id", "x", "y"], "ndvi")
+
+
+@query("s8_mask_sink", with_("closed") + f"SELECT {PX}, mask FROM closed")
+def _(spark, d):
+    sinks.write_mask(morphology.vegetation_mask(fx.pixels(spark, d)), folder := new_folder(spark))
+    return spark.read.schema("image_id bigint, x int, y int, mask int").parquet(folder)
+
+
+@query("s9_label_sink", ORACLES["p23_label_lines"])
+def _(spark, d):
+    rings = objects.normalised_points(objects.rings_as_arrays(fx.polygons(spark, d), ["image_id"]), W, W)
+    sinks.write_labels(objects.label_lines(rings), folder := new_folder(spark))
+    return spark.read.text(folder).select(F.col("image_id").cast("bigint").alias("image_id"), F.col("value").alias("line"))
+
+
+@query("st1_incremental_stream", "SELECT event_id, user_id, event_type, value FROM events")
+def _(spark, d):
+    folder = new_folder(spark)
+    schema = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value").schema
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    for _ in range(2):  # the second call finds nothing new
+        ingest(spark, d, spec, f"{folder}/sink", f"{folder}/state", glob="events.parquet")
+    return spark.read.schema(schema).parquet(f"{folder}/sink")
+
+
+@query("x2_dataset_source", with_("image_samples") + "SELECT lower(suffix) AS suffix, count(*) AS n FROM named GROUP BY 1")
+def _(spark, d):
+    fx.image_samples(spark, d).write.parquet(folder := new_folder(spark))
+    return catalog.with_names(images.read_samples(spark, folder)).groupBy(F.lower("suffix").alias("suffix")).agg(F.count("*").alias("n"))
+
+
+@query("x3_dataset_job", with_("image_samples") + ", f AS (SELECT * FROM named ORDER BY idx LIMIT 100), s AS (SELECT DISTINCT stem FROM f), p AS (SELECT DISTINCT stem FROM s UNION SELECT DISTINCT stem FROM named WHERE idx % 5 = 0) SELECT n_rgb, n AS n_polygons, n AS n_metadata, n_rgb <> n AS polygons_mismatch, n_rgb <> n AS metadata_mismatch FROM (SELECT count(*) AS n_rgb FROM p), (SELECT count(*) AS n FROM s)")
+def _(spark, d):
+    s = fx.image_samples(spark, d)
+    present = catalog.with_names(s).where("idx % 5 = 0").select("name", "stem").distinct()
+    return jobs.dataset_job(s, present, new_folder(spark), "samples", "1.0")
