@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op4_decontamination
 from .jaccard_join import op10_jaccard_join
 from .language_id import op5_language_id
+from .markov_lm import op8_markov_lm
 from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
 from .suffix_dedup import op2_suffix_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_markov_lm": op8_markov_lm,
     "op9_weighted_fingerprint": op9_weighted_fingerprint,
     "op10_jaccard_join": op10_jaccard_join,
 }
