@@ -10,9 +10,11 @@ from .packing import op3_best_fit_packing
 from .secret_scan import op7_secret_scan
 from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op6_toxicity
+from .warc import op1_warc_derivatives, oracle
 from .weighted_fingerprint import op9_weighted_fingerprint
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc_derivatives": oracle()}
