@@ -249,3 +249,16 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Contract query: learn where crc32(doc_id) mod 5 is not 0, score every document."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train_on(docs, table(spark, sf_dir, "labels")), remainder(F.col("doc_id"), 5) == 0)
+
+
+def reject(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> DataFrame:
+    """The documents, columns as they are, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text", 8 << 20):
+                found = np.array([shared.value.features(t or "") for t in column(block, "text").to_pylist()])
+                yield block.filter(pa.array(shared.value.score(found) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
