@@ -10,7 +10,7 @@ from ..operators.materials import latest, parse_materials, strict
 
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a file, folders below included; bad files carry their problem."""
-    bodies = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    bodies = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return parse_materials(bodies.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
 
 
