@@ -11,6 +11,10 @@ become components. Then only pairs that still lie in different components are ma
 joins documents already connected, so the components are exact. A shingle common to many groups is dealt over
 several keys in the first step, and their centres meet in turn.
 
+Before whole sets move, a pair is held against parity bitmaps: they differ in at most as many bits as the sets in
+shingles, so a pair whose bitmaps differ in more than similar sets may is left out without loss. Texts of the sets
+still wanted pass a Bloom filter of fixed size on their way to the join, which keeps most others at home.
+
 Defined results: a text without words has no shingles and links with nothing; fewer than five words are one
 shingle. Rows that repeat a doc_id are judged by their own texts. A null doc_id is its own id and the last choice
 for a component's name. Extra columns are ignored.
@@ -33,6 +37,8 @@ PERCENT = 80
 #: Bound of the table of common shingles, and of the groups that meet under one key.
 COMMON = 200_000
 SHARE = 5_000
+#: Bits of the Bloom filter; when it fills up it lets all through and nothing else changes.
+BLOOM_BITS = 1 << 24
 NO_ID = 2**63 - 1
 
 BASE = 0x9E3779B97F4A7C15
@@ -147,17 +153,40 @@ def group_of(lead: np.ndarray, n: int, rare: int) -> int:
     return rare << 55 | int.from_bytes(hashlib.blake2b(lead.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little") >> 9
 
 
+def parity_bits(own: np.ndarray) -> bytes:
+    """Parity of the set in each of a power of two of classes, about as many as it has shingles."""
+    size = max(512, 1 << int(len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parity bitmaps differ, the longer folded to the length of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total = column(batch, "n").to_numpy() + column(batch, "m").to_numpy()
+        most = total - 2 * -(-PERCENT * total // (100 + PERCENT))
+        keep = [k for k, (x, y) in enumerate(zip(column(batch, "xa"), column(batch, "xb"), strict=True)) if differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most[k]]
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
 def _nodes(batches: Iterator[pa.RecordBatch], common: tuple) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch, "text"):
             hashes, at = shingle_sets(*utf8(column(block, "text")))
-            nodes, groups = [], []
+            nodes, groups, bits = [], [], []
             for k in range(block.num_rows):
                 own = hashes[at[k] : at[k + 1]]
                 nodes.append(node_of(own) if len(own) else None)
                 lead, _, _, rare = prefix(own, common) if len(own) else (own, None, 0, 0)
                 groups.append(group_of(lead, len(own), rare) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(np.diff(at)), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64())], names=["doc_id", "n", "node", "gid"])
+                bits.append(parity_bits(own) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(np.diff(at)), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "gid", "bits"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> Iterator[pa.RecordBatch]:
@@ -176,10 +205,10 @@ def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> I
                     continue
                 seen.add(gid)
                 deals = freq // share + 1
-                parts.append((lead, np.full(len(lead), gid), np.full(len(lead), len(own), np.int32), np.arange(len(lead)) < short, np.where(deals > 1, 1 + gid % deals, 0).astype(np.int32)))
+                parts.append((lead, np.full(len(lead), gid), np.arange(len(lead)) < short, np.where(deals > 1, 1 + gid % deals, 0)))
             if parts:
-                token, gid, n, short, salt = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(gid), pa.array(n), pa.array(short), pa.array(salt)], names=["token", "gid", "n", "short", "salt"])
+                token, gid, short, salt = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(gid), pa.array(2 * salt + short)], names=["token", "gid", "place"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +233,36 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in out], pa.binary()), pa.array([b[k] for k in out], pa.binary())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """Bitmap of two hashes of each id; at most ``bits`` / 64 words come to the driver."""
+    at = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)])).alias("at"))
+    words = at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return out.view(np.uint64)
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hit = np.ones(batch.num_rows, bool)
+        for name in ("h1", "h2"):
+            at = column(batch, name).to_numpy().astype(np.uint64)
+            hit &= (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        yield batch.select(["id", "text"]).filter(pa.array(hit))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    sides = pairs.join(nodes.selectExpr("node AS a", "n", "bits AS xa"), "a").join(nodes.selectExpr("node AS b", "n AS m", "bits AS xb"), "b")
+    close = materialize(sides.select("a", "b", "n", "m", "xa", "xb").mapInArrow(_alike, "a binary, b binary"), "close")
+    wanted = materialize(close.selectExpr("a AS node").unionByName(close.selectExpr("b AS node")).distinct().join(nodes.select("node", "id"), "node"), "wanted")
+    known = rows.sparkSession.sparkContext.broadcast(bloom(wanted))
+    hashed = rows.select("id", "text", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"h{k}") for k in (1, 2)])
+    texts = hashed.mapInArrow(lambda it: _maybe(it, known.value), "id long, text string").join(wanted, "id").select("node", "text")
+    sets = materialize(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+    left = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary")
+    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"), "verified")
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -237,16 +291,19 @@ def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SH
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
+    as_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     known = spark.sparkContext.broadcast(common_shingles(rows, common_limit))
-    sized = materialize(rows.mapInArrow(lambda it: _nodes(it, known.value), f"doc_id {kind}, n long, node binary, gid long"), "nodes")
-    full = sized.where("node is not null").withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    nodes = materialize(full.groupBy("node", "gid", "n").agg(F.min("id").alias("id")), "distinct")
+    sized = materialize(rows.mapInArrow(lambda it: _nodes(it, known.value), f"doc_id {kind}, n long, node binary, gid long, bits binary"), "nodes")
+    full = sized.where("node is not null").withColumn("id", as_id)
+    nodes = materialize(full.groupBy("node", "gid", "n").agg(F.min("id").alias("id"), F.min("bits").alias("bits")), "distinct")
+    rows = rows.withColumn("id", as_id)
     names = nodes.select("node", "id")
 
-    posted = rows.select("text").mapInArrow(lambda it: _postings(it, known.value, share), "token long, gid long, n int, short boolean, salt int")
+    posted = rows.select("text").mapInArrow(lambda it: _postings(it, known.value, share), "token long, gid long, place long")
+    posted = posted.select("token", "gid", F.expr("place % 2 = 1").alias("short"), F.expr("place div 2").alias("salt"))
     key = Window.partitionBy("token", "salt")
     met = posted.withColumn("centre", F.min(F.when(F.col("short"), F.col("gid"))).over(key)).withColumn("most", F.max("gid").over(key)).withColumn("least", F.min("gid").over(key))
-    met = materialize(met.where("centre is not null and (most <> least or salt > 0)").select("token", "gid", "n", "short", "salt", "centre").distinct(), "met")
+    met = materialize(met.where("centre is not null and (most <> least or salt > 0)").select("token", "gid", "short", "salt", "centre").distinct(), "met")
 
     # first pairs: each group with the centre of its key, centres of one shingle with the first of them, members with their group
     dealt = met.where("salt > 0").select("token", "centre").distinct()
@@ -258,16 +315,12 @@ def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SH
     within = nodes.join(groups.where("members > 1").select("gid", F.col("first.node").alias("b")), "gid").where("node <> b").select(F.col("node").alias("a"), "b")
     first = materialize(across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
-    wanted = met.select("gid").unionByName(groups.where("members > 1").select("gid")).distinct()
-    needed = nodes.join(wanted, "gid", "left_semi").select("node", "id")
-    texts = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(needed, "id").select("node", "text")
-    sets = materialize(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
-    links = materialize(verified(first, sets), "links1")
+    links = verified(first, nodes, rows)
     labels = components(links, names)
 
     # the rest: pairs under a shingle, or within a group, that still lie in different components
-    placed = nodes.join(labels, "node", "left").select("gid", "node", F.coalesce("label", F.struct("id", "node")).alias("label"))
-    members = met.select("token", "gid", "n", "short").distinct().join(placed, "gid")
+    placed = nodes.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("label", F.struct("id", "node")).alias("label"))
+    members = met.select("token", "gid", "short").distinct().join(placed, "gid")
     mixed = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     open_ = members.join(mixed, "token", "left_semi")
     left, right = open_.select("token", F.col("node").alias("a"), "n", "label", "short"), open_.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("short").alias("also"))
@@ -276,7 +329,7 @@ def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SH
     loose = placed.join(split, "gid", "left_semi")
     inner = loose.select("gid", F.col("node").alias("a"), "label").join(loose.select("gid", F.col("node").alias("b"), F.col("label").alias("other")), "gid").where("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = rest.unionByName(inner).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(verified(second, sets), "links2")
+    more = verified(second, nodes, rows)
     if more.take(1):
         labels = components(links.unionByName(more), names)
 
@@ -289,3 +342,18 @@ def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SH
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Contract query over every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, columns as they are, whose id names their component: one of each group.
+
+    Rows that share a doc_id stay or go together, but for repeats of a text; rows without an id stay if their group
+    has none.
+    """
+    as_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    marks = materialize(near_duplicates(docs).withColumn("_id", as_id), "marks")
+    keep = marks.where("doc_id <=> component_id").select("_id").distinct()
+    kept = docs.withColumn("_id", as_id).join(keep, "_id", "left_semi")
+    if marks.groupBy("_id").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["_id", "text"])
+    return kept.select(docs.columns)
