@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontamination import op4_decontamination
 from .jaccard_join import op10_jaccard_join
 from .language_id import op5_language_id
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op1_warc_derivatives": oracle()}
+ORACLES: dict[str, str] = {
+    "op1_warc_derivatives": oracle(),
+    "op4_decontamination": oracles.decontamination(),
+    "op10_jaccard_join": oracles.jaccard_join(),
+}
