@@ -498,7 +498,7 @@ def _(spark, d):
     return catalog.images_only(fx.image_samples(spark, d)).select("idx", "name")
 
 
-@query("s1_image_pixels", "WITH px AS (SELECT vec_id AS image_id, CAST((p - 1) % 8 AS INTEGER) AS x, CAST((p - 1) // 8 AS INTEGER) AS y, CAST(floor((CAST(embedding[p] AS FLOAT) + 1) * 100) AS INTEGER) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS p FROM embeddings)) SELECT image_id, x, y, v AS r, v AS g, v AS b FROM px")
+@query("s1_image_pixels", "WITH px AS (SELECT vec_id AS image_id, CAST((p - 1) % 8 AS INTEGER) AS x, CAST((p - 1) // 8 AS INTEGER) AS y, CAST(floor((CAST(embedding[p] AS DOUBLE) + 1) * 100) AS INTEGER) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS p FROM embeddings)) SELECT image_id, x, y, v AS r, v AS g, v AS b FROM px")
 def _(spark, d):
     return images.explode_pixels(fx.encoded(spark, d), ["image_id"])
 

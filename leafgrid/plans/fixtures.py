@@ -67,7 +67,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded one-channel images, 8 x 8, from embeddings: origin, height, width, nChannels, data."""
-    byte = "lpad(hex(cast(floor((v + 1) * 100) as int)), 2, '0')"
+    byte = "lpad(hex(cast(floor((cast(v as double) + 1) * 100) as int)), 2, '0')"
     return read(spark, sf_dir, "embeddings").selectExpr("vec_id AS image_id", "8 AS height", "8 AS width", "1 AS nChannels", f"unhex(concat_ws('', transform(embedding, v -> {byte}))) AS data")
 
 
