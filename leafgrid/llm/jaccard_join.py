@@ -35,7 +35,7 @@ from .common import blocks, column, materialize, table, utf8
 SHINGLE = 5
 PERCENT = 80
 #: Bound of the table of common shingles, and of the groups that meet under one key.
-COMMON = 200_000
+COMMON = 400_000
 SHARE = 5_000
 #: Bits of the Bloom filter; when it fills up it lets all through and nothing else changes.
 BLOOM_BITS = 1 << 24
@@ -106,7 +106,7 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flush() -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= 4
+        often = n >= 3
         return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
     for batch in batches:
@@ -205,10 +205,10 @@ def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> I
                     continue
                 seen.add(gid)
                 deals = freq // share + 1
-                parts.append((lead, np.full(len(lead), gid), np.arange(len(lead)) < short, np.where(deals > 1, 1 + gid % deals, 0)))
+                parts.append((lead, np.full(len(lead), gid), np.arange(len(lead)), np.arange(len(lead)) < short, np.where(deals > 1, 1 + gid % deals, 0)))
             if parts:
-                token, gid, short, salt = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(gid), pa.array(2 * salt + short)], names=["token", "gid", "place"])
+                token, gid, pos, short, salt = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(gid), pa.array((salt << 33) | (pos << 1) | short)], names=["token", "gid", "place"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +300,10 @@ def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SH
     names = nodes.select("node", "id")
 
     posted = rows.select("text").mapInArrow(lambda it: _postings(it, known.value, share), "token long, gid long, place long")
-    posted = posted.select("token", "gid", F.expr("place % 2 = 1").alias("short"), F.expr("place div 2").alias("salt"))
+    posted = posted.select("token", "gid", F.expr("place % 2 = 1").alias("short"), F.expr("shiftright(place, 1) & 4294967295").alias("pos"), F.expr("shiftright(place, 33)").alias("salt"))
     key = Window.partitionBy("token", "salt")
     met = posted.withColumn("centre", F.min(F.when(F.col("short"), F.col("gid"))).over(key)).withColumn("most", F.max("gid").over(key)).withColumn("least", F.min("gid").over(key))
-    met = materialize(met.where("centre is not null and (most <> least or salt > 0)").select("token", "gid", "short", "salt", "centre").distinct(), "met")
+    met = materialize(met.where("centre is not null and (most <> least or salt > 0)").select("token", "gid", "pos", "salt", "centre").distinct(), "met")
 
     # first pairs: each group with the centre of its key, centres of one shingle with the first of them, members with their group
     dealt = met.where("salt > 0").select("token", "centre").distinct()
@@ -320,11 +320,13 @@ def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SH
 
     # the rest: pairs under a shingle, or within a group, that still lie in different components
     placed = nodes.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("label", F.struct("id", "node")).alias("label"))
-    members = met.select("token", "gid", "short").distinct().join(placed, "gid")
+    members = met.select("token", "gid", "pos").distinct().join(placed, "gid")
     mixed = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     open_ = members.join(mixed, "token", "left_semi")
-    left, right = open_.select("token", F.col("node").alias("a"), "n", "label", "short"), open_.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("short").alias("also"))
-    rest = left.join(right, "token").where("label < other and ((short and n <= m) or (also and m <= n))").where(fits("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left, right = open_.selectExpr("token", "node AS a", "n", "label", "pos"), open_.selectExpr("token", "node AS b", "n AS m", "label AS other", "pos AS at")
+    # similar sets share this much at least, so they meet within what is left of each before it
+    shared = f"ceil({PERCENT} * (n + m) / {100 + PERCENT})"
+    rest = left.join(right, "token").where(f"label < other and n - pos >= {shared} and m - at >= {shared}").where(fits("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     split = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
     loose = placed.join(split, "gid", "left_semi")
     inner = loose.select("gid", F.col("node").alias("a"), "label").join(loose.select("gid", F.col("node").alias("b"), F.col("label").alias("other")), "gid").where("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
