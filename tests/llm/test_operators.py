@@ -104,6 +104,10 @@ def test_suffix_dedup_matches_brute_force(spark, hot):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_suffix_dedup_of_nothing(spark):
+    assert suffix_dedup.remove_repeats(docs_of(spark, ODD).limit(0)).count() == 0
+
+
 def test_multikey_sort_orders_and_measures():
     rng = np.random.default_rng(2)
     group, chars = rng.integers(0, 4, 200), rng.integers(0, 2, (200, 24)).astype(np.uint8)
