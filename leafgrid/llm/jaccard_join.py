@@ -30,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialize, table, utf8
+from .common import blocks, column, materialize, small_batches, table, utf8
 
 SHINGLE = 5
 PERCENT = 80
 #: Bound of the table of common shingles, and of the groups that meet under one key.
 COMMON = 400_000
 SHARE = 5_000
+#: Bytes of text that are cut into shingles at once, and rows of an Arrow batch: both keep Python workers small.
+BLOCK = 1 << 18
+BATCH_ROWS = 1_000
 #: Bits of the Bloom filter; when it fills up it lets all through and nothing else changes.
 BLOOM_BITS = 1 << 24
 NO_ID = 2**63 - 1
@@ -110,7 +113,7 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
     for batch in batches:
-        for block in blocks(batch, "text"):
+        for block in blocks(batch, "text", BLOCK):
             hashes, at = shingle_sets(*utf8(column(block, "text")))
             for k in range(block.num_rows):
                 own = hashes[at[k] : at[k + 1]]
@@ -119,7 +122,7 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     seen.add(node)
                     held.append(own)
                     size += len(own)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -177,7 +180,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _nodes(batches: Iterator[pa.RecordBatch], common: tuple) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in blocks(batch, "text"):
+        for block in blocks(batch, "text", BLOCK):
             hashes, at = shingle_sets(*utf8(column(block, "text")))
             nodes, groups, bits = [], [], []
             for k in range(block.num_rows):
@@ -192,7 +195,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], common: tuple) -> Iterator[pa.Reco
 def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> Iterator[pa.RecordBatch]:
     seen = set()
     for batch in batches:
-        for block in blocks(batch, "text"):
+        for block in blocks(batch, "text", BLOCK):
             hashes, at = shingle_sets(*utf8(column(block, "text")))
             parts = []
             for k in range(block.num_rows):
@@ -213,7 +216,7 @@ def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> I
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in blocks(batch, "text"):
+        for block in blocks(batch, "text", BLOCK):
             hashes, at = shingle_sets(*utf8(column(block, "text")))
             own = [hashes[at[k] : at[k + 1]] for k in range(block.num_rows)]
             want = column(block, "node").to_pylist()
@@ -288,6 +291,11 @@ def fits(n: str, m: str):
 
 def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SHARE) -> DataFrame:
     """Set size and component of every document."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, common_limit, share)
+
+
+def _near_duplicates(docs: DataFrame, common_limit: int, share: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
