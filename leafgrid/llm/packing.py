@@ -110,6 +110,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
                 [column(block, "doc_id").take(pa.array(owner)), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+    coder.cache.clear()  # the worker lives on and serves other stages
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
