@@ -9,7 +9,7 @@ Under a shingle not all pairs are made: first every group meets the most central
 fewest rare shingles, the likely source of its copies), members are expanded and verified on whole sets, and links
 become components. Then only pairs that still lie in different components are made and verified. What is skipped
 joins documents already connected, so the components are exact. A shingle common to many groups is dealt over
-several keys in the first step, and their centres meet in turn.
+several keys in the first step, and their centres meet in turn; a key without a short prefix meets the first centre.
 
 Before whole sets move, a pair is held against parity bitmaps: they differ in at most as many bits as the sets in
 shingles, so a pair whose bitmaps differ in more than similar sets may is left out without loss. Texts of the sets
@@ -311,7 +311,10 @@ def _near_duplicates(docs: DataFrame, common_limit: int, share: int) -> DataFram
     posted = posted.select("token", "gid", F.expr("place % 2 = 1").alias("short"), F.expr("shiftright(place, 1) & 4294967295").alias("pos"), F.expr("shiftright(place, 33)").alias("salt"))
     key = Window.partitionBy("token", "salt")
     met = posted.withColumn("centre", F.min(F.when(F.col("short"), F.col("gid"))).over(key)).withColumn("most", F.max("gid").over(key)).withColumn("least", F.min("gid").over(key))
-    met = materialize(met.where("centre is not null and (most <> least or salt > 0)").select("token", "gid", "pos", "salt", "centre").distinct(), "met")
+    met = materialize(met.where("salt > 0 or (centre is not null and most <> least)").select("token", "gid", "pos", "salt", "centre").distinct(), "met")
+    # a key of a dealt shingle that no group has in its short prefix takes the first centre of the shingle, if any
+    spare = met.where("salt > 0").groupBy("token").agg(F.min("centre").alias("spare"))
+    met = met.join(spare, "token", "left").withColumn("centre", F.coalesce("centre", "spare")).where("centre is not null").drop("spare")
 
     # first pairs: each group with the centre of its key, centres of one shingle with the first of them, members with their group
     dealt = met.where("salt > 0").select("token", "centre").distinct()

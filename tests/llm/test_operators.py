@@ -475,6 +475,14 @@ def test_jaccard_join_matches_brute_force(spark, common, share):
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def test_jaccard_join_meets_the_source_of_a_dealt_shingle(spark):
+    """Copies with text of their own hold the shared shingles in long prefixes only, their source in its short one."""
+    source = " ".join("s%d" % k for k in range(104))
+    rows = [(0, source)] + [(k, source + "".join(f" own{k}x{n}" for n in range(20))) for k in range(1, 61)] + [(100, "no relation at all to any of them")]
+    got = jaccard_join.near_duplicates(docs_of(spark, rows), share=3).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(9)
     text = words(rng, 50)
