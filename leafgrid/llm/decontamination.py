@@ -6,24 +6,29 @@ A match aligns a run of the document with an item; the values that stand in the
 (the same number always replaced by the same number), which also catches re-parameterised questions and sets
 aside chance agreement of placeholders.
 
+A pair that this strict rule does not match is judged once more by a wider one: items with fewer than ``WINDOW`` words,
+and windows with fewer than ``LITERALS`` literal words, are looked up by their exact words.
+
 The windows of the benchmark are looked up inside each document's row while they number at most ``LITERAL_LIMIT``
 (their size is checked); beyond that, exploded windows meet them in a shuffled join.
 
-Defined results: null or empty texts and items match nothing; items with fewer than ``WINDOW`` words, and windows
-with fewer than ``LITERALS`` literal words, are not searched. Rows that share a doc_id count as one document, a
-null doc_id as one more. Extra columns are ignored.
+Defined results: null or empty texts and items match nothing. A pair of the strict rule reports that rule's figures.
+Rows that share a doc_id count as one document, a null doc_id as one more. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 WINDOW = 8
 LITERALS = 4
-#: Matched windows that make a match, or all windows of a shorter item.
+#: Matched windows that make a match, or all windows of a shorter item (in the wider rule all that are templates, if any).
 MATCHED = 4
 LITERAL_LIMIT = 50_000
 
@@ -49,8 +54,13 @@ def template(word: Column) -> Column:
     return F.when(kind > 0, kind.cast("long")).otherwise(F.xxhash64(word))
 
 
-def window_hash(hashes: Column, at: Column) -> Column:
-    return F.xxhash64(*[F.get(hashes, at + k) for k in range(WINDOW)])
+def plain(word: Column) -> Column:
+    """The word without a name's mark."""
+    return F.ltrim(word, F.lit(NAME_MARK))
+
+
+def window_hash(hashes: Column, at: Column, size: int = WINDOW) -> Column:
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(size)])
 
 
 def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -59,17 +69,32 @@ def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def _prepared(rows: DataFrame, key: str) -> DataFrame:
-    raw = settled(rows, [key], words=words(F.col("text"))).where(F.size("words") >= WINDOW)
-    return settled(raw, [key, "words"], hashes=F.transform("words", template))
+def _prepared(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Words of texts that have ``least`` or more, and their hashes: templates, templates with names as literals, words."""
+    raw = settled(rows, [key], words=words(F.col("text"))).where(F.size("words") >= least)
+    return settled(raw, [key, "words"], hashes=F.transform("words", template), lower=F.transform("words", lambda w: template(plain(w))), exact=F.transform("words", lambda w: F.xxhash64(plain(w))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window hash, place in the item, raw words and the number of windows of the item."""
-    rows = _prepared(benchmark, "item_id").withColumn("b_windows", F.size("words") - (WINDOW - 1))
-    at = rows.select("item_id", "words", "hashes", "b_windows", F.explode(F.sequence(F.lit(0), F.col("b_windows") - 1)).alias("b_at"))
-    found = at.select("item_id", "b_windows", "b_at", F.slice("words", F.col("b_at") + 1, WINDOW).alias("b_raw"), window_hash(F.col("hashes"), F.col("b_at")).alias("hash"))
-    return found.where(F.size(F.filter("b_raw", lambda w: slot(w) == 0)) >= LITERALS)
+    """item_id, hash, place in the item, raw words, whether the hash is a strict template, and numbers of windows.
+
+    A window has a row for its template, one for that with names as literals if it differs, and one for its exact
+    words if neither has enough literals. A short item is one window.
+    """
+    rows = _prepared(benchmark, "item_id", 1).withColumn("b_windows", F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)))
+    at = rows.select("item_id", "words", "hashes", "lower", "exact", "b_windows", F.explode(F.sequence(F.lit(0), F.col("b_windows") - 1)).alias("b_at"))
+    raw = at.withColumn("b_raw", F.slice("words", F.col("b_at") + 1, WINDOW))
+    literal = lambda name: F.size(F.filter(name, lambda w: slot(w) == 0)) >= LITERALS
+    whole = F.size("b_raw") == WINDOW
+    made = raw.select("item_id", "b_windows", "b_at", "b_raw", (whole & literal("b_raw")).alias("strict"), (whole & literal("b_raw")).alias("wide"), *[window_hash(F.col(name), F.col("b_at")).alias(name) for name in ("hashes", "lower", "exact")])
+    kinds = F.array(
+        F.when(F.col("strict"), F.struct(F.col("hashes").alias("hash"), F.lit(True).alias("b_strict"))),
+        F.when(~F.col("strict") & ~F.col("wide"), F.struct(F.col("exact").alias("hash"), F.lit(False).alias("b_strict"))),
+    )
+    of = Window.partitionBy("item_id", "b_windows")
+    templates = F.sum((F.col("strict") | F.col("wide")).cast("int")).over(of)
+    counted = made.withColumn("b_needed", F.least(F.lit(MATCHED), F.when(templates > 0, templates).otherwise(F.col("b_windows"))))
+    return counted.select("item_id", "b_windows", "b_needed", "b_at", "b_raw", (~F.col("strict") & ~F.col("wide")).alias("b_exact"), F.inline(F.filter(kinds, lambda k: k.isNotNull())))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -77,30 +102,62 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark_windows(benchmark).cache()
     known = [r["hash"] for r in items.select("hash").distinct().limit(LITERAL_LIMIT + 1).collect()]
-    rows = _prepared(docs, "doc_id")
-    last = F.size("words") - WINDOW
+    exact = sorted(r["size"] for r in items.where("b_exact").select(F.size("b_raw").alias("size")).distinct().collect())  # at most WINDOW sizes
     if not known:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, n_replaced long")
+    rows = _prepared(docs, "doc_id", min([WINDOW, *exact]))
+    # each size of window and the hashes by which it is looked up
+    looked = {size: ["exact"] for size in exact} | {WINDOW: ["hashes"] + ["exact"] * (WINDOW in exact)}
+
+    def places(size: int) -> Column:
+        return F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size)).otherwise(F.array().cast("array<int>"))
+
+    def hits(size: int, at: Column) -> Column:
+        def kinds(i: Column) -> Column:
+            raw = F.slice("words", i + 1, size)
+            strict = window_hash(F.col("hashes"), i, size)
+            made = [window_hash(F.col(name), i, size) for name in looked[size]]
+            return F.array_distinct(F.array(*[F.struct(i.alias("at"), raw.alias("raw"), h.alias("hash"), (h == strict).alias("strict")) for h in made]))
+
+        return F.flatten(F.transform(at, kinds))
+
     if len(known) <= LITERAL_LIMIT:
-        places = settled(rows, ["doc_id", "words", "hashes"], at=F.filter(F.sequence(F.lit(0), last), lambda i: window_hash(F.col("hashes"), i).isin(known)))
-        places = places.where(F.size("at") > 0)
-        hit = F.transform("at", lambda i: F.struct(i.alias("at"), F.slice("words", i + 1, WINDOW).alias("raw"), window_hash(F.col("hashes"), i).alias("hash")))
-        found = places.select("doc_id", F.inline(hit)).join(F.broadcast(items), "hash")
+
+        def wanted(size: int) -> Column:
+            return F.filter(places(size), lambda i: reduce(or_, [window_hash(F.col(name), i, size).isin(known) for name in looked[size]]))
+
+        kept = settled(rows, ["doc_id", "words", "hashes", "lower", "exact"], **{f"at{size}": wanted(size) for size in looked})
+        kept = kept.where(reduce(or_, [F.size(f"at{size}") > 0 for size in looked]))
+        found = kept.select("doc_id", F.inline(F.concat(*[hits(size, F.col(f"at{size}")) for size in looked]))).join(F.broadcast(items), "hash")
     else:
-        every = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.slice("words", i + 1, WINDOW).alias("raw"), window_hash(F.col("hashes"), i).alias("hash")))
-        found = rows.select("doc_id", F.inline(every)).join(items, "hash")
+        found = rows.select("doc_id", F.inline(F.concat(*[hits(size, places(size)) for size in looked]))).join(items, "hash")
     pairs = F.filter(F.zip_with("raw", "b_raw", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["b"]) > 0)
+    replaced = lambda name: F.size(F.filter(name, lambda p: p["a"] != p["b"]))
+    by_template = F.col("strict") & F.col("b_strict")
     aligned = (
-        found.groupBy("doc_id", "item_id", "b_windows", (F.col("at") - F.col("b_at")).alias("shift"))
-        .agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-        .where((F.size("pairs") == F.size(F.array_distinct("pairs.a"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.b"))))
-        .withColumn("replaced", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))
+        found.groupBy("doc_id", "item_id", "b_windows", "b_needed", (F.col("at") - F.col("b_at")).alias("shift"))
+        .agg(
+            F.count(F.when(by_template, 1)).alias("n"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(by_template, pairs)))).alias("pairs"),
+            F.size(F.collect_set("at")).alias("wide_n"),
+            F.array_distinct(F.flatten(F.collect_set(pairs))).alias("raw_pairs"),
+        )
+        .withColumn("wide", F.array_distinct(F.transform("raw_pairs", lambda p: F.struct(plain(p["a"]).alias("a"), p["b"].alias("b")))))
+        .withColumn("one_to_one", (F.col("n") > 0) & (F.size("pairs") == F.size(F.array_distinct("pairs.a"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.b"))))
+        .withColumn("steady", (F.size("wide") == F.size(F.array_distinct("wide.a"))) & (F.size("wide") == F.size(F.array_distinct("wide.b"))))
     )
+    wide_replaced = F.size(F.filter("wide", lambda p: p["a"] != plain(p["b"])))
     return (
-        aligned.groupBy("doc_id", "item_id", "b_windows")
-        .agg(F.sum("n").alias("n_windows"), F.min("replaced").cast("long").alias("n_replaced"))
-        .where(F.col("n_windows") >= F.least(F.lit(MATCHED), F.col("b_windows")))
-        .select("doc_id", "item_id", "n_windows", "n_replaced")
+        aligned.groupBy("doc_id", "item_id", "b_windows", "b_needed")
+        .agg(
+            F.sum(F.when(F.col("one_to_one"), F.col("n")).otherwise(0)).alias("n"),
+            F.min(F.when(F.col("one_to_one"), replaced("pairs"))).alias("replaced"),
+            F.sum(F.when(F.col("steady"), F.col("wide_n")).otherwise(0)).alias("wide_n"),
+            F.min(F.when(F.col("steady"), wide_replaced)).alias("wide_replaced"),
+        )
+        .withColumn("strict", F.col("n") >= F.least(F.lit(MATCHED), F.col("b_windows")))
+        .where(F.col("strict") | (F.col("wide_n") >= F.col("b_needed")))
+        .select("doc_id", "item_id", *[F.when(F.col("strict"), F.col(a)).otherwise(F.col(b)).cast("long").alias(name) for a, b, name in (("n", "wide_n", "n_windows"), ("replaced", "wide_replaced", "n_replaced"))])
     )
 
 

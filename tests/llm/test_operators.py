@@ -203,6 +203,17 @@ def test_decontamination(spark):
     assert decontamination.matches(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_decontamination_finds_short_and_numeric_items(spark, monkeypatch, limit):
+    """A verbatim copy matches however few words or literals its item has; other numbers do not."""
+    monkeypatch.setattr(decontamination, "LITERAL_LIMIT", limit)
+    items = [(1, "what is 17 times 23"), (2, "add 3 and 4 and 5 6 7 8 9"), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (4, "sum of the numbers 4 5 6 7 8"), (5, "why")]
+    rows = [(10 + k, f"some words before it, {t} and some words after it") for k, t in items] + [(20, "what is 18 times 23 here"), (21, "9 9 9 9 9 9 9 9 9 9 9 9"), (22, "What is\n17 TIMES 23"), (23, "sum of the numbers 1 2 3 9 9")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs_of(spark, rows + ODD), bench).collect()}
+    assert found == {(11, 1), (12, 2), (13, 3), (14, 4), (15, 5), (22, 1), (23, 4)}
+
+
 def test_decontamination_beyond_the_literal_limit(spark, corpus, monkeypatch):
     bench = table(spark, DATA, "benchmark")
     want = sorted(map(tuple, decontamination.matches(corpus, bench).collect()))
