@@ -6,8 +6,10 @@ A match aligns a run of the document with an item; the values that stand in the
 (the same number always replaced by the same number), which also catches re-parameterised questions and sets
 aside chance agreement of placeholders.
 
-A pair that this strict rule does not match is judged once more by a wider one: items with fewer than ``WINDOW`` words,
-and windows with fewer than ``LITERALS`` literal words, are looked up by their exact words.
+A pair that this strict rule does not match is judged once more by a wider one. Windows are also looked up with names
+as lower-case literals; items with fewer than ``WINDOW`` words, and windows with fewer than ``LITERALS`` literal words,
+by their exact words; two values of the item may become one in the document; and where an alignment is not consistent,
+its verbatim windows still count. So a verbatim copy always matches, whatever its case and spacing.
 
 The windows of the benchmark are looked up inside each document's row while they number at most ``LITERAL_LIMIT``
 (their size is checked); beyond that, exploded windows meet them in a shuffled join.
@@ -86,9 +88,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     raw = at.withColumn("b_raw", F.slice("words", F.col("b_at") + 1, WINDOW))
     literal = lambda name: F.size(F.filter(name, lambda w: slot(w) == 0)) >= LITERALS
     whole = F.size("b_raw") == WINDOW
-    made = raw.select("item_id", "b_windows", "b_at", "b_raw", (whole & literal("b_raw")).alias("strict"), (whole & literal("b_raw")).alias("wide"), *[window_hash(F.col(name), F.col("b_at")).alias(name) for name in ("hashes", "lower", "exact")])
+    made = raw.select("item_id", "b_windows", "b_at", "b_raw", (whole & literal("b_raw")).alias("strict"), (whole & literal(F.transform("b_raw", plain))).alias("wide"), *[window_hash(F.col(name), F.col("b_at")).alias(name) for name in ("hashes", "lower", "exact")])
     kinds = F.array(
         F.when(F.col("strict"), F.struct(F.col("hashes").alias("hash"), F.lit(True).alias("b_strict"))),
+        F.when(F.col("wide") & ~(F.col("strict") & (F.col("lower") == F.col("hashes"))), F.struct(F.col("lower").alias("hash"), F.lit(False).alias("b_strict"))),
         F.when(~F.col("strict") & ~F.col("wide"), F.struct(F.col("exact").alias("hash"), F.lit(False).alias("b_strict"))),
     )
     of = Window.partitionBy("item_id", "b_windows")
@@ -107,7 +110,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, n_replaced long")
     rows = _prepared(docs, "doc_id", min([WINDOW, *exact]))
     # each size of window and the hashes by which it is looked up
-    looked = {size: ["exact"] for size in exact} | {WINDOW: ["hashes"] + ["exact"] * (WINDOW in exact)}
+    looked = {size: ["exact"] for size in exact} | {WINDOW: ["hashes", "lower"] + ["exact"] * (WINDOW in exact)}
 
     def places(size: int) -> Column:
         return F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size)).otherwise(F.array().cast("array<int>"))
@@ -134,17 +137,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.filter(F.zip_with("raw", "b_raw", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["b"]) > 0)
     replaced = lambda name: F.size(F.filter(name, lambda p: p["a"] != p["b"]))
     by_template = F.col("strict") & F.col("b_strict")
+    verbatim = F.transform("raw", plain) == F.transform("b_raw", plain)
     aligned = (
         found.groupBy("doc_id", "item_id", "b_windows", "b_needed", (F.col("at") - F.col("b_at")).alias("shift"))
         .agg(
             F.count(F.when(by_template, 1)).alias("n"),
             F.array_distinct(F.flatten(F.collect_set(F.when(by_template, pairs)))).alias("pairs"),
             F.size(F.collect_set("at")).alias("wide_n"),
+            F.size(F.collect_set(F.when(verbatim, F.col("at")))).alias("verbatim_n"),
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("raw_pairs"),
         )
         .withColumn("wide", F.array_distinct(F.transform("raw_pairs", lambda p: F.struct(plain(p["a"]).alias("a"), p["b"].alias("b")))))
         .withColumn("one_to_one", (F.col("n") > 0) & (F.size("pairs") == F.size(F.array_distinct("pairs.a"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.b"))))
-        .withColumn("steady", (F.size("wide") == F.size(F.array_distinct("wide.a"))) & (F.size("wide") == F.size(F.array_distinct("wide.b"))))
+        .withColumn("steady", F.size("wide") == F.size(F.array_distinct("wide.b")))
     )
     wide_replaced = F.size(F.filter("wide", lambda p: p["a"] != plain(p["b"])))
     return (
@@ -152,8 +157,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(
             F.sum(F.when(F.col("one_to_one"), F.col("n")).otherwise(0)).alias("n"),
             F.min(F.when(F.col("one_to_one"), replaced("pairs"))).alias("replaced"),
-            F.sum(F.when(F.col("steady"), F.col("wide_n")).otherwise(0)).alias("wide_n"),
-            F.min(F.when(F.col("steady"), wide_replaced)).alias("wide_replaced"),
+            F.sum(F.when(F.col("steady"), F.col("wide_n")).otherwise(F.col("verbatim_n"))).alias("wide_n"),
+            F.min(F.when(F.col("steady"), wide_replaced).when(F.col("verbatim_n") > 0, 0)).alias("wide_replaced"),
         )
         .withColumn("strict", F.col("n") >= F.least(F.lit(MATCHED), F.col("b_windows")))
         .where(F.col("strict") | (F.col("wide_n") >= F.col("b_needed")))

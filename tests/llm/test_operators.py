@@ -214,6 +214,20 @@ def test_decontamination_finds_short_and_numeric_items(spark, monkeypatch, limit
     assert found == {(11, 1), (12, 2), (13, 3), (14, 4), (15, 5), (22, 1), (23, 4)}
 
 
+def test_decontamination_with_clashing_values_and_other_case(spark):
+    """Two item values may become one; verbatim windows count beside a clash; case and spacing do not hide names."""
+    slots = "In a garden Tom counted 14 apples and 3 baskets near the old river before walking home again"
+    merged = "In a garden Ann counted 6 apples and 6 baskets near the old river before walking home again"
+    long = "the quick brown fox jumps over the lazy dog and runs through the deep forest until it finds 14 or 14 small houses"
+    clash = long.replace("14 or 14", "15 or 16")
+    names = "they say that Tom and Ann and Bob and Eve met Max and Kim near York with Joe and Sam and Dan"
+    rows = [(1, merged), (3, clash), (4, names.lower()), (5, names.replace(" ", "\n")), (6, names.upper()), (7, "so " + names)]
+    bench = spark.createDataFrame([(10, slots), (11, long), (12, names)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_replaced"]) for r in decontamination.matches(docs_of(spark, rows + ODD), bench).collect()}
+    assert set(found) == {(1, 10), (3, 11), (4, 12), (5, 12), (6, 12), (7, 12)}
+    assert found[1, 10][1] == 3 and found[3, 11] == (11, 0) and found[4, 12][1] == 0
+
+
 def test_decontamination_beyond_the_literal_limit(spark, corpus, monkeypatch):
     bench = table(spark, DATA, "benchmark")
     want = sorted(map(tuple, decontamination.matches(corpus, bench).collect()))
