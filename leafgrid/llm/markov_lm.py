@@ -31,10 +31,8 @@ from pyspark.sql import functions as F
 from .common import column, materialize, partitions, remainder, table
 
 STATES = 6
-#: Iterations over all training texts, after those over a sample of about so many texts that find a starting point.
-ITERATIONS = 2
-STARTING_ITERATIONS = 10
-STARTING_TEXTS = 4_000
+#: Iterations, each over all training texts.
+ITERATIONS = 12
 TOP_WORDS = 1024
 ENDINGS = 512
 #: Tokens that run in step through the recursions; a longer text runs alone.
@@ -252,10 +250,6 @@ def baum_welch(encoded: DataFrame, classes: np.ndarray, states: int = STATES, it
     noisy = share[:, None] * rng.dirichlet(np.full(states, 0.7), len(classes))
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     chain, history = Chain(np.full(states, 1 / states), move, (noisy + 1e-12) / (noisy + 1e-12).sum(0)), []
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(53)), F.lit(1_000_000))
-    few = materialize(encoded.where(spread < 1e6 * min(1.0, STARTING_TEXTS / max(1, encoded.count()))).repartition(8, "doc_id"), "starting")
-    for _ in range(STARTING_ITERATIONS):
-        chain, _ = step(few, chain, share)
     for _ in range(iterations):
         chain, likelihood = step(encoded, chain, share)
         history += [] if likelihood is None else [likelihood]

@@ -421,6 +421,20 @@ def test_forward_recursion_is_exact_and_training_climbs():
         chain = markov_lm.Chain(norm(start, 0), norm(moves, 1), norm(emitted, 0))
 
 
+def test_every_iteration_runs_over_all_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, bytearray(rng.integers(0, 5, 3).astype("<u2").tobytes())) for k in range(6000)]
+    encoded, seen, step = spark.createDataFrame(rows, "doc_id long, classes binary").cache(), [], markov_lm.step
+
+    def counted(texts, *more):
+        seen.append(texts.count())
+        return step(texts, *more)
+
+    monkeypatch.setattr(markov_lm, "step", counted)
+    _, history = markov_lm.baum_welch(encoded, np.full(5, 3600.0))
+    assert set(seen) == {6000} and len(history) == len(seen) >= 4 and history[-1] > history[0]
+
+
 # ---- op9 ----
 
 
