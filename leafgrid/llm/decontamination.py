@@ -107,6 +107,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = [r["hash"] for r in items.select("hash").distinct().limit(LITERAL_LIMIT + 1).collect()]
     exact = sorted(r["size"] for r in items.where("b_exact").select(F.size("b_raw").alias("size")).distinct().collect())  # at most WINDOW sizes
     if not known:
+        items.unpersist()
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, n_replaced long")
     rows = _prepared(docs, "doc_id", min([WINDOW, *exact]))
     # each size of window and the hashes by which it is looked up
@@ -167,8 +168,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, columns as they are, that match no item."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents, columns as they are, that match no item. Each row is judged by its own text, whatever its id."""
+    judged = docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
+    leaked = matches(judged, benchmark).select(F.col("doc_id.doc_id").alias("leaked_id"), F.col("doc_id.digest").alias("leaked_text")).distinct()
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]) & (F.xxhash64(docs["text"]) == leaked["leaked_text"]), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

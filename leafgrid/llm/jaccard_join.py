@@ -364,9 +364,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     has none.
     """
     as_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    marks = materialize(near_duplicates(docs).withColumn("_id", as_id), "marks")
-    keep = marks.where("doc_id <=> component_id").select("_id").distinct()
-    kept = docs.withColumn("_id", as_id).join(keep, "_id", "left_semi")
-    if marks.groupBy("_id").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["_id", "text"])
-    return kept.select(docs.columns)
+    name = "kept_id"
+    while name in docs.columns:
+        name += "_"
+    marks = materialize(near_duplicates(docs).withColumn(name, as_id), "marks")
+    keep = marks.where("doc_id <=> component_id").select(name).distinct()
+    kept = docs.withColumn(name, as_id).join(keep, name, "left_semi")
+    if marks.groupBy(name).count().where("count > 1").take(1):
+        kept = kept.dropDuplicates([name, "text"])
+    return kept.select([F.col(f"`{c}`") for c in docs.columns])

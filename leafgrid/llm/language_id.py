@@ -1,68 +1,80 @@
 """Language identification by prediction by partial matching.
 
-Byte n-gram counts of a bounded labelled sample make one variable-order context tree for all languages.
-Escape probabilities (method C, with exclusion of the symbols already offered by longer contexts) are folded
-into one cost row per context once, so that the statistics are frozen. Scoring walks each byte to the longest
-context the tree holds and adds the exact code length of the byte in every language.
-
-Defined results: a null text, an empty one or one without any letter is ``und`` with score 0. Ties go to the
-language that sorts first. Every row gets a row, repeated rows and null ids included (a null id is in training).
-Extra columns of the input are ignored. Without training rows every text is ``und``.
+Byte n-gram counts of a bounded labelled sample make one variable-order context tree for each language. Escape
+probabilities (method C, with exclusion of the symbols already offered by longer contexts) are folded into one cost
+row per context once, so that the statistics are frozen. Scoring walks each byte to the longest context that the
+language's tree holds and adds the exact code length of the byte; the shortest code wins.
+
+The model is broadcast: ``CONTEXTS`` rows for each language, about 2 MB, so it grows with the number of languages
+and not with the corpus.
+
+Defined results: a null text, an empty one or one without any letter (Unicode category L; numerals such as "²" or "Ⅷ"
+are none) is ``und`` with score 0. Ties go to the language that sorts first. Every row gets a row, repeated rows and
+null ids included (a null id is in training). Extra columns of the input are ignored. Without training rows every text
+is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, column, remainder, table, utf8
+from .common import blocks, column, releasing, remainder, table, utf8
 
-#: Documented bounds of the training sample and of the tree.
+#: Documented bounds: documents of a language in the training sample, and contexts of its tree.
 SAMPLE_PER_LANGUAGE = 600
-MAX_CONTEXTS = 12_000
+CONTEXTS = 3_500
 ORDER = 4
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
 class ContextTree:
-    """Frozen statistics: ``child[node, symbol]`` walks to longer contexts, ``cost[node, symbol, language]`` is in bits."""
+    """Frozen statistics of a language: ``child[node, symbol]`` walks to longer contexts, ``cost[node, symbol]`` is in bits."""
 
-    languages: list[str]
-    symbol: np.ndarray
     child: np.ndarray
     cost: np.ndarray
+
+
+@dataclass
+class Trees:
+    """The trees of all languages over one alphabet; its last symbol stands for every byte never seen."""
+
+    languages: list[str]
+    symbol: np.ndarray
+    trees: list[ContextTree]
     order: int
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each row in each language."""
-        rows, alphabet = len(offsets) - 1, self.child.shape[1]
-        out = np.zeros((rows, len(self.languages)))
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(data):
             return out
         symbols = self.symbol[data].astype(np.int32)
-        starts = offsets[:-1]
-        node = np.zeros(len(data), np.int32)
-        flat = self.child.reshape(-1)
+        starts, edge = offsets[:-1], int(self.symbol.max()) + 1
+        before = []
         for depth in range(1, self.order + 1):
-            back = np.empty_like(symbols)
-            back[:depth] = alphabet - 1
+            back = np.full_like(symbols, edge)
             back[depth:] = symbols[:-depth]
             for k in range(depth):  # a context never reaches into the document before
                 at = starts + k
-                back[at[at < offsets[1:]]] = alphabet - 1
-            node = flat[node * alphabet + back]
-        half = len(self.child) // 2
-        node = np.where(node >= half, node - half, node)
-        cost = self.cost.reshape(-1, len(self.languages))[node * self.cost.shape[1] + symbols]
+                back[at[at < offsets[1:]]] = edge
+            before.append(back)
         full = offsets[1:] > starts
-        out[full] = np.add.reduceat(cost, starts[full], axis=0, dtype=np.float64)
+        for k, tree in enumerate(self.trees):
+            flat, alphabet, half = tree.child.reshape(-1), tree.child.shape[1], len(tree.child) // 2
+            node = np.zeros(len(data), np.int32)
+            for back in before:
+                node = flat[node * np.int32(alphabet) + back]
+            node = np.where(node >= half, node - half, node)
+            cost = tree.cost.reshape(-1)[node * np.int32(tree.cost.shape[1]) + symbols]
+            out[full, k] = np.add.reduceat(cost, starts[full], dtype=np.float64)
         return out
 
 
@@ -88,12 +100,15 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.R
                     )
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS, order: int = ORDER) -> ContextTree:
-    """Fit the tree on at most about ``sample`` documents of each language, chosen by a hash of the id."""
+def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, contexts: int = CONTEXTS, order: int = ORDER) -> Trees:
+    """Fit the trees on at most about ``sample`` documents of each language, chosen by a hash of the id.
+
+    The driver holds one number for each language, and the bounded counts of the trees.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return build([], {}, max_contexts, order)
+        return build({}, order)
     spread = (F.xxhash64(F.col("doc_id"), F.lit(17)) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
     rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))) for lang, n in sorted(sizes.items())])
     grams = (
@@ -102,74 +117,63 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, max_contexts: int
         .mapInArrow(lambda it: _gram_counts(it, order), "lang string, n int, gram long, count long")
         .groupBy("lang", "n", "gram")
         .agg(F.sum("count").alias("count"))
+        .withColumn("context", F.shiftright("gram", 8))
     )
-    context = F.shiftright("gram", 8)
-    kept = (  # the contexts that were seen most, whole
-        grams.groupBy("n", context.alias("context")).agg(F.sum("count").alias("seen")).where("seen >= 4").orderBy(F.desc("seen"), "n", "context").limit(max_contexts)
-    )
-    found = grams.withColumn("context", context).join(F.broadcast(kept.select("n", "context")), ["n", "context"]).select("lang", "n", "gram", "count").toArrow()
+    seen = grams.groupBy("lang", "n", "context").agg(F.sum("count").alias("seen"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("seen"), "n", "context"))
+    kept = seen.withColumn("rank", rank).where(F.col("rank") <= contexts).select("lang", "n", "context")  # each language's most seen
+    found = grams.join(F.broadcast(kept), ["lang", "n", "context"]).select("lang", "n", "gram", "count").toArrow()
     counts: dict[str, dict[tuple[int, int], int]] = {lang: {} for lang in sorted(sizes)}
     for lang, n, gram, count in zip(*(found.column(c).to_pylist() for c in ("lang", "n", "gram", "count")), strict=True):
         counts[lang][n, gram] = count
-    return build(sorted(sizes), counts, max_contexts, order)
+    return build(counts, order)
 
 
-def build(languages: list[str], counts: dict[str, dict[tuple[int, int], int]], max_contexts: int, order: int) -> ContextTree:
-    """Freeze n-gram counts, keyed by length and big-endian code, into a tree."""
+def build(counts: dict[str, dict[tuple[int, int], int]], order: int) -> Trees:
+    """Freeze n-gram counts by language, keyed by length and big-endian code."""
     seen = sorted({g & 255 for c in counts.values() for _, g in c})
     symbol = np.full(256, len(seen), np.uint8)
     symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1  # the last stands for every byte never seen
+    return Trees(list(counts), symbol, [freeze(c, symbol, len(seen) + 1, order) for c in counts.values()], order)
+
+
+def freeze(counts: dict[tuple[int, int], int], symbol: np.ndarray, width: int, order: int) -> ContextTree:
+    """The tree of one language over an alphabet of ``width`` symbols."""
+    above = lambda n, context: (n - 1, context & ((1 << 8 * (n - 1)) - 1))
     contexts = {(0, 0): 0}
-    for n, context in sorted({(n - 1, g >> 8) for c in counts.values() for n, g in c}):
-        parent = (n - 1, context & ((1 << 8 * (n - 1)) - 1)) if n else None
-        if n and parent in contexts and (n, context) not in contexts:
+    for n, context in sorted({(n - 1, g >> 8) for n, g in counts}):
+        if n and above(n, context) in contexts:
             contexts[n, context] = len(contexts)
     size = len(contexts)
-    child = np.zeros((2 * size, width + 1), np.int32)
-    child[:size] = np.arange(size, 2 * size, dtype=np.int32)[:, None]  # no longer context: stay, whatever follows
-    child[size:] = np.arange(size, 2 * size, dtype=np.int32)[:, None]
-    for (n, context), node in contexts.items():
-        if n:
-            above = contexts[n - 1, context & ((1 << 8 * (n - 1)) - 1)]
-            child[above, symbol[context >> 8 * (n - 1)]] = node
-    table_ = np.zeros((len(languages), size, width), np.float64)
-    for k, lang in enumerate(languages):
-        for (n, gram), count in counts[lang].items():
-            node = contexts.get((n - 1, gram >> 8))
-            if node is not None:
-                table_[k, node, symbol[gram & 255]] += count
-    cost = np.zeros((size, width, len(languages)), np.float32)
-    parent_of = np.zeros(size, np.int64)
+    child = np.tile(np.arange(size, 2 * size)[:, None], (2, width + 1)).astype(np.int32 if size > 16_000 else np.int16)  # no longer context: stay, whatever follows
+    table_ = np.zeros((size, width))
+    parent_of, depth = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for (n, context), node in contexts.items():
         if n:
-            parent_of[node] = contexts[n - 1, context & ((1 << 8 * (n - 1)) - 1)]
-    depth = np.array([n for n, _ in contexts], np.int64)
-    for k in range(len(languages)):
-        bits = np.zeros((size, width))
-        done = np.zeros((size, width), bool)
-        excluded = np.zeros((size, width), bool)
-        at = np.arange(size)
-        for _ in range(order + 1):  # all nodes escape towards the root together
-            live = np.where(excluded, 0.0, table_[k, at])
-            total, kinds = live.sum(1, keepdims=True), (live > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hit = (live > 0) & ~done
-                bits = np.where(hit, bits - np.log2(live / (total + kinds)), bits)
-                done |= live > 0
-                bits = np.where(~done & (kinds > 0), bits - np.log2(kinds / (total + kinds)), bits)
-            excluded |= live > 0
-            stop = depth[at] == 0
-            if stop.all():
-                break
-            # a node at the root has offered all it has; its symbols are excluded, so a second visit adds nothing
-            at = np.where(stop, at, parent_of[at])
-        left = np.maximum(256 - done.sum(1, keepdims=True), 1)
-        cost[:, :, k] = np.where(done, bits, bits + np.log2(left))
-    return ContextTree(languages, symbol, child, cost, order)
-
-
-def _predict(batches: Iterator[pa.RecordBatch], tree: ContextTree) -> Iterator[pa.RecordBatch]:
+            parent_of[node], depth[node] = contexts[above(n, context)], n
+            child[parent_of[node], symbol[context >> 8 * (n - 1)]] = node
+    for (n, gram), count in counts.items():
+        node = contexts.get((n - 1, gram >> 8))
+        if node is not None:
+            table_[node, symbol[gram & 255]] += count
+    bits = np.zeros((size, width))
+    done = np.zeros((size, width), bool)
+    at = np.arange(size)
+    for _ in range(order + 1):  # all nodes escape towards the root together
+        live = np.where(done, 0.0, table_[at])
+        total, kinds = live.sum(1, keepdims=True), (live > 0).sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bits = np.where(live > 0, bits - np.log2(live / (total + kinds)), bits)
+            done |= live > 0
+            bits = np.where(~done & (kinds > 0), bits - np.log2(kinds / (total + kinds)), bits)
+        # a node at the root has offered all it has, so a second visit adds nothing
+        at = np.where(depth[at] == 0, at, parent_of[at])
+    left = np.maximum(256 - done.sum(1, keepdims=True), 1)
+    return ContextTree(child, np.where(done, bits, bits + np.log2(left)).astype(np.float32))
+
+
+@releasing
+def _predict(batches: Iterator[pa.RecordBatch], tree: Trees) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch, "text"):
             text = column(block, "text")
@@ -194,7 +198,7 @@ def _predict(batches: Iterator[pa.RecordBatch], tree: ContextTree) -> Iterator[p
             )
 
 
-def predict(docs: DataFrame, tree: ContextTree, held_out) -> DataFrame:
+def predict(docs: DataFrame, tree: Trees, held_out) -> DataFrame:
     """Language and posterior of every whole text; only the text is read for it."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))

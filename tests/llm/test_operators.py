@@ -253,17 +253,17 @@ def test_decontamination_finds_whole_passages(spark, corpus):
 # ---- op5 ----
 
 
-def brute_ppm(tree_counts, order, text, seen):
+def brute_ppm(counts, order, text):
     """Code length of a text by PPM, method C with exclusion, from n-gram counts."""
     total = 0.0
-    contexts = {(n - 1, g >> 8) for n, g in tree_counts[1]}
+    contexts = {(n - 1, g >> 8) for n, g in counts}
     for k, byte in enumerate(text):
         out, depth = set(), 0
         while depth < min(order, k) and (depth + 1, int.from_bytes(text[k - depth - 1 : k], "big")) in contexts:
             depth += 1
         while True:
             context = int.from_bytes(text[k - depth : k], "big")
-            here = {g & 255: c for (n, g), c in tree_counts[0].items() if n == depth + 1 and g >> 8 == context and (g & 255) not in out}
+            here = {g & 255: c for (n, g), c in counts.items() if n == depth + 1 and g >> 8 == context and (g & 255) not in out}
             n, q = sum(here.values()), len(here)
             if byte in here:
                 total -= math.log2(here[byte] / (n + q))
@@ -281,12 +281,11 @@ def brute_ppm(tree_counts, order, text, seen):
 def test_ppm_code_lengths_are_exact():
     texts = {"a": b"abracadabra abra", "b": b"banana bandana"}
     counts = {lang: dict(Counter((n, int.from_bytes(t[k : k + n], "big")) for n in (1, 2, 3) for k in range(len(t) - n + 1))) for lang, t in texts.items()}
-    tree = language_id.build(["a", "b"], counts, 10_000, 2)
-    every = (None, [g for c in counts.values() for g in c])
+    tree = language_id.build(counts, 2)
     for text in (b"abra", b"banzai", b"xyz", b"", b"dabanana"):
         bits = tree.bits(np.frombuffer(b"ra" + text, np.uint8), np.array([0, 2, 2 + len(text)]))[1]
         for k, lang in enumerate(("a", "b")):
-            assert bits[k] == pytest.approx(brute_ppm((counts[lang], every[1]), 2, text, None), abs=1e-3)
+            assert bits[k] == pytest.approx(brute_ppm(counts[lang], 2, text), abs=1e-3)
 
 
 def test_language_id_held_out(spark, corpus):
@@ -296,6 +295,8 @@ def test_language_id_held_out(spark, corpus):
     assert got.where("lang = lang_pred").count() >= 0.95 * got.count()
     odd = {r["doc_id"]: r for r in language_id.predict(docs_of(spark, ODD), tree, F.lit(None)).collect()}
     assert all(odd[d]["lang_pred"] == "und" and odd[d]["score"] == 0 for d in (900, 901, 902))
+    signs = language_id.predict(docs_of(spark, [(1, "²½"), (2, "Ⅷ ①"), (3, "12_3"), (4, "é")]), tree, F.lit(None)).collect()
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in signs} == {1: True, 2: True, 3: True, 4: False}
     assert odd[905]["lang_pred"] in tree.languages and len(odd) == len(ODD)
     nothing = language_id.train(corpus.where("false"))
     assert {r["lang_pred"] for r in language_id.predict(corpus, nothing, F.lit(False)).collect()} == {"und"}
