@@ -1,20 +1,29 @@
 """WARC derivatives: response records to linked metadata and plain-text conversion records.
 
 Every derived record keeps the identifier of its source in refers_to, the source's HTTP header block and the digest
-of its payload. Identifiers are made from the source's, so that a rerun gives the same records. Files are read and
-written by Spark's text source with the version line as separator, which splits large files; a record whose length
-does not match its header is marked and not derived.
+of its payload. Identifiers are made from the source's, so that a rerun gives the same records.
 
-Defined results: a null page body is an empty payload, a null address an empty target. Repeated pages give repeated
-records with equal identifiers. Extra columns are ignored; an empty table gives no records.
+Files are read by Spark's binary file source and cut inside the task along the Content-Length of their records, so that
+a payload may hold anything, the version line included; versions 1.0 and 1.1 are known. A file is one row, as files of
+about a gigabyte are usual. Payloads are bytes throughout; a record that ends before its length, or has no length, is
+marked ``whole`` false and not derived.
+
+Defined results: a null page body is an empty payload, a null address an empty target. Payload bytes that are not UTF-8
+are read as replacement characters in titles and text; length and digest are those of the bytes. Repeated pages give
+repeated records with equal identifiers. Only page_id is kept of further columns, whatever their names; an empty table
+gives no records.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import column, table
 
 VERSION = "WARC/1.0"
 DATE = "2024-01-01T00:00:00Z"
@@ -64,12 +73,22 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", uuid_of(F.lit("response"), F.col("page_id").cast("string"), uri).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"), header.alias("http_header"), payload.alias("payload"), digest(payload).alias("payload_digest"))
 
 
+def text_of(payload: Column) -> Column:
+    """Bytes as text, those that are not UTF-8 as replacement characters."""
+    return F.call_function("make_valid_utf8", payload.cast("string"))
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """One metadata and one conversion record for each response, linked to it and to each other."""
     title = characters(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "[ \\t\\r\\n]+", " "))
     links = F.regexp_extract_all("payload", F.lit(LINK), 1)
     fields = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}outlinks: "), F.size(links).cast("string"), F.when(F.size(links) > 0, F.concat(F.lit(CRLF), F.concat_ws(CRLF, F.transform(links, lambda u: F.concat(F.lit("outlink: "), u))))).otherwise(""))
-    kept = [c for c in records.columns if c != "payload"]
+    kept = [c for c in ("page_id", "record_id", "target_uri", "date", "http_header", "payload_digest") if c in records.columns]
+    if "whole" in records.columns:
+        records = records.where("whole")
+    records = records.select(*kept, "payload")
+    if dict(records.dtypes)["payload"] == "binary":
+        records = records.withColumn("payload", text_of(F.col("payload")))
     both = records.select(*kept, F.inline(F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block")))))
     return both.select(
         *[c for c in kept if c not in ("record_id", "http_header", "payload_digest")],
@@ -107,17 +126,50 @@ def write_warc(serial: DataFrame, path: str) -> None:
     serial.select(F.concat(F.lit(VERSION + CRLF), F.col("record")).alias("value")).write.option("lineSep", "\n").mode("overwrite").text(path)
 
 
+HEAD = re.compile(rb"WARC/1\.[01]\r\n")
+FIELD = re.compile(rb"(?m)^([^:\r\n]+):[ \t]*([^\r\n]*)")
+
+
+def cut_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Header fields, block and wholeness of the records of a file. After a broken record the next version line is sought."""
+    at = 0
+    while found := HEAD.search(data, at):
+        end = data.find(b"\r\n\r\n", found.end())
+        if end < 0:
+            yield {}, b"", False
+            return
+        fields = {k.decode("latin1").lower(): v.decode("utf8", "replace").strip() for k, v in FIELD.findall(data[found.end() : end + 2])}
+        size = fields.get("content-length", "")
+        begin = end + 4
+        stop = begin + int(size) if size.isdecimal() else -1
+        after = data[stop : stop + 4] if 0 <= stop <= len(data) else None
+        whole = after is not None and (after == b"\r\n\r\n" or (stop + len(after) == len(data) and not after.strip()))
+        if not whole:
+            nearest = HEAD.search(data, begin)
+            stop = nearest.start() if nearest else len(data)
+        yield fields, data[begin:stop], whole
+        at = stop
+
+
+def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest")
+    for batch in batches:
+        for data in column(batch, "content"):
+            rows = []
+            for fields, block, whole in cut_records(data.as_buffer().to_pybytes()):
+                if fields.get("warc-type", "").lower() == "response":
+                    header, _, payload = block.partition(b"\r\n\r\n")
+                    rows.append((*(fields.get(n, "") for n in names), header.decode("utf8", "replace"), payload, whole))
+            for k in range(0, len(rows), 1000):
+                cols = list(zip(*rows[k : k + 1000], strict=True))
+                kinds = [pa.string()] * 5 + [pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["record_id", "target_uri", "date", "payload_digest", "http_header", "payload", "whole"])
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, with ``whole`` false where the length does not match."""
-    raw = spark.read.option("lineSep", VERSION + CRLF).text(path).where("value <> ''")
-    cut = F.instr("value", CRLF + CRLF)
-    parts = raw.select(F.substring(F.col("value"), F.lit(1), cut - 1).alias("head"), F.substring(F.col("value"), cut + 4, F.length("value")).alias("rest"))
-    field = lambda n: F.trim(F.regexp_extract("head", f"(?im)^{n}:([^\\r\\n]*)", 1))
-    size = F.expr("try_cast(trim(regexp_extract(head, '(?im)^Content-Length:([^\\\\r\\\\n]*)', 1)) as int)")
-    block = F.decode(F.substring(F.encode("rest", "utf-8"), F.lit(1), size), "utf-8")
-    found = parts.where(field("WARC-Type") == "response").select(field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"), field("WARC-Payload-Digest").alias("payload_digest"), block.alias("block"), (F.octet_length("rest") >= size).alias("whole"))
-    at = F.instr("block", CRLF + CRLF)
-    return found.select("record_id", "target_uri", "date", "payload_digest", F.substring(F.col("block"), F.lit(1), at - 1).alias("http_header"), F.substring(F.col("block"), at + 4, F.length("block")).alias("payload"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    """Response records of WARC files, payloads as bytes, with ``whole`` false where the length does not match."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(_responses, "record_id string, target_uri string, date string, payload_digest string, http_header string, payload binary, whole boolean")
 
 
 def op1_warc_derivatives(spark, sf_dir: str) -> DataFrame:
