@@ -17,6 +17,7 @@ from leafgrid.llm.common import remainder, table
 
 DATA = "/root/testdata/sf0.001"
 MORE = "/root/testdata/sf0.01"  # the smallest tables hold no secrets
+MOST = "/root/testdata/sf0.1"  # enough labelled rows for each language
 DOCS = "doc_id long, text string"
 ODD = [(900, None), (901, ""), (902, " \t\n "), (903, "x"), (None, "no id at all here"), (904, "É 🙂 İ ﬁ"), (905, "a" * 5000), (3, "the id again")]
 
@@ -331,38 +332,81 @@ def test_language_id_held_out(spark, corpus):
 # ---- op6 ----
 
 
-def test_toxicity_held_out(spark, corpus):
-    labels = table(spark, DATA, "labels")
-    grammar = toxicity.train_on(corpus, labels)
-    got = toxicity.predict(corpus, grammar, remainder(F.col("doc_id"), 5) == 0).join(labels, "doc_id")
-    assert got.where("predicted = toxic").count() >= 0.9 * got.count()
+def area_under_curve(rows):
+    """Share of (toxic, clean) pairs in the right order."""
+    toxic, clean = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    return np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = table(spark, MOST, "documents"), table(spark, MOST, "labels")
+    grammar = toxicity.train_on(docs, labels)
+    rows = toxicity.predict(docs, grammar, remainder(F.col("doc_id"), 5) == 0).where("held_out").join(labels, "doc_id").collect()
+    assert {r["toxic"] for r in rows} == {0, 1} and area_under_curve(rows) > 0.9
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and len(toxic) > 50 and sum(clean) <= 0.02 * len(clean)
     odd = {r["doc_id"]: r["score"] for r in toxicity.predict(docs_of(spark, ODD), grammar, F.lit(False)).collect()}
     assert odd[900] == odd[901] and all(0 <= s < 0.5 for s in odd.values()) and len(odd) == len(ODD)
-    kept = toxicity.reject(corpus, grammar)
-    assert kept.schema == corpus.schema and kept.count() == toxicity.predict(corpus, grammar, F.lit(False)).where("predicted = 0").count()
+    kept = toxicity.reject(docs, grammar)
+    assert kept.schema == docs.schema and kept.count() == toxicity.predict(docs, grammar, F.lit(False)).where("predicted = 0").count()
     assert toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int")).stems == {}
+    assert toxicity.predict(docs.limit(0), grammar, F.lit(False)).count() == 0 == toxicity.reject(docs.limit(0), grammar).count()
+    long = [(1, "you idiot. " + "calm word " * 100_000), (2, "idiot " * 100_000), (3, "x" * 1_000_000)]
+    assert len(toxicity.predict(docs_of(spark, long), grammar, F.lit(False)).collect()) == 3
 
 
-def test_grammar_weighs_clauses():
-    g = toxicity.Grammar({"fool": 3.0}, {"fool": 2.0})
-    plain = g.clause("what a fool")
-    assert g.clause("you are a fool") > plain > g.clause("not a fool") and g.clause("they said a fool") < plain * 1.3
-    assert g.clause("i will kill you") < g.clause("you i will kill") and g.clause("nothing here") == 0
-    assert g.clause("foolish") == 2.0 and g.features("FOOL. fool")[0] == pytest.approx(math.log1p(6))
+def clause_weight(grammar, text):
+    return sum(map(grammar.weigh, grammar.clauses(text)[1]))
 
 
-def test_composition_multiplies_gains():
-    a, b = toxicity.negation(), toxicity.target()
-    both = toxicity.compose(a, b)
+def test_grammar_weighs_clauses():
+    g = toxicity.Grammar({"fool": 3.0, "piece\u02b9of\u02b9garbage": 4.0}, {"fool": 2.0})
+    single = clause_weight(g, "what a fool")
+    assert clause_weight(g, "you are a fool") > single == 3 > clause_weight(g, "she said what a fool") > clause_weight(g, "not a fool") == 0  # below the weight of a match
+    assert clause_weight(g, "not, a. fool") == 3  # a negation does not leave its clause
+    assert clause_weight(g, "kill") == clause_weight(g, "kill the lights") == 0 < clause_weight(g, "i kill you") < clause_weight(g, "i will kill you")
+    assert clause_weight(g, "kill them. you") > 0 == clause_weight(g, "kill. you") == clause_weight(g, "nothing here")
+    assert clause_weight(g, "a Piece of Garbage") == 4 and clause_weight(g, "piece of cake, garbage") == 0
+    assert clause_weight(g, "foolish") == 2 and clause_weight(g, "fool fool") > 6
+    assert g.features("FOOL. fool")[0] == pytest.approx(math.log1p(6))
+
+
+def test_composition_unites_marks():
+    parts = toxicity.insults(), toxicity.negation(), toxicity.after(toxicity.TARGET, "targeted")
+    both = toxicity.compose(*parts)
     rng = random.Random(3)
     for _ in range(50):
-        s, t, u = both.start, a.start, b.start
-        for tag in (rng.choice(["insult", "threat", "target", "negation", "report", "other"]) for _ in range(12)):
-            (t, x), (u, y) = a.step(t, tag), b.step(u, tag)
-            assert both.gain[s, tag] == pytest.approx(x * y)
+        s, each = 0, [0] * 3
+        for tag in (rng.choice(toxicity.TAGS) for _ in range(12)):
+            steps = [m.step(e, tag) for m, e in zip(parts, each, strict=True)]
+            each = [e for e, _ in steps]
+            assert both.marks[s, tag] == frozenset().union(*(m for _, m in steps))
             s = both.moves[s, tag]
 
 
+def test_composed_grammar_decides():
+    """Insults and verbs of harm stand in toxic and clean rows alike; only the clause around them tells. Without the
+    composition (every hit accepted, no gains) the held-out rows cannot be told apart."""
+    rng = random.Random(21)
+    toxic = ["you are a {i}", "they are such {i} and {i}", "i will {h} you", "we will {h} them", "you {i}"]
+    clean = ["you are not a {i}", "never a {i} was here", "i will {h} the lights", "{h} it", "he is no {i}", "he said never {h} you", "nobody wrote {i} or said {i}"]
+    rows = []
+    for k in range(1500):
+        bad = rng.random() < 0.5
+        said = rng.choice(toxic if bad else clean).format(i=rng.choice(["fool", "dunce", "oaf"]), h=rng.choice(["hurt", "kill"]))
+        rows.append((k, f"{words(rng, 8)}. {said}. {words(rng, 8)}", int(bad)))
+    lexicon = {"fool": 3.0, "dunce": 3.0, "oaf": 3.0}
+    grammar = toxicity.Grammar(lexicon, {})
+    arcs = np.array([grammar.arc_weights(t) for k, t, _ in rows if k % 2 == 0])
+    gains = toxicity.learn_gains(arcs[:, :-1], grammar.marked, arcs[:, -1], np.array([float(y) for k, _, y in rows if k % 2 == 0]))
+    learned = toxicity.Grammar(lexicon, {}, gains=gains)
+    marks = dict(zip(toxicity.MARKS, gains - toxicity.PRIOR, strict=True))
+    assert marks["negated"] < -0.3 and marks["targeted"] > 0.1  # learned from the labels, away from the prior
+    flat = toxicity.Grammar(lexicon, {}, machine=toxicity.compose(toxicity.Transducer({}, {(0, t): frozenset({"accepted"}) for t in (toxicity.INSULT, toxicity.HARM)})), gains=np.zeros(6), accepted=0.0)
+    by = lambda g: area_under_curve([{"score": clause_weight(g, t), "toxic": y} for k, t, y in rows if k % 2])
+    assert by(learned) > 0.9 > 0.7 > by(flat)
+
+
 # ---- op7 ----
 
 
