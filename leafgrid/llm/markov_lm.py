@@ -4,12 +4,13 @@ A hidden chain of ``STATES`` states emits word classes, and a class emits its wo
 counts: frequent words are classes of their own (at most ``TOP_WORDS``, all above 1 / TOP_WORDS of the tokens), the
 rest are classed by a hash of their last three bytes. Baum-Welch runs over all training texts: every task runs the
 scaled forward and backward recursions over its texts, many in step, and sends summed counts of transitions and
-emissions, which add up across partitions. The scaled forward recursion then gives the exact likelihood of each
-text, its closing token included.
+emissions, which add up across partitions. Training ends after ``ITERATIONS``, or once an iteration gains less than
+``LEAST_GAIN`` of the likelihood. The scaled forward recursion then gives the exact likelihood of each text, its closing
+token included: in double precision, while the expected counts of training are taken in single precision.
 
-Word counts are distributed: texts are dealt into chunks, each chunk asks for the counts of its distinct words in
-one join, and gets them back beside its texts. Words travel as 64-bit hashes. Nothing that grows with the vocabulary
-reaches the driver.
+Word counts are distributed: texts are dealt into chunks of about ``CHUNK_BYTES``, however many that makes; each chunk
+asks for the counts of its distinct words in one join (those of the frequent words are known everywhere), and gets them
+back beside its texts. Words travel as 64-bit hashes. Nothing that grows with the vocabulary reaches the driver.
 
 Defined results: a null or empty text is its closing token alone. Every row gets a row, repeated rows and null ids
 included (a null id is in training). Extra columns are ignored. Without training rows N is 0 and all tokens are unknown.
@@ -22,21 +23,24 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, partitions, remainder, table
+from .common import blocks, column, discard, materialize, releasing, remainder, table
 
 STATES = 6
-#: Iterations, each over all training texts.
+#: Iterations at most, each over all training texts, and the share of the likelihood below which a gain ends them.
 ITERATIONS = 12
+LEAST_GAIN = 1e-5
 TOP_WORDS = 1024
 ENDINGS = 512
 #: Tokens that run in step through the recursions; a longer text runs alone.
 STEP_TOKENS = 500_000
+#: Bytes of text in a chunk, and distinct words that a task holds at once.
+CHUNK_BYTES = 12 << 20
+HELD_WORDS = 300_000
 
 END = b""  # no word is empty, so the empty string is the closing token
 
@@ -58,6 +62,7 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
+@releasing
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: Counter[bytes] = Counter()
 
@@ -66,24 +71,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(map(key_of, words)), pa.int64()), pa.array(list(map(ending, words)), pa.int16()), pa.array(list(found.values()), pa.int64())], names=["word", "ending", "n"])
 
     for batch in batches:
-        for text in column(batch, "text").to_pylist():
-            found.update(tokens(text))
-        if len(found) > 500_000:
-            yield flush()
-            found.clear()
+        for block in blocks(batch, "text"):
+            for text in column(block, "text").to_pylist():
+                found.update(tokens(text))
+            if len(found) > HELD_WORDS:
+                yield flush()
+                found.clear()
     if found:
         yield flush()
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, set[bytes]] = {}
-    for batch in batches:
-        for chunk, text in zip(column(batch, "chunk").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-            found.setdefault(chunk, set()).update(tokens(text))
-    for chunk, words in found.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(words), pa.int32()), pa.array(list(map(key_of, words)), pa.int64())], names=["chunk", "word"])
-
-
 class Vocabulary:
     """Bounded part of the vocabulary: the numbers N and V, the frequent words and the totals of the classes."""
 
@@ -92,13 +89,24 @@ class Vocabulary:
         self.top = {w: ENDINGS + k for k, w in enumerate(top)}
         self.class_total, self.class_words = class_total, class_words
 
+        self.top_keys = np.array(sorted(top), np.int64)
+        self.top_classes = np.array([self.top[w] for w in sorted(top)], np.int64)
+
     @property
     def classes(self) -> int:
         return ENDINGS + len(self.top)
 
-    def class_of(self, word: int, last: int) -> int:
-        """Class of a word by its hash and its ending."""
-        return self.top.get(word, last)
+    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are frequent words, and their classes."""
+        if not len(self.top_keys):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.top_keys, words), len(self.top_keys) - 1)
+        return self.top_keys[at] == words, self.top_classes[at]
+
+    def class_of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        """Classes of words by their hashes and endings."""
+        top, classes = self.frequent(words)
+        return np.where(top, classes, endings)
 
 
 def count_words(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
@@ -111,7 +119,7 @@ def count_words(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, words = np.zeros(vocabulary.classes), np.zeros(vocabulary.classes)
         for batch in batches:
-            of = np.array([vocabulary.class_of(*w) for w in zip(column(batch, "word").to_pylist(), column(batch, "ending").to_pylist(), strict=True)], np.int64)
+            of = vocabulary.class_of(column(batch, "word").to_numpy(), column(batch, "ending").to_numpy().astype(np.int64))
             n += np.bincount(of, column(batch, "n").to_numpy(), vocabulary.classes)
             words += np.bincount(of, minlength=vocabulary.classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocabulary.classes)), pa.array(n), pa.array(words)], names=["class", "n", "words"])
@@ -121,34 +129,62 @@ def count_words(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return counted, vocabulary
 
 
-def _encode(left: pd.DataFrame, right: pd.DataFrame, vocabulary: Vocabulary) -> pd.DataFrame:
+@releasing
+def _chunk_words(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Rare words of each chunk; those that a task meets again after a flush are asked for twice, which does no harm."""
+    found: dict[int, set[bytes]] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for chunk, words in found.items():
+            keys = np.fromiter(map(key_of, words), np.int64, len(words))
+            keys = keys[~vocabulary.frequent(keys)[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int64)), pa.array(keys)], names=["chunk", "word"])
+        found.clear()
+
+    for batch in batches:
+        for block in blocks(batch, "text"):
+            for chunk, text in zip(column(block, "chunk").to_pylist(), column(block, "text").to_pylist(), strict=True):
+                found.setdefault(chunk, set()).update(tokens(text))
+            if sum(map(len, found.values())) > HELD_WORDS:
+                yield from flush()
+    yield from flush()
+
+
+def _encode(left: pa.Table, right: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     """Texts of a chunk with the counts of its words: class sequences, base score and word part of the model's score."""
-    known = dict(zip(right["word"].tolist(), right["n"].fillna(0).tolist(), strict=True))
     number: dict[bytes, int] = {}
-    texts = [[number.setdefault(w, len(number)) for w in tokens(text)] for text in left["text"]]
-    keys = list(map(key_of, number))
-    count = np.array([known[k] for k in keys], np.float64)
-    of = np.array([vocabulary.class_of(k, ending(w)) for k, w in zip(keys, number, strict=True)], np.int64)
+    texts = []
+    for text in left.column("text"):
+        texts.append(np.array([number.setdefault(w, len(number)) for w in tokens(text.as_py())], np.int32))
+    keys = np.fromiter(map(key_of, number), np.int64, len(number))
+    of = vocabulary.class_of(keys, np.fromiter(map(ending, number), np.int64, len(number)))
+    number.clear()
+    asked = right.column("word").to_numpy()
+    turn = np.argsort(asked, kind="stable")
+    answers = right.column("n").fill_null(0).to_numpy()
+    count = np.where(of >= ENDINGS, vocabulary.class_total[of], 0.0)
+    rare = np.flatnonzero(of < ENDINGS)
+    if len(rare):
+        count[rare] = answers[turn[np.searchsorted(asked, keys[rare], sorter=turn)]]
     base = np.log10((count + 1) / (vocabulary.total + 1 * (vocabulary.distinct + 1)))
     word_part = np.log10((count + 1) / (vocabulary.class_total[of] + vocabulary.class_words[of] + 1))
-    rows = []
-    for ids in map(np.array, texts):
-        rows.append((len(ids), int((count[ids] > 0).sum()), float(base[ids].sum()), float(word_part[ids].sum()), of[ids].astype("<u2").tobytes()))
-    out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "word_score", "classes"])
-    return pd.concat([left[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
+    rows = [(len(ids), int((count[ids] > 0).sum()), float(base[ids].sum()), float(word_part[ids].sum()), of[ids].astype("<u2").tobytes()) for ids in texts]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "word_score", "classes"])
 
 
 def encode(docs: DataFrame, counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row for each document: lengths, scores of the words, and its class sequence as 16-bit numbers."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    chunks = max(1, partitions(spark) // 2)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    chunks = -(-size // CHUNK_BYTES) or 1
     # one shuffle of the texts serves both sides: what asks and what is answered
-    rows = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    answers = rows.mapInArrow(_chunk_words, "chunk int, word long").join(counted.select("word", "n"), "word", "left")
+    rows = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")).repartition(chunks, "chunk")
+    answers = rows.select("chunk", "text").mapInArrow(lambda it: _chunk_words(it, shared.value), "chunk long, word long").join(counted.select("word", "n"), "word", "left")
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda left, right: _encode(left, right, shared.value), schema)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda left, right: _encode(left, right, shared.value), schema)
 
 
 class Chain:
@@ -157,53 +193,60 @@ class Chain:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def forward(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward variables of texts in step, longest first: alpha by token, scale by token, order, and offsets by step."""
+    def forward(self, sequences: list[np.ndarray], kind: type) -> tuple[np.ndarray, ...]:
+        """Scaled forward variables of texts in step, longest first: alpha by state and token, scale by token, order,
+        offsets by step, classes."""
         size = np.array([len(s) for s in sequences])
         order = np.argsort(-size, kind="stable")
         size = size[order]
-        alive = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than t
+        alive = np.searchsorted(-size, -np.arange(size[0]), side="left").tolist()  # texts longer than t
         at = np.concatenate([[0], np.cumsum(alive)])
-        symbols = np.empty(at[-1], np.int64)
+        symbols = np.empty(at[-1], np.intp)
         for k, text in enumerate(order):
-            s = sequences[text]
-            symbols[at[: len(s)] + k] = s
-        seen = self.emit[symbols]
-        alpha, scale = np.empty((at[-1], len(self.start))), np.empty(at[-1])
-        last = None
-        for t in range(size[0]):
-            part = slice(at[t], at[t + 1])
-            now = (self.start if t == 0 else last[: alive[t]] @ self.move) * seen[part]
-            total = now.sum(1)
-            now /= total[:, None]
-            alpha[part], scale[part], last = now, total, now
+            symbols[at[: size[k]] + k] = sequences[text]
+        alpha = np.take(np.ascontiguousarray(self.emit.T, kind), symbols, axis=1)
+        scale, back = np.empty(at[-1], kind), np.ascontiguousarray(self.move.T, kind)
+        places, last, ones = at.tolist(), None, np.ones(len(self.start), kind)
+        for t, n in enumerate(alive):
+            now = alpha[:, places[t] : places[t + 1]]
+            now *= self.start.astype(kind)[:, None] if last is None else back @ last[:, :n]
+            total = ones @ now
+            scale[places[t] : places[t + 1]] = total
+            now /= total
+            last = now
         return alpha, scale, order, at, symbols
 
     def log_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each text."""
-        _, scale, order, at, _ = self.forward(sequences)
+        _, scale, order, at, _ = self.forward(sequences, np.float64)
         out, logs = np.zeros(len(sequences)), np.log10(scale)
         for t in range(len(at) - 1):
-            n = at[t + 1] - at[t]
-            out[order[:n]] += logs[at[t] : at[t + 1]]
-        return out
+            out[: at[t + 1] - at[t]] += logs[at[t] : at[t + 1]]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def expected(self, sequences: list[np.ndarray], kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of starts, transitions and emissions, and the log likelihood."""
-        alpha, scale, _, at, symbols = self.forward(sequences)
-        states, steps = len(self.start), len(at) - 1
-        seen = self.emit[symbols]
-        beta = np.ones_like(alpha)
+        alpha, scale, _, at, symbols = self.forward(sequences, kind)
+        states, places = len(self.start), at.tolist()
+        weighted = np.take(np.ascontiguousarray(self.emit.T, kind), symbols, axis=1)
+        weighted /= scale
+        beta, move = np.ones_like(alpha), self.move.astype(kind)
+        for t in range(len(places) - 2, 0, -1):
+            ahead = weighted[:, places[t] : places[t + 1]]
+            ahead *= beta[:, places[t] : places[t + 1]]
+            beta[:, places[t - 1] : places[t - 1] + ahead.shape[1]] = move @ ahead
+        # the token before the k-th text's at step t is the k-th at step t - 1
+        width = np.diff(at)
+        before = np.arange(at[1], at[-1]) - np.repeat(width[:-1], width[1:])
         moves = np.zeros((states, states))
-        for t in range(steps - 2, -1, -1):
-            n = at[t + 2] - at[t + 1]
-            ahead = slice(at[t + 1], at[t + 2])
-            weighted = seen[ahead] * beta[ahead] / scale[ahead, None]
-            moves += alpha[at[t] : at[t] + n].T @ weighted
-            beta[at[t] : at[t] + n] = weighted @ self.move.T
-        gamma = alpha * beta
-        emitted = np.stack([np.bincount(symbols, gamma[:, s], len(self.emit)) for s in range(states)], 1)
-        return gamma[: at[1]].sum(0), moves * self.move, emitted, float(np.log10(scale).sum())
+        for k in range(0, len(before), 16_384):
+            part = before[k : k + 16_384]
+            moves += alpha[:, part] @ weighted[:, at[1] + k : at[1] + k + len(part)].T
+        alpha *= beta
+        emitted = np.stack([np.bincount(symbols, alpha[s], len(self.emit)) for s in range(states)], 1)
+        return alpha[:, : at[1]].sum(1, dtype=np.float64), moves * self.move, emitted, float(np.log10(scale, dtype=np.float64).sum())
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -220,6 +263,7 @@ def _steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]
         yield order[start:], [texts[r] for r in order[start:]]
 
 
+@releasing
 def _expected(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -253,9 +297,12 @@ def baum_welch(encoded: DataFrame, classes: np.ndarray, states: int = STATES, it
     for _ in range(iterations):
         chain, likelihood = step(encoded, chain, share)
         history += [] if likelihood is None else [likelihood]
+        if len(history) > 1 and history[-1] - history[-2] < LEAST_GAIN * -history[-1]:
+            break
     return chain, history
 
 
+@releasing
 def _scored(batches: Iterator[pa.RecordBatch], chain: Chain, total: int) -> Iterator[pa.RecordBatch]:
     keep = ["doc_id", "held_out", "n_tokens", "n_known"]
     for batch in batches:
@@ -273,6 +320,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counted, vocabulary = count_words(rows.where(~F.col("held_out")))
     encoded = materialize(encode(rows, counted, vocabulary), "classes")
+    discard(counted)
     chain, _ = baum_welch(encoded.where(~F.col("held_out")), vocabulary.class_total)
     shared = spark.sparkContext.broadcast(chain)
     kind = dict(rows.dtypes)["doc_id"]

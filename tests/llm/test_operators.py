@@ -501,6 +501,40 @@ def test_markov_scores(spark):
     assert markov_lm.score_texts(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_markov_scores_by_brute_force(spark, monkeypatch):
+    """The whole query's scores from its chain by a plain forward recursion; several chunks; repeats score alike."""
+    monkeypatch.setattr(markov_lm, "CHUNK_BYTES", 1500)
+    kept = []
+    fit = markov_lm.baum_welch
+    monkeypatch.setattr(markov_lm, "baum_welch", lambda *a: kept.append(fit(*a)) or kept[-1])
+    rng = random.Random(16)
+    rows = [(i, words(rng, rng.randint(0, 60), 3000)) for i in range(90)] + [(500, "w1 w2 w3"), (500, "w1 w2 w3"), (501, "long " * 20_000)]
+    docs = docs_of(spark, rows)
+    got = markov_lm.score_texts(docs, remainder(F.col("doc_id"), 7) == 2).collect()
+    (chain, history), split = kept[0], lambda t: [*t.encode().split(), b""]
+    assert all(b >= a - 1e-4 * abs(a) for a, b in zip(history, history[1:], strict=False))
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(w for d, t in rows if not held(d) for w in split(t))
+    total = sum(counts.values())
+    keys = {w: markov_lm.key_of(w) for w in {w for _, t in rows for w in split(t)}}
+    top = sorted(keys[w] for w, n in counts.items() if n * markov_lm.TOP_WORDS > total)
+    kind = lambda w: markov_lm.ENDINGS + top.index(keys[w]) if keys[w] in top else markov_lm.ending(w)
+    tokens_of, words_of = Counter(), Counter()
+    for w, n in counts.items():
+        tokens_of[kind(w)] += n
+        words_of[kind(w)] += 1
+    want = {}
+    for d, t in rows:
+        a, score = chain.start, 0.0
+        for k, w in enumerate(split(t)):
+            c = kind(w)
+            a = (a if k == 0 else a @ chain.move) * chain.emit[c]
+            score += math.log10(a.sum()) + math.log10((counts[w] + 1) / (tokens_of[c] + words_of[c] + 1))
+            a = a / a.sum()
+        want[d] = score
+    assert len(got) == len(rows) and all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in got)
+
+
 def test_forward_recursion_is_exact_and_training_climbs():
     rng = np.random.default_rng(1)
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
@@ -516,9 +550,11 @@ def test_forward_recursion_is_exact_and_training_climbs():
     assert np.allclose(chain.log_likelihood(texts), [slow(t) for t in texts])
     last = -np.inf
     for _ in range(6):
-        start, moves, emitted, likelihood = chain.expected(texts)
+        start, moves, emitted, likelihood = chain.expected(texts, np.float64)
         assert likelihood >= last - 1e-9 and emitted.sum() == pytest.approx(18) and moves.sum() == pytest.approx(13)
         last = likelihood
+        for a, b in zip(chain.expected(texts), (start, moves, emitted), strict=False):
+            assert np.allclose(a, b, rtol=1e-3, atol=1e-4)  # in single precision
         chain = markov_lm.Chain(norm(start, 0), norm(moves, 1), norm(emitted, 0))
 
 
