@@ -6,11 +6,12 @@ rest are classed by a hash of their last three bytes. Baum-Welch runs over all t
 scaled forward and backward recursions over its texts, many in step, and sends summed counts of transitions and
 emissions, which add up across partitions. Training ends after ``ITERATIONS``, or once an iteration gains less than
 ``LEAST_GAIN`` of the likelihood. The scaled forward recursion then gives the exact likelihood of each text, its closing
-token included: in double precision, while the expected counts of training are taken in single precision.
+token included.
 
-Word counts are distributed: texts are dealt into chunks of about ``CHUNK_BYTES``, however many that makes; each chunk
-asks for the counts of its distinct words in one join (those of the frequent words are known everywhere), and gets them
-back beside its texts. Words travel as 64-bit hashes. Nothing that grows with the vocabulary reaches the driver.
+Texts are read once and cut, where they lie, into chunks of about ``CHUNK_BYTES``: each with a dictionary of its words
+and its texts as places in it. One window over the words of all dictionaries gives each its count in the whole corpus,
+and texts and counts of a chunk meet again. Words travel as 64-bit hashes. Nothing that grows with the vocabulary reaches
+the driver.
 
 Defined results: a null or empty text is its closing token alone. Every row gets a row, repeated rows and null ids
 included (a null id is in training). Extra columns are ignored. Without training rows N is 0 and all tokens are unknown.
@@ -19,14 +20,15 @@ included (a null id is in training). Extra columns are ignored. Without training
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import blocks, column, discard, materialize, releasing, remainder, table
 
@@ -37,10 +39,11 @@ LEAST_GAIN = 1e-5
 TOP_WORDS = 1024
 ENDINGS = 512
 #: Tokens that run in step through the recursions; a longer text runs alone.
-STEP_TOKENS = 500_000
-#: Bytes of text in a chunk, and distinct words that a task holds at once.
+STEP_TOKENS = 600_000
+#: Bytes of text in a chunk.
 CHUNK_BYTES = 12 << 20
-HELD_WORDS = 300_000
+#: Steps between two scalings of the forward variables in training: no product of so many probabilities underflows.
+SCALED = 8
 
 END = b""  # no word is empty, so the empty string is the closing token
 
@@ -63,128 +66,98 @@ def ending(word: bytes) -> int:
 
 
 @releasing
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
+def _cut(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of texts (doc_id, held_out, ids) and of words (place, word, ending, n in training) of each chunk."""
+    number: dict[bytes, int] = {}
+    held: list[tuple] = []
+    size, chunk = 0, TaskContext.get().partitionId() << 32
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary()), ("place", pa.int32()), ("word", pa.int64()), ("ending", pa.int16()), ("n", pa.int64())])
+
+    def rows(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        columns["chunk"] = np.full(n, chunk)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def flush() -> pa.RecordBatch:
-        words = list(found)
-        return pa.RecordBatch.from_arrays([pa.array(list(map(key_of, words)), pa.int64()), pa.array(list(map(ending, words)), pa.int16()), pa.array(list(found.values()), pa.int64())], names=["word", "ending", "n"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(number), np.int64)
+        for _, held_out, ids in held:
+            if not held_out:
+                counts += np.bincount(np.frombuffer(ids, np.uint32), minlength=len(number))
+        for k in range(0, len(held), 1000):
+            docs, out, ids = zip(*held[k : k + 1000], strict=True)
+            yield rows({"doc_id": docs, "held_out": out, "ids": ids})
+        words = list(number)
+        for k in range(0, len(words), 50_000):
+            part = words[k : k + 50_000]
+            yield rows({"place": np.arange(k, k + len(part)), "word": np.fromiter(map(key_of, part), np.int64), "ending": np.fromiter(map(ending, part), np.int16), "n": counts[k : k + len(part)]})
 
     for batch in batches:
         for block in blocks(batch, "text"):
-            for text in column(block, "text").to_pylist():
-                found.update(tokens(text))
-            if len(found) > HELD_WORDS:
-                yield flush()
-                found.clear()
-    if found:
-        yield flush()
+            for doc, out, text in zip(*(column(block, c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                held.append((doc, out, np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32).tobytes()))
+                size += len(text) + 16
+                if size >= CHUNK_BYTES:
+                    yield from flush()
+                    number.clear(), held.clear()
+                    size, chunk = 0, chunk + 1
+    if held:
+        yield from flush()
 
 
 class Vocabulary:
     """Bounded part of the vocabulary: the numbers N and V, the frequent words and the totals of the classes."""
 
     def __init__(self, total: int, distinct: int, top: list[int], class_total: np.ndarray, class_words: np.ndarray):
-        self.total, self.distinct = total, distinct
-        self.top = {w: ENDINGS + k for k, w in enumerate(top)}
+        self.total, self.distinct, self.top = total, distinct, np.array(sorted(top), np.int64)
         self.class_total, self.class_words = class_total, class_words
 
-        self.top_keys = np.array(sorted(top), np.int64)
-        self.top_classes = np.array([self.top[w] for w in sorted(top)], np.int64)
-
-    @property
-    def classes(self) -> int:
-        return ENDINGS + len(self.top)
-
-    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are frequent words, and their classes."""
-        if not len(self.top_keys):
-            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.top_keys, words), len(self.top_keys) - 1)
-        return self.top_keys[at] == words, self.top_classes[at]
 
-    def class_of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        """Classes of words by their hashes and endings."""
-        top, classes = self.frequent(words)
-        return np.where(top, classes, endings)
-
-
-def count_words(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """Counts of all words of all training texts (a table), and what of them is bounded."""
-    counted = materialize(training.select("text").mapInArrow(_counts, "word long, ending short, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
-    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    top = [r["word"] for r in counted.where(F.col("n") * TOP_WORDS > sums["total"]).orderBy("word").collect()]  # fewer than TOP_WORDS by counting
-    vocabulary = Vocabulary(sums["total"], sums["distinct"], top, np.zeros(ENDINGS + len(top)), np.zeros(ENDINGS + len(top)))
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, words = np.zeros(vocabulary.classes), np.zeros(vocabulary.classes)
-        for batch in batches:
-            of = vocabulary.class_of(column(batch, "word").to_numpy(), column(batch, "ending").to_numpy().astype(np.int64))
-            n += np.bincount(of, column(batch, "n").to_numpy(), vocabulary.classes)
-            words += np.bincount(of, minlength=vocabulary.classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocabulary.classes)), pa.array(n), pa.array(words)], names=["class", "n", "words"])
-
-    for r in counted.mapInArrow(totals, "class long, n double, words double").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
-        vocabulary.class_total[r["class"]], vocabulary.class_words[r["class"]] = r["n"], r["words"]
-    return counted, vocabulary
-
-
-@releasing
-def _chunk_words(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Rare words of each chunk; those that a task meets again after a flush are asked for twice, which does no harm."""
-    found: dict[int, set[bytes]] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for chunk, words in found.items():
-            keys = np.fromiter(map(key_of, words), np.int64, len(words))
-            keys = keys[~vocabulary.frequent(keys)[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int64)), pa.array(keys)], names=["chunk", "word"])
-        found.clear()
-
-    for batch in batches:
-        for block in blocks(batch, "text"):
-            for chunk, text in zip(column(block, "chunk").to_pylist(), column(block, "text").to_pylist(), strict=True):
-                found.setdefault(chunk, set()).update(tokens(text))
-            if sum(map(len, found.values())) > HELD_WORDS:
-                yield from flush()
-    yield from flush()
+def count_words(texts: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary]:
+    """Texts as places in the dictionary of their chunk, the corpus counts of each dictionary, and what is bounded."""
+    kind = dict(texts.dtypes)["doc_id"]
+    arrow = to_arrow_type(texts.schema["doc_id"].dataType)
+    cut = materialize(texts.mapInArrow(lambda it: _cut(it, arrow), f"chunk long, doc_id {kind}, held_out boolean, ids binary, place int, word long, ending short, n long"), "chunks")
+    total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    of = Window.partitionBy("word")
+    every = cut.where("word is not null").select("chunk", "place", "word", "ending", F.sum("n").over(of).alias("n"), (F.row_number().over(of.orderBy("chunk")) == 1).alias("first"))
+    answers = materialize(every.select("chunk", "place", "ending", "n", F.when(F.col("n") * TOP_WORDS > total, F.col("word")).alias("top"), "first"), "answers")
+    sums = answers.where("first and n > 0").groupBy("ending", "top").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # fewer than ENDINGS + TOP_WORDS rows, by counting
+    top = sorted(r["top"] for r in sums if r["top"] is not None)
+    classes, words = np.zeros(ENDINGS + len(top)), np.zeros(ENDINGS + len(top))
+    for r in sums:
+        at = r["ending"] if r["top"] is None else ENDINGS + top.index(r["top"])
+        classes[at] += r["n"]
+        words[at] += r["words"]
+    return cut, answers, Vocabulary(total, sum(r["words"] for r in sums), top, classes, words)
 
 
 def _encode(left: pa.Table, right: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     """Texts of a chunk with the counts of its words: class sequences, base score and word part of the model's score."""
-    number: dict[bytes, int] = {}
-    texts = []
-    for text in left.column("text"):
-        texts.append(np.array([number.setdefault(w, len(number)) for w in tokens(text.as_py())], np.int32))
-    keys = np.fromiter(map(key_of, number), np.int64, len(number))
-    of = vocabulary.class_of(keys, np.fromiter(map(ending, number), np.int64, len(number)))
-    number.clear()
-    asked = right.column("word").to_numpy()
-    turn = np.argsort(asked, kind="stable")
-    answers = right.column("n").fill_null(0).to_numpy()
-    count = np.where(of >= ENDINGS, vocabulary.class_total[of], 0.0)
-    rare = np.flatnonzero(of < ENDINGS)
-    if len(rare):
-        count[rare] = answers[turn[np.searchsorted(asked, keys[rare], sorter=turn)]]
+    place, top = right.column("place").to_numpy(), right.column("top")
+    count, of = np.zeros(len(place)), np.zeros(len(place), np.int64)
+    count[place] = right.column("n").to_numpy()
+    frequent = top.is_valid().to_numpy()
+    of[place] = np.where(frequent, ENDINGS + np.searchsorted(vocabulary.top, top.fill_null(0).to_numpy()), right.column("ending").to_numpy())
     base = np.log10((count + 1) / (vocabulary.total + 1 * (vocabulary.distinct + 1)))
     word_part = np.log10((count + 1) / (vocabulary.class_total[of] + vocabulary.class_words[of] + 1))
-    rows = [(len(ids), int((count[ids] > 0).sum()), float(base[ids].sum()), float(word_part[ids].sum()), of[ids].astype("<u2").tobytes()) for ids in texts]
+    short = of.astype("<u2")
+    rows = []
+    for raw in left.column("ids"):
+        ids = np.frombuffer(raw.as_buffer(), np.uint32)
+        rows.append((len(ids), int((count[ids] > 0).sum()), float(base[ids].sum()), float(word_part[ids].sum()), short[ids].tobytes()))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
     return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "word_score", "classes"])
 
 
-def encode(docs: DataFrame, counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encode(cut: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row for each document: lengths, scores of the words, and its class sequence as 16-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    chunks = -(-size // CHUNK_BYTES) or 1
-    # one shuffle of the texts serves both sides: what asks and what is answered
-    rows = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")).repartition(chunks, "chunk")
-    answers = rows.select("chunk", "text").mapInArrow(lambda it: _chunk_words(it, shared.value), "chunk long, word long").join(counted.select("word", "n"), "word", "left")
-    kind = dict(docs.dtypes)["doc_id"]
+    shared = cut.sparkSession.sparkContext.broadcast(vocabulary)
+    texts = cut.where("ids is not null").select("chunk", "doc_id", "held_out", "ids")
+    kind = dict(cut.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda left, right: _encode(left, right, shared.value), schema)
+    words = answers.select("chunk", "place", "ending", "n", "top")
+    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lambda left, right: _encode(left, right, shared.value), schema)
 
 
 class Chain:
@@ -192,10 +165,21 @@ class Chain:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
+        self.room: dict[str, np.ndarray] = {}
+
+    def space(self, name: str, rows: int, n: int) -> np.ndarray:
+        """Memory that a task uses again for its next texts: new pages cost more than the arithmetic."""
+        if name not in self.room or self.room[name].size < rows * n:
+            self.room[name] = np.empty(max(rows * n, rows * STEP_TOKENS))
+        return self.room[name][: rows * n].reshape(rows, n)
+
+    def seen(self, name: str, symbols: np.ndarray) -> np.ndarray:
+        """Probability of each token's class by state."""
+        return np.take(np.ascontiguousarray(self.emit.T), symbols, axis=1, out=self.space(name, len(self.start), len(symbols)), mode="clip")
 
-    def forward(self, sequences: list[np.ndarray], kind: type) -> tuple[np.ndarray, ...]:
-        """Scaled forward variables of texts in step, longest first: alpha by state and token, scale by token, order,
-        offsets by step, classes."""
+    def forward(self, sequences: list[np.ndarray], scaled: int = 1) -> tuple[np.ndarray, ...]:
+        """Scaled forward variables of texts in step, longest first: alpha by state and token, scale by token (1 but at
+        every ``scaled``-th step and at the end), order, offsets by step, classes."""
         size = np.array([len(s) for s in sequences])
         order = np.argsort(-size, kind="stable")
         size = size[order]
@@ -204,21 +188,30 @@ class Chain:
         symbols = np.empty(at[-1], np.intp)
         for k, text in enumerate(order):
             symbols[at[: size[k]] + k] = sequences[text]
-        alpha = np.take(np.ascontiguousarray(self.emit.T, kind), symbols, axis=1)
-        scale, back = np.empty(at[-1], kind), np.ascontiguousarray(self.move.T, kind)
-        places, last, ones = at.tolist(), None, np.ones(len(self.start), kind)
+        alpha, scale, back = self.seen("alpha", symbols), self.space("scale", 1, at[-1])[0], np.ascontiguousarray(self.move.T)
+        scale[:] = 1
+        places, ones = at.tolist(), np.ones(len(self.start))
+        last = alpha[:, : places[1]]
+        last *= self.start[:, None]
         for t, n in enumerate(alive):
             now = alpha[:, places[t] : places[t + 1]]
-            now *= self.start.astype(kind)[:, None] if last is None else back @ last[:, :n]
-            total = ones @ now
-            scale[places[t] : places[t + 1]] = total
-            now /= total
+            if t:
+                now *= back @ last[:, :n]
+            if (t + 1) % scaled == 0:
+                total = ones @ now
+                scale[places[t] : places[t + 1]] = total
+                now /= total
             last = now
+        if scaled > 1:  # the last token of each text takes what is left
+            ends = at[size - 1] + np.arange(len(size))
+            total = alpha[:, ends].sum(0)
+            scale[ends] *= total
+            alpha[:, ends] /= total
         return alpha, scale, order, at, symbols
 
     def log_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each text."""
-        _, scale, order, at, _ = self.forward(sequences, np.float64)
+        _, scale, order, at, _ = self.forward(sequences)
         out, logs = np.zeros(len(sequences)), np.log10(scale)
         for t in range(len(at) - 1):
             out[: at[t + 1] - at[t]] += logs[at[t] : at[t + 1]]
@@ -226,27 +219,27 @@ class Chain:
         back[order] = out
         return back
 
-    def expected(self, sequences: list[np.ndarray], kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def expected(self, sequences: list[np.ndarray], scaled: int = SCALED) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of starts, transitions and emissions, and the log likelihood."""
-        alpha, scale, _, at, symbols = self.forward(sequences, kind)
-        states, places = len(self.start), at.tolist()
-        weighted = np.take(np.ascontiguousarray(self.emit.T, kind), symbols, axis=1)
+        alpha, scale, _, at, symbols = self.forward(sequences, scaled)
+        states, places, move = len(self.start), at.tolist(), self.move
+        weighted, beta = self.seen("weighted", symbols), self.space("beta", states, len(symbols))
         weighted /= scale
-        beta, move = np.ones_like(alpha), self.move.astype(kind)
+        beta[:] = 1
         for t in range(len(places) - 2, 0, -1):
             ahead = weighted[:, places[t] : places[t + 1]]
             ahead *= beta[:, places[t] : places[t + 1]]
-            beta[:, places[t - 1] : places[t - 1] + ahead.shape[1]] = move @ ahead
+            np.matmul(move, ahead, out=beta[:, places[t - 1] : places[t - 1] + ahead.shape[1]])
         # the token before the k-th text's at step t is the k-th at step t - 1
         width = np.diff(at)
         before = np.arange(at[1], at[-1]) - np.repeat(width[:-1], width[1:])
         moves = np.zeros((states, states))
         for k in range(0, len(before), 16_384):
             part = before[k : k + 16_384]
-            moves += alpha[:, part] @ weighted[:, at[1] + k : at[1] + k + len(part)].T
+            moves += np.take(alpha, part, axis=1) @ weighted[:, at[1] + k : at[1] + k + len(part)].T
         alpha *= beta
         emitted = np.stack([np.bincount(symbols, alpha[s], len(self.emit)) for s in range(states)], 1)
-        return alpha[:, : at[1]].sum(1, dtype=np.float64), moves * self.move, emitted, float(np.log10(scale, dtype=np.float64).sum())
+        return alpha[:, : at[1]].sum(1), moves * self.move, emitted, float(np.log10(scale[scale != 1]).sum())
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -271,6 +264,7 @@ def _expected(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.Re
             start, moves, emitted, likelihood = chain.expected(texts)
             flat = np.concatenate([start, moves.ravel(), emitted.ravel(), [likelihood]])
             total = flat if total is None else total + flat
+    chain.room.clear()
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "value"])
 
@@ -311,6 +305,7 @@ def _scored(batches: Iterator[pa.RecordBatch], chain: Chain, total: int) -> Iter
         score = column(batch, "word_score").to_numpy().copy()
         for part, texts in _steps(batch):
             score[part] += chain.log_likelihood(texts)
+        chain.room.clear()
         yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(np.full(batch.num_rows, total)), column(batch, "base_score"), pa.array(score)], names=[*keep, "train_tokens", "base_score", "score"])
 
 
@@ -318,9 +313,9 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     """Train on the rows that are not held out and score every text."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted, vocabulary = count_words(rows.where(~F.col("held_out")))
-    encoded = materialize(encode(rows, counted, vocabulary), "classes")
-    discard(counted)
+    cut, answers, vocabulary = count_words(rows)
+    encoded = materialize(encode(cut, answers, vocabulary), "classes")
+    discard(cut, answers)
     chain, _ = baum_welch(encoded.where(~F.col("held_out")), vocabulary.class_total)
     shared = spark.sparkContext.broadcast(chain)
     kind = dict(rows.dtypes)["doc_id"]
