@@ -25,10 +25,29 @@ from .common import partitions, table
 SAMPLES = 32
 
 
+def word_array(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def term_of(word: Column) -> Column:
+    """Hash of a word; its low six bits hold the length if that is below 63, and 63 otherwise."""
+    return F.xxhash64(word).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.length(word), F.lit(63)))
+
+
 def term_array(text: Column) -> Column:
-    """Sorted array of word hashes; the low six bits of each hold the word's length, at most 63."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.length(w), F.lit(63)))))
+    return F.sort_array(F.transform(word_array(text), term_of))
+
+
+def long_words(text: Column, terms: Column) -> Column:
+    """(term, length) of the words of 63 characters or more; most texts have none and are not cut again."""
+    found = F.filter(word_array(text), lambda w: F.length(w) >= 63)
+    made = F.array_distinct(F.transform(found, lambda w: F.struct(term_of(w).alias("term"), F.length(w).alias("length"))))
+    return F.when(F.exists(terms, lambda t: t.bitwiseAND(F.lit(63)) == 63), made)
+
+
+def length_of(term: Column, long: Column) -> Column:
+    low = term.bitwiseAND(F.lit(63))
+    return F.when(low < 63, low).otherwise(F.get(F.filter(long, lambda x: x["term"] == term), F.lit(0))["length"])
 
 
 def counted(terms: Column, ends: Column) -> Column:
@@ -107,10 +126,10 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     )
     bodies = rows.select("bucket", "rn", "halo", "doc_id", F.length("text").cast("long").alias("n_chars"), F.inline(variants))
     keys = ["bucket", "rn", "halo", "doc_id", "n_chars", "which"]
-    bags = bodies.select(*keys, F.when(F.col("which") == 1, F.sha2("body", 256)).alias("sha"), F.inline(F.array(F.struct(term_array(F.col("body")).alias("terms")))))
-    bags = bags.select(*keys, "sha", "terms", F.inline(F.array(F.struct(run_ends(F.col("terms")).alias("ends")))))
-    terms = bags.select(*keys, "sha", F.inline_outer(counted(F.col("terms"), F.col("ends"))))
-    weighed = terms.select(*keys, "sha", "term", F.log((F.col("n") * F.col("term").bitwiseAND(F.lit(63))).cast("double")).alias("ln_weight"))
+    bags = bodies.select(*keys, "body", F.when(F.col("which") == 1, F.sha2("body", 256)).alias("sha"), F.inline(F.array(F.struct(term_array(F.col("body")).alias("terms")))))
+    bags = bags.select(*keys, "sha", "terms", F.inline(F.array(F.struct(run_ends(F.col("terms")).alias("ends"), long_words(F.col("body"), F.col("terms")).alias("long")))))
+    terms = bags.select(*keys, "sha", "long", F.inline_outer(counted(F.col("terms"), F.col("ends"))))
+    weighed = terms.select(*keys, "sha", "term", F.log((F.col("n") * length_of(F.col("term"), F.col("long"))).cast("double")).alias("ln_weight"))
     signed = weighed.groupBy(*keys, "sha").agg(*draws(samples)).select(*keys, "sha", F.array(*[F.col(f"s{k}") for k in range(samples)]).alias("signature"))
     order = Window.partitionBy("bucket").orderBy("rn", "which")
     written = lambda c: F.when(F.get(c, F.lit(0)).isNull(), "").otherwise(F.concat_ws("", F.transform(c, lambda s: F.lpad(F.hex(s.bitwiseAND(F.lit(4294967295))), 8, "0"))))

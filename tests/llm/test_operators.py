@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leafgrid.llm import decontamination, jaccard_join, language_id, markov_lm, packing, queries, secret_scan, suffix_dedup, toxicity, warc, weighted_fingerprint
@@ -577,10 +579,10 @@ def test_every_iteration_runs_over_all_texts(spark, monkeypatch):
 
 def test_fingerprints(spark):
     rng = random.Random(8)
-    rows = [(i, words(rng, 60, 120)) for i in range(40)] + [(50, "same text here"), (51, "same text here"), *ODD]
+    rows = [(i, words(rng, 60, 120)) for i in range(40)] + [(60 + k, words(rng, 30, 120) + " " + "y" * rng.choice([62, 63, 64, 200, 400]) + " " + "z" * 300) for k in range(8)] + [(50, "same text here"), (51, "same text here"), *ODD]
     got = weighted_fingerprint.fingerprints(docs_of(spark, rows), samples=64).collect()
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] or ""))
-    bag = lambda t: Counter({w: n * min(63, len(w)) for w, n in Counter(re.findall(r"[^\x20\x09-\x0D]+", t)).items()})
+    bag = lambda t: Counter({w: n * len(w) for w, n in Counter(re.findall(r"[^\x20\x09-\x0D]+", t)).items()})
 
     def likeness(a, b):
         a, b = bag(a), bag(b)
@@ -604,6 +606,38 @@ def test_fingerprints(spark):
     assert weighted_fingerprint.fingerprints(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def brute_fingerprint(text, samples):
+    """The same draws one by one in plain Python, weights from the words themselves."""
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    out = []
+    bag = Counter(re.findall(r"[^\x20\x09-\x0D]+", text))
+    for k in range(samples if bag else 0):
+        drawn = []
+        for w, n in bag.items():
+            term = xxhash.xxh64_intdigest(w.encode(), 42) & ~63 | min(63, len(w))
+            first = xxhash.xxh64_intdigest(struct.pack("<Q", term), 42)
+            a, b = (xxhash.xxh64_intdigest(struct.pack("<i", j), first) for j in (2 * k, 2 * k + 1))
+            unit = lambda x, bits: (x + 0.5) / 2**bits
+            beta = (a >> 1 & (1 << 21) - 1) / 2**21
+            r = -math.log(unit(a >> 43, 21) * unit(a >> 22 & (1 << 21) - 1, 21))
+            log_c = math.log(-math.log(unit(b >> 32, 32) * unit(b & 2**32 - 1, 32)))
+            t = math.floor(math.log(n * len(w)) / r + beta)
+            drawn.append((int((log_c - r * (t - beta + 1) + 100) * 2**24), (signed(a) ^ t << 9) & 2**32 - 1))
+        out.append(f"{min(drawn)[1]:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = random.Random(18)
+    rows = [(i, words(rng, rng.randint(1, 80), 50)) for i in range(30)] + [(40, "same words same"), (41, "same words same"), (42, "q" * 5000 + " " + "é" * 63 + " x"), *ODD]
+    got = weighted_fingerprint.fingerprints(docs_of(spark, rows)).collect()
+    want = Counter((d, brute_fingerprint(t or "", 32)) for d, t in rows)
+    assert want == Counter((r["doc_id"], r["fingerprint"]) for r in got)
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] or ""))
+    edited = {hashlib.sha256(e.encode()).hexdigest(): e for (_, t), (_, n) in zip(order, order[1:] + order[:1], strict=True) for e in [(t or "")[: len(t or "") - len(t or "") // 2] + (n or "")[: len(t or "") // 2]]}
+    assert all(r["edited_fingerprint"] == brute_fingerprint(edited[r["edited_sha256"]], 32) for r in got)
+
+
 def test_fingerprints_use_no_python(spark, corpus):
     plan = weighted_fingerprint.fingerprints(corpus)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
