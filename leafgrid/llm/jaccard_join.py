@@ -10,6 +10,7 @@ fewest rare shingles, the likely source of its copies), members are expanded and
 become components. Then only pairs that still lie in different components are made and verified. What is skipped
 joins documents already connected, so the components are exact. A shingle common to many groups is dealt over
 several keys in the first step, and their centres meet in turn; a key without a short prefix meets the first centre.
+The second step deals one side of a large key over salts and repeats the other under all of them.
 
 Before whole sets move, a pair is held against parity bitmaps: they differ in at most as many bits as the sets in
 shingles, so a pair whose bitmaps differ in more than similar sets may is left out without loss. Texts of the sets
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialize, small_batches, table, utf8
+from .common import blocks, column, discard, materialize, releasing, small_batches, table, utf8
 
 SHINGLE = 5
 PERCENT = 80
@@ -103,6 +104,7 @@ def node_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+@releasing
 def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several different sets of a task share, counted."""
     seen, held, size = set(), [], 0
@@ -122,7 +124,7 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     seen.add(node)
                     held.append(own)
                     size += len(own)
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -170,6 +172,7 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+@releasing
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total = column(batch, "n").to_numpy() + column(batch, "m").to_numpy()
@@ -178,6 +181,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+@releasing
 def _nodes(batches: Iterator[pa.RecordBatch], common: tuple) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch, "text", BLOCK):
@@ -192,6 +196,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], common: tuple) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(np.diff(at)), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "gid", "bits"])
 
 
+@releasing
 def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> Iterator[pa.RecordBatch]:
     seen = set()
     for batch in batches:
@@ -214,6 +219,7 @@ def _postings(batches: Iterator[pa.RecordBatch], common: tuple, share: int) -> I
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(gid), pa.array((salt << 33) | (pos << 1) | short)], names=["token", "gid", "place"])
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch, "text", BLOCK):
@@ -224,6 +230,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([want[k] for k in keep], pa.binary()), pa.array([own[k].tobytes() for k in keep], pa.binary())], names=["node", "shingles"])
 
 
+@releasing
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, out = column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), []
@@ -245,6 +252,7 @@ def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
+@releasing
 def _maybe(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit = np.ones(batch.num_rows, bool)
@@ -265,7 +273,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     sets = materialize(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
     left = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"), "verified")
+    found = materialize(both.select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"), "verified")
+    discard(close, wanted, sets)
+    return found
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -281,7 +291,10 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
         far = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
         new = near.withColumn("at", F.col("label.node")).join(far, "at", "left").select("node", F.least("label", "far").alias("label"))
         old, labels = labels, materialize(new, "labels")
-        if not labels.join(old.withColumnRenamed("label", "was"), "node").where(F.col("label") != F.col("was")).take(1):
+        settled = not labels.join(old.withColumnRenamed("label", "was"), "node").where(F.col("label") != F.col("was")).take(1)
+        discard(old)
+        if settled:
+            discard(ways)
             return labels
 
 
@@ -289,6 +302,16 @@ def fits(n: str, m: str):
     return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
 
 
+def dealt_side(rows: DataFrame, by: str, share: int) -> DataFrame:
+    """Rows of a key with ``held`` rows dealt over as many salts as it holds shares."""
+    return rows.withColumn("salt", F.expr(f"pmod(hash({by}), cast(held / {share} as int) + 1)"))
+
+
+def repeated_side(rows: DataFrame, share: int) -> DataFrame:
+    """The other side of such a join: each row under all salts of its key."""
+    return rows.withColumn("salt", F.explode(F.expr(f"sequence(0, cast(held / {share} as int))")))
+
+
 def near_duplicates(docs: DataFrame, common_limit: int = COMMON, share: int = SHARE) -> DataFrame:
     """Set size and component of every document."""
     with small_batches(docs.sparkSession, BATCH_ROWS):
@@ -332,15 +355,17 @@ def _near_duplicates(docs: DataFrame, common_limit: int, share: int) -> DataFram
     # the rest: pairs under a shingle, or within a group, that still lie in different components
     placed = nodes.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("label", F.struct("id", "node")).alias("label"))
     members = met.select("token", "gid", "pos").distinct().join(placed, "gid")
-    mixed = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    open_ = members.join(mixed, "token", "left_semi")
-    left, right = open_.selectExpr("token", "node AS a", "n", "label", "pos"), open_.selectExpr("token", "node AS b", "n AS m", "label AS other", "pos AS at")
+    mixed = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x <> y").select("token", "held")
+    open_ = members.join(mixed, "token")
+    left = dealt_side(open_, "node", share).selectExpr("token", "salt", "node AS a", "n", "label", "pos")
+    right = repeated_side(open_, share).selectExpr("token", "salt", "node AS b", "n AS m", "label AS other", "pos AS at")
     # similar sets share this much at least, so they meet within what is left of each before it
     shared = f"ceil({PERCENT} * (n + m) / {100 + PERCENT})"
-    rest = left.join(right, "token").where(f"label < other and n - pos >= {shared} and m - at >= {shared}").where(fits("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    split = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-    loose = placed.join(split, "gid", "left_semi")
-    inner = loose.select("gid", F.col("node").alias("a"), "label").join(loose.select("gid", F.col("node").alias("b"), F.col("label").alias("other")), "gid").where("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = left.join(right, ["token", "salt"]).where(f"label < other and n - pos >= {shared} and m - at >= {shared}").where(fits("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    split = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x <> y").select("gid", "held")
+    loose = placed.join(split, "gid")
+    left, right = dealt_side(loose, "node", share).selectExpr("gid", "salt", "node AS a", "label"), repeated_side(loose, share).selectExpr("gid", "salt", "node AS b", "label AS other")
+    inner = left.join(right, ["gid", "salt"]).where("label < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = rest.unionByName(inner).distinct().join(first, ["a", "b"], "left_anti")
     more = verified(second, nodes, rows)
     if more.take(1):

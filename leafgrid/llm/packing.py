@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialize, partitions, table
+from .common import blocks, column, discard, materialize, partitions, releasing, table
 
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 
 # The split rule of the tokenizer within plain Latin text, and what is outside of such text.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+")
@@ -92,6 +92,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+@releasing
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     coder, closing, wide = encoder(path), np.array([CLOSING_ID], "<u4").tobytes(), 4 * capacity
     for batch in batches:
@@ -110,7 +111,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
                 [column(block, "doc_id").take(pa.array(owner)), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-    coder.cache.clear()  # the worker lives on and serves other stages
+    _ENCODERS.clear()  # the worker lives on and serves other stages
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -154,7 +155,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
                 used[n] = used.get(n, 0) + take
                 room -= n * take
             at = min(at - 1, bisect_right(free, room) - 1)
-        if room and len(pattern) > 1:
+        if room:
             small = pattern[-1]
             spare = {n: left[n] - used.get(n, 0) for n in free}
             pair = best_pair([n for n in free if spare[n] > 0], spare, room + small, small)

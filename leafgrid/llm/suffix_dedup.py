@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialize, partitions, table, utf8
+from .common import blocks, column, materialize, partitions, releasing, table, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -78,6 +78,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row_of, hashes[start + at].view(np.int64), at, valid[new] - start, valid[end] - start
 
 
+@releasing
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch, "text"):
@@ -87,6 +88,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(gram), column(block, "key").take(pick), column(block, "th").take(pick), pa.array(pos)], names=["gram", "key", "th", "pos"])
 
 
+@releasing
 def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (gram, digest, key, th, low) for each record, and one (gram, digest, first, content, n) for each that differs."""
     names = ["gram", "digest", "key", "th", "low", "lead", "first", "content", "n"]
@@ -179,6 +181,7 @@ def repeated(gram: np.ndarray, first: np.ndarray, contents: list[bytes], n: np.n
     return masks
 
 
+@releasing
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor; blocks end between anchors."""
     held: dict[tuple[int, int], list] = {}
@@ -202,6 +205,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+@releasing
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for gram, digest, content, n in zip(*(column(batch, c).to_pylist() for c in ("gram", "digest", "content", "n")), strict=True):
@@ -229,6 +233,7 @@ def _digest_masks(records: DataFrame) -> DataFrame:
     return hit.mapInArrow(pack, "gram long, digest long, mask binary")
 
 
+@releasing
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(column(batch, "text"))

@@ -185,6 +185,9 @@ def test_packing(spark):
         bisect.insort(free, room - n) if room > n else None
     assert len(by_sequence) <= bins
     assert packing.pack(docs_of(spark, rows).limit(0), path).count() == 0
+    coder = packing.Encoder(path)  # real texts of all languages, and every row of the smallest table
+    texts = [r["text"] for r in table(spark, DATA, "documents").where("text is not null").collect()]
+    assert coder.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 @pytest.mark.parametrize("seed", range(5))
