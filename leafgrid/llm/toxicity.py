@@ -19,6 +19,7 @@ same the whole word counts. Without labels of both kinds the fixed seed lexicon
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, releasing, remainder, table
+from .common import blocks, column, discard, materialize, releasing, remainder, table
 
 #: Documented bounds: labelled rows used for learning, entries of the learned lexicon, words whose tag a worker keeps.
 SAMPLE_ROWS = 12_000
 MAX_ENTRIES = 3_000
 KEPT_WORDS = 200_000
+#: Rows of each label that must stand apart from the lexicon's rows, else all rows serve both.
+LEAST_OF_A_KIND = 20
 #: Weight from which a clause is matched, and that of a verb of harm.
 ACCEPTED = 1.0
 HARM_WEIGHT = 3.0
@@ -245,6 +248,38 @@ def learn_gains(arcs: np.ndarray, marked: np.ndarray, length: np.ndarray, toxic:
     return gains
 
 
+def fit_line(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Penalised logistic regression by Newton's method; a step that does not help is halved, so separable rows are no danger."""
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * b @ b)
+
+    beta = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), x.T @ (y - p) - ridge * beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return beta
+
+
+@releasing
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the least hash of three words in a row, which copies of a text share."""
+    for batch in batches:
+        for block in blocks(batch, "text"):
+            least = []
+            for text in column(block, "text").to_pylist():
+                words = [w.encode() for w in WORD.findall((text or "").lower())]
+                least.append(min((zlib.crc32(c, zlib.crc32(b, zlib.crc32(a))) for a, b, c in zip(words, words[1:], words[2:], strict=False)), default=zlib.crc32(b" ".join(words))))
+            yield pa.RecordBatch.from_arrays([*(column(block, c) for c in ("doc_id", "text", "toxic")), pa.array(least, pa.int64())], names=["doc_id", "text", "toxic", "copy"])
+
+
 @releasing
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = {0: Counter(), 1: Counter()}
@@ -276,21 +311,32 @@ def _arc_weights(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterato
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE_ROWS, max_entries: int = MAX_ENTRIES) -> Grammar:
-    """Fit lexicon, gains and calibration on about ``sample`` rows (text, toxic), chosen by a hash of the id."""
+    """Fit lexicon, gains and calibration on about ``sample`` rows (doc_id, text, toxic), chosen by a hash of the id.
+
+    Copies of a text count once. Three rows in four make the lexicon, the others gains and calibration: there the lexicon
+    finds by chance no more than in texts to come. If they are not of both kinds, all rows serve both.
+    """
     rows = labelled.where("toxic in (0, 1)")
     size = rows.count()
     seeds = Grammar({w: 3.0 for w in (*SEED_INSULTS, *(p.replace(" ", JOIN) for p in PHRASES))}, {})
     if not size:
         return seeds
     spread = (F.xxhash64(F.col("doc_id"), F.lit(29)) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
-    chosen = rows.where(spread < min(1.0, sample / size)).select("text", F.col("toxic").cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    if not (n.get(0) and n.get(1)):
+    drawn = rows.where(spread < min(1.0, sample / size)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    kind = dict(drawn.dtypes)["doc_id"]
+    signed = drawn.mapInArrow(_signed, f"doc_id {kind}, text string, toxic int, copy long").dropDuplicates(["copy", "toxic"])
+    chosen = materialize(signed.select("text", "toxic", (F.pmod(F.xxhash64("copy", F.lit(37)), F.lit(4)) == 0).alias("apart")), "labelled")
+    n = {(r["apart"], r["toxic"]): r["count"] for r in chosen.groupBy("apart", "toxic").count().collect()}
+    if not all(n.get((False, t), 0) + n.get((True, t), 0) for t in (0, 1)):
         return seeds
+    learned, judged = chosen.where("not apart"), chosen.where("apart")
+    if min(n.get((a, t), 0) for a in (False, True) for t in (0, 1)) < LEAST_OF_A_KIND:
+        learned = judged = chosen
+    count = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
-    odds = F.log(t / (n[1] + 1)) - F.log(c / (n[0] + 1))
+    odds = F.log(t / (count[1] + 1)) - F.log(c / (count[0] + 1))
     entries = (
-        chosen.mapInArrow(_entry_counts, "entry string, toxic int, docs long")
+        learned.mapInArrow(_entry_counts, "entry string, toxic int, docs long")
         .groupBy("entry")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("c"))
         .where("t >= 4")
@@ -301,19 +347,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS, max_entries: int = MAX
         .collect()
     )
     grammar = Grammar(seeds.words | {r["entry"]: r["odds"] for r in entries if not r["entry"].endswith("*")}, {r["entry"][:-1]: r["odds"] for r in entries if r["entry"].endswith("*")})
-    arcs = chosen.mapInArrow(lambda it: _arc_weights(it, grammar), "toxic int, weights array<double>").toPandas()
+    arcs = judged.mapInArrow(lambda it: _arc_weights(it, grammar), "toxic int, weights array<double>").toPandas()
     weights = np.stack(arcs["weights"].to_numpy())
     grammar.gains = learn_gains(weights[:, :-1], grammar.marked, weights[:, -1], arcs["toxic"].to_numpy(float))
-    found = chosen.mapInArrow(lambda it: _features(it, grammar, ["toxic"]), "toxic int, f0 double, f1 double, f2 double, f3 double").toPandas()
+    found = judged.mapInArrow(lambda it: _features(it, grammar, ["toxic"]), "toxic int, f0 double, f1 double, f2 double, f3 double").toPandas()
     x, y = found[["f0", "f1", "f2", "f3"]].to_numpy(), found["toxic"].to_numpy(float)
     grammar.mean, grammar.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.column_stack([np.ones(len(x)), (x - grammar.mean) / grammar.scale])
-    beta = np.zeros(5)
-    for _ in range(25):  # Newton's steps on the penalised log likelihood
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        slope = z.T @ (y - p) - 0.05 * beta
-        beta = beta + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(5), slope)
-    grammar.beta = beta
+    grammar.beta = fit_line(np.column_stack([np.ones(len(x)), (x - grammar.mean) / grammar.scale]), y)
+    discard(chosen)
     return grammar
 
 

@@ -360,6 +360,12 @@ def test_toxicity_held_out(spark):
     assert len(toxicity.predict(docs_of(spark, long), grammar, F.lit(False)).collect()) == 3
 
 
+def test_calibration_of_separable_rows_is_bounded():
+    x = np.column_stack([np.ones(200), np.repeat([0.0, 1.0], 100)])
+    beta = toxicity.fit_line(x, np.repeat([0.0, 1.0], 100))
+    assert np.abs(beta).max() < 20 and (x[0] @ beta) < -2 < 2 < (x[-1] @ beta)
+
+
 def clause_weight(grammar, text):
     return sum(map(grammar.weigh, grammar.clauses(text)[1]))
 
