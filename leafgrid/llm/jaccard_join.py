@@ -269,7 +269,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = materialize(close.selectExpr("a AS node").unionByName(close.selectExpr("b AS node")).distinct().join(nodes.select("node", "id"), "node"), "wanted")
     known = rows.sparkSession.sparkContext.broadcast(bloom(wanted))
     hashed = rows.select("id", "text", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"h{k}") for k in (1, 2)])
-    texts = hashed.mapInArrow(lambda it: _maybe(it, known.value), "id long, text string").join(wanted, "id").select("node", "text")
+    # joined by a shuffle also where one side is small: else both Python steps run in one task, in two workers
+    texts = hashed.mapInArrow(lambda it: _maybe(it, known.value), "id long, text string").join(wanted.hint("merge"), "id").select("node", "text")
     sets = materialize(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
     left = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")

@@ -32,7 +32,7 @@ from .common import blocks, column, discard, materialize, partitions, releasing,
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 # The split rule of the tokenizer within plain Latin text, and what is outside of such text.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+")
