@@ -32,7 +32,8 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 HOT_RECORDS = 100_000
 BLOCK_RECORDS = 30_000
-POSITION_BITS = np.uint64(28)
+#: Places within a text take 40 bits, more than any string of Spark has; the anchor is chosen by the other 24 bits of the hash.
+POSITION_BITS = np.uint64(40)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
