@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder under spark.checkpoint.dir; one is set only where the session has none."""
+    """Folder under spark.checkpoint.dir; only a session within one process gets one of its own."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafgrid-"))
         found = spark.sparkContext.getCheckpointDir()
     return f"{found}/leafgrid"
