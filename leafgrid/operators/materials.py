@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -121,3 +121,19 @@ def random_pick(materials: DataFrame, seed: int) -> DataFrame:
     """One material of each category, the same for the same seed."""
     order = Window.partitionBy("category").orderBy(F.xxhash64("name", F.lit(seed)), "name")
     return materials.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def get(materials: DataFrame, name: str) -> Row:
+    """The material of that name; a missing one is an error."""
+    found = materials.where(F.col("name") == name).first()
+    if found is None:
+        raise KeyError(f"no material is named {name!r}")
+    return found
+
+
+def random_of(materials: DataFrame, category: str, seed: int) -> Row:
+    """One material of a category, the same for the same seed; an empty category is an error."""
+    found = random_pick(of_category(materials, category), seed).first()
+    if found is None:
+        raise ValueError(f"category {category!r} holds no material")
+    return found

@@ -255,3 +255,13 @@ def test_pixel_pipeline_shuffles_once(spark):
     px = pixel_table(spark, [(1, x, y, 1, 2, 3) for x in range(3) for y in range(3)])
     plan = morphology.vegetation_mask(px)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_strict_lookups_fail_on_what_is_missing(spark):
+    table = spark.createDataFrame([("oak", "wood"), ("fir", "wood")], "name string, category string")
+    assert materials.get(table, "oak")["category"] == "wood"
+    assert materials.random_of(table, "wood", 3) == materials.random_of(table, "wood", 3)
+    with pytest.raises(KeyError):
+        materials.get(table, "elm")
+    with pytest.raises(ValueError):
+        materials.random_of(table, "stone", 3)
