@@ -26,3 +26,19 @@ def test_stages_decide_and_keep_columns(spark):
     assert masked.where("text rlike 'token = \"[0-9a-f]{40}'").count() == 0 < clean.where("text rlike 'token = \"[0-9a-f]{40}'").count()
     assert packed.select("doc_id").distinct().count() == masked.count()
     assert isinstance(toxicity.train_on(docs, labels), toxicity.Grammar)
+
+
+def test_stages_take_awkward_rows(spark):
+    """Null ids and texts, repeats, an empty text and a clashing column pass every stage; an empty table stays empty."""
+    small = "/root/testdata/sf0.001"
+    rows = [(None, "no id here at all", "keep"), (None, None, "keep"), (1, None, "keep"), (2, "", "keep"), (2, "", "keep"), (3, "one two three", "keep"), (4, "one two three", "keep"), (5, "x" * 100_000, "keep")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string").repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0
+        made = stage(spark, docs, small).cache()
+        if name == "packing":
+            continue
+        assert made.columns == docs.columns and {r["kept_id"] for r in made.collect()} == {"keep"}
+        docs = made
+    assert {(r["doc_id"], r["text"]) for r in docs.collect()} >= {(1, None), (2, ""), (3, "one two three"), (5, "x" * 100_000)}
+    assert made.where("piece = 0").count() == docs.count()
