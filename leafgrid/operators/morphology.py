@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import above, mask255
+from ..functions.scratch import keep
 from .bands import along_x, along_y, by_image, excess_green, normalise
 
 
@@ -57,12 +58,18 @@ def tiled(pixels: DataFrame, size: int, halo: int) -> DataFrame:
 
 
 def tiled_vegetation_mask(pixels: DataFrame, size: int, threshold: float = 0.25, k: int = 5) -> DataFrame:
-    """Same mask for images too large for one task: extrema first, then windows inside tiles."""
-    extent = pixels.groupBy("image_id").agg(F.max(F.greatest("r", "g", "b")).alias("peak"))
-    unit = lambda c: F.when(F.col("peak") > 1, F.col(c) / F.lit(255.0)).otherwise(F.col(c).cast("double"))
-    green = pixels.join(extent, "image_id").withColumn("exg", unit("g") * 2 - unit("r") - unit("b"))
-    ends = green.groupBy("image_id").agg(F.min("exg").alias("low"), F.max("exg").alias("top"))
-    scaled = green.join(ends, "image_id").withColumn("exg", (F.col("exg") - F.col("low")) / (F.col("top") - F.col("low") + F.lit(1e-6)))
+    """Same mask for images too large for one task: extrema first, then windows inside tiles.
+
+    One aggregate gives the extrema of both scales. It is written out, so Spark broadcasts it only where its size allows;
+    beyond that the join is one of two plain tables, whose hot images adaptive execution splits.
+    """
+    of = lambda unit: unit("g") * 2 - unit("r") - unit("b")
+    scales = {"byte": of(lambda c: F.col(c) / F.lit(255.0)), "plain": of(lambda c: F.col(c).cast("double"))}
+    ends = pixels.groupBy("image_id").agg(F.max(F.greatest("r", "g", "b")).alias("peak"), *[f(v).alias(f"{n}_{k}") for k, v in scales.items() for n, f in (("low", F.min), ("top", F.max))])
+    pick = lambda byte, plain: F.when(F.col("peak") > 1, byte).otherwise(plain)
+    ends = keep(ends.select("image_id", "peak", *[pick(F.col(f"{n}_byte"), F.col(f"{n}_plain")).alias(n) for n in ("low", "top")]), "extrema")
+    green = pixels.join(ends, "image_id").withColumn("exg", pick(scales["byte"], scales["plain"]))
+    scaled = green.withColumn("exg", (F.col("exg") - F.col("low")) / (F.col("top") - F.col("low") + F.lit(1e-6)))
     cut = threshold_mask(scaled, "exg", threshold).select("image_id", "x", "y", "mask").transform(lambda d: tiled(d, size, 4 * (k // 2)))
     named = cut.withColumn("whole", F.col("image_id")).withColumn("image_id", F.struct("image_id", "tile_x", "tile_y"))
     clean = closing(opening(named.repartition("image_id"), k=k), k=k)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import label_image
 from ..functions.geometry import rings as ring_rows
-from ..functions.scratch import scratch
+from ..functions.scratch import discard, keep
 from .bands import along_x, along_y
 
 
@@ -37,28 +35,25 @@ def components_by_joins(run: DataFrame, width: int) -> DataFrame:
     """The same labels by joins alone, for images too large for one task.
 
     Each round a run takes the least label of its neighbours and then the label of the run that its label names, so
-    rounds grow with the logarithm of the diameter. Every round is written to the shared folder.
+    rounds grow with the logarithm of the diameter. Every round is written to the shared folder, with a flag for labels
+    that changed, and the round before it is removed.
     """
-    spark = run.sparkSession
     key = lambda x: F.col("y").cast("bigint") * width + F.col(x)
     edges = run_edges(run).select("image_id", key("x0").alias("a"), ((F.col("y") + 1).cast("bigint") * width + F.col("below_x0")).alias("b"))
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{scratch(spark)}/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    ways = kept(edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = kept(run.select("image_id", key("x0").alias("node"), key("x0").alias("label")))
+    ways = keep(edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))), "ways")
+    labels = keep(run.select("image_id", key("x0").alias("node"), key("x0").alias("label"), F.lit(True).alias("changed")), "labels")
     while True:
-        heard = ways.join(labels.withColumnRenamed("node", "b"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, ["image_id", "node"], "left").select("image_id", "node", F.least("label", "heard").alias("label"))
+        heard = ways.join(labels.select("image_id", F.col("node").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        near = labels.join(heard, ["image_id", "node"], "left").select("image_id", "node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         far = labels.select("image_id", F.col("node").alias("label"), F.col("label").alias("far"))
-        new = kept(near.join(far, ["image_id", "label"]).select("image_id", "node", F.least("label", "far").alias("label"), (F.col("label") != F.col("far")).alias("_")).drop("_"))
-        changed = new.join(labels.withColumnRenamed("label", "was"), ["image_id", "node"]).where("label <> was").take(1)
+        least = F.least("label", "far")
+        new = keep(near.join(far, ["image_id", "label"]).select("image_id", "node", least.alias("label"), (least != F.col("was")).alias("changed")), "labels")
+        discard(labels)
         labels = new
-        if not changed:
+        if not labels.where("changed").take(1):
             break
+    discard(ways)
     return run.withColumn("node", key("x0")).join(labels, ["image_id", "node"]).select("image_id", "y", "x0", "x1", "label")
 
 
@@ -95,11 +90,16 @@ def object_counts(images: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def box_outline(pixels: DataFrame, objects: DataFrame) -> DataFrame:
-    """Pixels on the one-pixel outline of detection boxes, from (x, y) to (x + w, y + h) inclusive."""
+    """Pixels on the one-pixel outline of detection boxes, from (x, y) to (x + w, y + h) inclusive.
+
+    Each box makes its own outline, so pixels and boxes meet on whole pixel keys.
+    """
     box = objects.select("image_id", "label", "x_min", "y_min", (F.col("x_min") + F.col("w")).alias("ex"), (F.col("y_min") + F.col("h")).alias("ey"))
-    inside = F.col("x").between(F.col("x_min"), F.col("ex")) & F.col("y").between(F.col("y_min"), F.col("ey"))
-    edge = F.col("x").isin(F.col("x_min"), F.col("ex")) | F.col("y").isin(F.col("y_min"), F.col("ey"))
-    return pixels.select("image_id", "x", "y").join(box, "image_id").where(inside & edge).select("image_id", "label", "x", "y")
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    row = lambda y: F.transform(F.sequence("x_min", "ex"), lambda x: cell(x, F.col(y)))
+    side = lambda x: F.transform(F.sequence("y_min", "ey"), lambda y: cell(F.col(x), y))
+    outline = box.select("image_id", "label", F.inline(F.array_distinct(F.concat(row("y_min"), row("ey"), side("x_min"), side("ex")))))
+    return pixels.select("image_id", "x", "y").join(outline, ["image_id", "x", "y"]).select("image_id", "label", "x", "y")
 
 
 def boundary(mask: DataFrame) -> DataFrame:

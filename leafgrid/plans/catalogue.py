@@ -150,6 +150,37 @@ def _(spark, d):
     return indices.colourise(jobs.batch_index(fx.pixels(spark, d)), "ndvi", palette).select("image_id", "x", "y", "code", "pr", "pg", "pb")
 
 
+def _jet_sql(c: str) -> str:
+    stops = indices.JET[c]
+    cases = " ".join(f"WHEN place <= CAST({b} AS DOUBLE) THEN CAST({u} AS DOUBLE) + CAST({v - u} AS DOUBLE) * (place - CAST({a} AS DOUBLE)) / CAST({b - a!r} AS DOUBLE)" for (a, u), (b, v) in zip(stops, stops[1:], strict=False))
+    return f"CASE {cases} END"
+
+
+def _turbo_sql(c: str) -> str:
+    found = "CAST(0 AS DOUBLE)"
+    for factor in reversed(indices.TURBO[c]):
+        found = f"({found} * place + CAST({factor} AS DOUBLE))"
+    return found
+
+
+def _palette_sql(level) -> str:
+    channels = ", ".join(f"CAST(trunc(CAST(255 AS DOUBLE) * {clip_sql(level(c))}) AS INTEGER) AS p{c}" for c in "rgb")
+    return f"palette AS (SELECT code, {channels} FROM (SELECT CAST(range AS INTEGER) AS code, range / CAST(255 AS DOUBLE) AS place FROM range(256)))"
+
+
+@query("p17_jet_preview", BATCH + f", {_palette_sql(_jet_sql)}, coded AS (SELECT *, CAST(least(floor({clip_sql('((ndvi + CAST(0.2 AS DOUBLE)) / CAST(1.2 AS DOUBLE))')} * 256), 255) AS INTEGER) AS code FROM ndvi) SELECT {PX}, pr, pg, pb FROM coded JOIN palette USING (code)")
+def _(spark, d):
+    shown = jobs.batch_index(fx.pixels(spark, d)).withColumn("code", indices.fraction_code(X.preview(F.col("ndvi"))))
+    return shown.join(F.broadcast(indices.jet_palette(spark)), "code").select("image_id", "x", "y", "pr", "pg", "pb")
+
+
+@query("s7_colour_preview", STACK + f", {_palette_sql(_turbo_sql)}, coded AS (SELECT *, CAST(trunc(CAST(255 AS DOUBLE) * ((ndvi + 1) / 2)) AS INTEGER) AS code FROM stack) SELECT {', '.join(KEY)}, pr, pg, pb FROM coded JOIN palette USING (code)")
+def _(spark, d):
+    shown = sinks.preview_colours(indices.with_indices(fx.samples(spark, d), ["ndvi"]), KEY, "ndvi", indices.turbo_palette(spark))
+    shown.write.parquet(folder := new_folder(spark))
+    return spark.read.schema(shown.schema).parquet(folder)
+
+
 def q_sql(v: str, levels: int) -> str:
     return f"CAST(trunc(CAST({levels} AS DOUBLE) * {clip_sql(v)}) AS INTEGER)"
 
@@ -609,7 +640,7 @@ def _(spark, d):
 def _(spark, d):
     rings = objects.normalised_points(objects.rings_as_arrays(fx.polygons(spark, d), ["image_id"]), W, W)
     sinks.write_labels(objects.label_lines(rings), folder := new_folder(spark))
-    return spark.read.text(folder).select(F.col("image_id").cast("bigint").alias("image_id"), F.col("value").alias("line"))
+    return spark.read.schema("image_id bigint, line string").json(folder)
 
 
 @query("st1_incremental_stream", "SELECT event_id, user_id, event_type, value FROM events")
@@ -619,7 +650,7 @@ def _(spark, d):
     spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     for _ in range(2):  # the second call finds nothing new
         ingest(spark, d, spec, f"{folder}/sink", f"{folder}/state", glob="events.parquet")
-    return spark.read.schema(schema).parquet(f"{folder}/sink")
+    return spark.read.schema(schema).parquet(f"{folder}/sink").drop("batch")
 
 
 @query("x2_dataset_source", with_("image_samples") + "SELECT lower(suffix) AS suffix, count(*) AS n FROM named GROUP BY 1")

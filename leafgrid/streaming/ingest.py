@@ -5,25 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None, glob: str | None = None, format: str = "parquet") -> StreamingQuery:
     """Process what arrived since the last call with the same checkpoint, then stop.
 
-    ``process`` is the batch pipeline. With ``key``, rows whose key the sink already holds are left out, which makes a
-    retried batch harmless.
+    ``process`` is the batch pipeline. Each batch has its own folder in the sink (column ``batch``) and overwrites it, so
+    a retried batch repeats no rows. With ``key``, rows whose key another batch of the sink holds are left out.
     """
     reader = spark.readStream.schema(schema).format(format)
     stream = (reader.option("pathGlobFilter", glob) if glob else reader).load(source)
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         made = process(batch) if process else batch
         session = batch.sparkSession
         hadoop = session._jvm.org.apache.hadoop.fs.Path(sink)
         if key and hadoop.getFileSystem(session._jsc.hadoopConfiguration()).exists(hadoop):
-            made = made.dropDuplicates([key]).join(session.read.schema(made.schema).parquet(sink).select(key), key, "left_anti").select(made.columns)
-        made.write.mode("append").parquet(sink)
+            held = session.read.schema(made.schema).parquet(sink).where(F.col("batch") != number).select(key)
+            made = made.dropDuplicates([key]).join(held, key, "left_anti").select(made.columns)
+        made.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

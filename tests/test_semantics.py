@@ -226,7 +226,18 @@ def test_ingest_adds_each_row_once(spark, tmp_path):
         ingest(spark, source, "id bigint", sink, state, key="id")
     spark.range(5, 15).write.mode("append").parquet(source)
     ingest(spark, source, "id bigint", sink, state, key="id")
-    assert sorted(r[0] for r in spark.read.parquet(sink).collect()) == list(range(15))
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(15))
+
+
+def test_retried_batch_repeats_no_rows(spark, tmp_path):
+    """The state of the last commit is lost after its rows were written, so the batch runs once more."""
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.range(10).write.parquet(source)
+    ingest(spark, source, "id bigint", sink, state)
+    for left in (tmp_path / "state" / "commits").iterdir():
+        left.unlink()
+    ingest(spark, source, "id bigint", sink, state)
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(10))
 
 
 def test_sink_folders(spark, tmp_path):
@@ -257,6 +268,33 @@ def test_pixel_pipeline_shuffles_once(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_palettes(spark):
+    """Anchors of the maps as they are published, not derived from the library's constants."""
+    jet = {r["code"]: (r["pr"], r["pg"], r["pb"]) for r in indices.jet_palette(spark).collect()}
+    assert len(jet) == 256 and jet[0] == (0, 0, 127) and jet[255] == (127, 0, 0) and jet[128] == (125, 255, 121)
+    turbo = {r["code"]: (r["pr"], r["pg"], r["pb"]) for r in indices.turbo_palette(spark).collect()}
+    assert len(turbo) == 256
+    for code, want in ((0, (48, 18, 59)), (128, (164, 252, 60)), (255, (122, 4, 3))):
+        assert max(abs(a - b) for a, b in zip(turbo[code], want, strict=True)) <= 35  # a fit, loose at its ends
+    codes = spark.createDataFrame([(NAN,), (0.0,), (0.5,), (1.0,), (2.0,)], "v double").select(indices.fraction_code(F.col("v")))
+    assert [r[0] for r in codes.collect()] == [0, 0, 128, 255, 255]
+
+
+def test_box_outline_makes_its_own_cells(spark):
+    """A one-pixel box, a box cut by the image's edge, and no plan that meets whole images with boxes."""
+    px = spark.createDataFrame([(1, x, y) for x in range(6) for y in range(5)], "image_id bigint, x int, y int")
+    boxes = spark.createDataFrame([(1, 7, 1, 1, 1, 1), (1, 9, 3, 2, 4, 4)], "image_id bigint, label bigint, x_min int, y_min int, w int, h int")
+    got = sorted(map(tuple, objects.box_outline(px, boxes).select("label", "x", "y").collect()))
+    want = [(l, x, y) for l, x0, y0, w, h in ((7, 1, 1, 1, 1), (9, 3, 2, 4, 4)) for x in range(6) for y in range(5) if x0 <= x <= x0 + w and y0 <= y <= y0 + h and (x in (x0, x0 + w) or y in (y0, y0 + h))]
+    assert got == sorted(want)
+
+
+def test_tiled_mask_shuffles_pixels_only_into_tiles(spark):
+    px = pixel_table(spark, [(1, x, y, 1, 2, 3) for x in range(3) for y in range(3)])
+    plan = morphology.tiled_vegetation_mask(px, size=2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_strict_lookups_fail_on_what_is_missing(spark):
     table = spark.createDataFrame([("oak", "wood"), ("fir", "wood")], "name string, category string")
     assert materials.get(table, "oak")["category"] == "wood"
