@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import oracles
+from . import fill_middle, oracles
 from .decontamination import op4_decontamination
+from .fill_middle import op11_fill_in_middle
 from .jaccard_join import op10_jaccard_join
 from .language_id import op5_language_id
 from .markov_lm import op8_markov_lm
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_markov_lm": op8_markov_lm,
     "op9_weighted_fingerprint": op9_weighted_fingerprint,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": oracle(),
     "op4_decontamination": oracles.decontamination(),
     "op10_jaccard_join": oracles.jaccard_join(),
+    "op11_fill_in_middle": fill_middle.oracle(),
 }
