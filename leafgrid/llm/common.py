@@ -35,11 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back, which cuts the lineage and survives lost executors.
+
+    Once it is written nothing reads its shuffles, so Spark removes their files then and not when the driver collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafgrid/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found

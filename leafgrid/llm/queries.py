@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import fill_middle, oracles
+from . import de_bruijn, fill_middle, oracles
+from .de_bruijn import op12_de_bruijn
 from .decontamination import op4_decontamination
 from .fill_middle import op11_fill_in_middle
 from .jaccard_join import op10_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_weighted_fingerprint": op9_weighted_fingerprint,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_de_bruijn": op12_de_bruijn,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": oracles.decontamination(),
     "op10_jaccard_join": oracles.jaccard_join(),
     "op11_fill_in_middle": fill_middle.oracle(),
+    "op12_de_bruijn": de_bruijn.oracle(),
 }
