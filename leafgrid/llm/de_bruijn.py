@@ -42,11 +42,11 @@ WINDOW, ANCHOR = 20, 6
 LOW = np.uint64(2**32 - 1)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash and row of every word, and its place within the row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash and row of every word, and its place within the row; ``gap`` says which bytes part words."""
     rows = len(offsets) - 1
     row = np.repeat(np.arange(rows), np.diff(offsets))
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     cut = np.ones(len(data) + 1, bool)
     cut[1:-1] = row[1:] != row[:-1]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import de_bruijn, fill_middle, oracles
+from . import de_bruijn, dual_tree, fill_middle, oracles
 from .de_bruijn import op12_de_bruijn
 from .decontamination import op4_decontamination
+from .dual_tree import op13_dual_tree
 from .fill_middle import op11_fill_in_middle
 from .jaccard_join import op10_jaccard_join
 from .language_id import op5_language_id
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_de_bruijn": op12_de_bruijn,
+    "op13_dual_tree": op13_dual_tree,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op10_jaccard_join": oracles.jaccard_join(),
     "op11_fill_in_middle": fill_middle.oracle(),
     "op12_de_bruijn": de_bruijn.oracle(),
+    "op13_dual_tree": dual_tree.oracle(),
 }
