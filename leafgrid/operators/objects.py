@@ -31,30 +31,77 @@ def components(run: DataFrame, width: int) -> DataFrame:
     return run.select("image_id", "y", "x0", "x1").groupBy("image_id").applyInPandas(lambda f: label_image(f, width), schema)
 
 
-def components_by_joins(run: DataFrame, width: int) -> DataFrame:
-    """The same labels by joins alone, for images too large for one task.
+def tile_components(run: DataFrame, width: int, size: int) -> DataFrame:
+    """Runs cut at the borders of square tiles and labelled within their tile, which is all that a task holds.
 
-    Each round a run takes the least label of its neighbours and then the label of the run that its label names, so
-    rounds grow with the logarithm of the diameter. Every round is written to the shared folder, with a flag for labels
-    that changed, and the round before it is removed.
+    image_id, y, x0, x1 of the piece; run_x0, run_x1 of its run; label, the smallest y * width + x of the object's part.
     """
-    key = lambda x: F.col("y").cast("bigint") * width + F.col(x)
-    edges = run_edges(run).select("image_id", key("x0").alias("a"), ((F.col("y") + 1).cast("bigint") * width + F.col("below_x0")).alias("b"))
+    reach = F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size))
+    cut = run.select("image_id", "y", F.col("x0").alias("run_x0"), F.col("x1").alias("run_x1"), F.explode(reach).alias("tile_x"))
+    ends = {"x0": F.greatest("run_x0", F.col("tile_x") * size).cast("int"), "x1": F.least("run_x1", (F.col("tile_x") + 1) * size - 1).cast("int")}
+    pieces = cut.withColumns(ends).withColumn("tile_y", F.floor(F.col("y") / size))
+    schema = "image_id bigint, y int, x0 int, x1 int, run_x0 int, run_x1 int, label bigint"
 
-    ways = keep(edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))), "ways")
-    labels = keep(run.select("image_id", key("x0").alias("node"), key("x0").alias("label"), F.lit(True).alias("changed")), "labels")
+    def labelled(frame):
+        return label_image(frame.drop(columns=["tile_x", "tile_y"]), width)[["image_id", "y", "x0", "x1", "run_x0", "run_x1", "label"]]
+
+    return pieces.groupBy("image_id", "tile_x", "tile_y").applyInPandas(labelled, schema)
+
+
+def border_edges(pieces: DataFrame, size: int) -> DataFrame:
+    """Pairs of labels of one image that touch across a tile border: image_id, u, v.
+
+    Only pixels on the last line or column of a tile, and those on the first of the next, take part; they meet on whole
+    pixel keys, so no line with many runs is a hot key.
+    """
+    edge_row = (F.col("y") % size).isin(0, size - 1)
+    whole, ends = F.sequence("x0", "x1"), F.array_distinct(F.array("x0", "x1"))
+    cells = pieces.select("image_id", "label", "y", F.explode(F.when(edge_row, whole).otherwise(ends)).alias("x"))
+    cells = cells.where((F.col("x") % size).isin(0, size - 1) | edge_row)
+    side = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    last = lambda c: F.col(c) % size == size - 1
+    down = cells.where(last("y")).select("image_id", F.col("label").alias("u"), F.explode(F.transform(side, lambda d: F.col("x") + d)).alias("x"), (F.col("y") + 1).alias("y"))
+    right = cells.where(last("x")).select("image_id", F.col("label").alias("u"), (F.col("x") + 1).alias("x"), F.explode(F.transform(side, lambda d: F.col("y") + d)).alias("y"))
+    left = cells.where(F.col("x") % size == 0).select("image_id", F.col("label").alias("u"), (F.col("x") - 1).alias("x"), F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"))
+    met = down.unionByName(right).unionByName(left).join(cells.select("image_id", "x", "y", F.col("label").alias("v")), ["image_id", "x", "y"])
+    return met.where("u <> v").select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def star_roots(edges: DataFrame) -> DataFrame:
+    """The least label that each label is connected with: image_id, label, root.
+
+    Alternating large and small stars (Kiveris et al., 2014): a node hands its larger neighbours, then its smaller ones, to
+    the least of them, until every edge ends in a root. Each round is written to the shared folder and the one before it
+    removed; a round costs one minimum for each node and one join of that minimum with the edges.
+    """
+    keys, pairs = ["image_id", "u"], keep(edges, "stars")
     while True:
-        heard = ways.join(labels.select("image_id", F.col("node").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, ["image_id", "node"], "left").select("image_id", "node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        far = labels.select("image_id", F.col("node").alias("label"), F.col("label").alias("far"))
-        least = F.least("label", "far")
-        new = keep(near.join(far, ["image_id", "label"]).select("image_id", "node", least.alias("label"), (least != F.col("was")).alias("changed")), "labels")
-        discard(labels)
-        labels = new
-        if not labels.where("changed").take(1):
-            break
-    discard(ways)
-    return run.withColumn("node", key("x0")).join(labels, ["image_id", "node"]).select("image_id", "y", "x0", "x1", "label")
+        both = pairs.unionByName(pairs.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*keys).agg(F.least(F.col("u"), F.min("v")).alias("least"))
+        large = both.join(least, keys).where("v > u").select("image_id", F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = keep(large, "stars")
+        least = large.groupBy(*keys).agg(F.min("v").alias("least"))
+        handed = large.join(least, keys)
+        small = handed.select("image_id", F.col("v").alias("u"), F.col("least").alias("v")).unionByName(handed.select("image_id", "u", F.col("least").alias("v")))
+        new = keep(small.where("u <> v").distinct(), "stars")
+        discard(pairs, large)
+        pairs = new
+        hung = pairs.join(pairs.select("image_id", F.col("u").alias("v")), ["image_id", "v"], "left_semi").select(*keys)
+        split = pairs.groupBy(*keys).count().where("count > 1").select(*keys)
+        if not hung.unionByName(split).take(1):  # every label hangs on one root
+            return pairs.select("image_id", F.col("u").alias("label"), F.col("v").alias("root"))
+
+
+def components_by_joins(run: DataFrame, width: int, size: int = 1024) -> DataFrame:
+    """The same labels for images too large for one task, in two levels.
+
+    Tiles of ``size`` are labelled each on its own, by union-find on their runs; then only labels that touch at tile borders
+    go through joins, which contract them to stars. The runs are written once.
+    """
+    pieces = keep(tile_components(run, width, size), "pieces")
+    roots = star_roots(border_edges(pieces, size))
+    first = pieces.where("x0 = run_x0").join(roots, ["image_id", "label"], "left")
+    return first.select("image_id", "y", "x0", F.col("run_x1").alias("x1"), F.coalesce("root", "label").alias("label"))
 
 
 def object_statistics(labelled: DataFrame) -> DataFrame:

@@ -306,7 +306,7 @@ def _(spark, d):
 
 @query("g1_components_by_joins", with_("labelled", True) + "SELECT image_id, y, x0, x1, label FROM labelled")
 def _(spark, d):
-    return objects.components_by_joins(_runs(spark, d), W)
+    return objects.components_by_joins(_runs(spark, d), W, size=24)
 
 
 OBJ = "image_id, label, area, x_min, y_min, w, h, round(cx, 6) AS cx, round(cy, 6) AS cy"

@@ -136,6 +136,30 @@ def test_components_match_flood_fill(spark, density):
     assert sum(r["area"] for r in stats) == grid.sum()
 
 
+SPIRAL = ["##########", ".........#", "########.#", "#......#.#", "#.####.#.#", "#.#..#.#.#", "#.#.##.#.#", "#.#....#.#", "#.######.#", "#........#", "##########"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64])
+def test_components_by_tiles(spark, size):
+    """A spiral through all tiles, diagonal contacts across corners, noise: as in one piece."""
+    rng = np.random.default_rng(size)
+    grids = [[[c == "#" for c in row] for row in SPIRAL], np.indices((9, 9)).sum(0) % 2 == 0, rng.random((17, 13)) < 0.45]
+    mask = mask_table(spark, grids[0], 1).unionByName(mask_table(spark, grids[1], 2)).unionByName(mask_table(spark, grids[2], 3))
+    run = objects.runs(mask)
+    rows = lambda df: sorted(map(tuple, df.select("image_id", "y", "x0", "x1", "label").collect()))
+    assert rows(objects.components_by_joins(run, 20, size)) == rows(objects.components(run, 20))
+    assert objects.components_by_joins(run.limit(0), 20, size).count() == 0
+
+
+def test_joins_of_components_hold_border_labels_only(spark):
+    """Objects inside a tile never reach the joins."""
+    grid = np.zeros((40, 40), bool)
+    grid[2:8, 2:8] = grid[12:18, 13:17] = True
+    grid[5:35, 30:32] = True
+    edges = objects.border_edges(objects.tile_components(objects.runs(mask_table(spark, grid)), 40, 10), 10)
+    assert {(r["u"], r["v"]) for r in edges.collect()} == {(430, 230), (830, 430), (1230, 830)}
+
+
 def test_object_counts_keep_empty_images(spark):
     run = objects.runs(mask_table(spark, [[1, 0, 1]]).unionByName(mask_table(spark, [[0, 0]], 2)))
     got = dict(objects.object_counts(spark.createDataFrame([(1,), (2,)], "image_id bigint"), objects.components(run, 48)).collect())
