@@ -346,7 +346,7 @@ def _(spark, d):
     return objects.boundary(morphology.vegetation_mask(fx.pixels(spark, d)))
 
 
-@query("g3_contours")
+@query("g3_contours", with_("rings", True) + "SELECT image_id, label, seq, x, y FROM rings")
 def _(spark, d):
     return objects.contours(_labelled(spark, d))
 
@@ -356,12 +356,12 @@ def _(spark, d):
     return r6(objects.perimeter(fx.polygons(spark, d), ["image_id"]), "perimeter")
 
 
-@query("g5_simplified_contours")
+@query("g5_simplified_contours", with_("simple", True) + "SELECT image_id, label, seq, x, y FROM simple")
 def _(spark, d):
     return objects.simplified_contours(_labelled(spark, d))
 
 
-@query("g6_polygon_labels")
+@query("g6_polygon_labels", with_("simple", True) + "SELECT image_id, label, '0 ' || string_agg(printf('%.6f %.6f', x / CAST(48 AS DOUBLE), y / CAST(48 AS DOUBLE)), ' ' ORDER BY seq) AS line FROM simple GROUP BY image_id, label HAVING count(*) >= 10")
 def _(spark, d):
     return objects.polygon_labels(_labelled(spark, d), W, W).select("image_id", "label", "line")
 

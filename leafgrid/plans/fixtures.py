@@ -144,6 +144,40 @@ SQL["objects"] = (
     + ", objects AS (SELECT image_id, label, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area, min(x0) AS x_min, min(y) AS y_min, max(x1) - min(x0) + 1 AS w, max(y) - min(y) + 1 AS h, "
     + "sum((x1 - x0 + 1) * (x0 + x1)) / CAST(2 AS DOUBLE) / sum(x1 - x0 + 1) AS cx, sum((x1 - x0 + 1) * y) / CAST(sum(x1 - x0 + 1) AS DOUBLE) AS cy FROM labelled GROUP BY image_id, label)"
 )
+# Outer rings by crack following: a crack is a side of a pixel that faces the outside of its object (0 up, 1 right, 2 down,
+# 3 left). At its end the walk goes on to the pixel across the corner, else to the one ahead, else around the same pixel.
+SQL["rings"] = (
+    SQL["labelled"]
+    + ", px AS (SELECT image_id, label, CAST(unnest(range(x0, x1 + 1)) AS INTEGER) AS x, y FROM labelled), "
+    + "frame AS (SELECT image_id, label, min(x) - 1 AS xa, max(x) + 1 AS xb, min(y) - 1 AS ya, max(y) + 1 AS yb FROM px GROUP BY image_id, label), "
+    + "grid2 AS (SELECT image_id, label, CAST(x AS INTEGER) AS x, CAST(unnest(range(ya, yb + 1)) AS INTEGER) AS y FROM (SELECT *, unnest(range(xa, xb + 1)) AS x FROM frame)), "
+    + "bg AS (SELECT * FROM grid2 ANTI JOIN px USING (image_id, label, x, y)), "
+    + "outside(image_id, label, x, y) AS (SELECT image_id, label, CAST(xa AS INTEGER), CAST(ya AS INTEGER) FROM frame UNION SELECT b.image_id, b.label, b.x, b.y FROM outside o JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) ON true JOIN bg b ON b.image_id = o.image_id AND b.label = o.label AND b.x = o.x + dx AND b.y = o.y + dy), "
+    + "turns AS (SELECT * FROM (VALUES (0, 0, -1, 1, 0), (1, 1, 0, 0, 1), (2, 0, 1, -1, 0), (3, -1, 0, 0, -1)) t(s, ox, oy, tx, ty)), "
+    + "cracks AS (SELECT p.image_id, p.label, p.x, p.y, s, tx, ty, p.x + ox + tx AS dx, p.y + oy + ty AS dy FROM px p, turns t JOIN outside o ON o.image_id = p.image_id AND o.label = p.label AND o.x = p.x + ox AND o.y = p.y + oy), "
+    + "moves AS (SELECT c.image_id, c.label, c.x, c.y, c.s, coalesce(d.x, a.x, c.x) AS nx, coalesce(d.y, a.y, c.y) AS ny, CASE WHEN d.x IS NOT NULL THEN (c.s + 3) % 4 WHEN a.x IS NOT NULL THEN c.s ELSE (c.s + 1) % 4 END AS ns "
+    + "FROM cracks c LEFT JOIN px d ON d.image_id = c.image_id AND d.label = c.label AND d.x = c.dx AND d.y = c.dy LEFT JOIN px a ON a.image_id = c.image_id AND a.label = c.label AND a.x = c.x + c.tx AND a.y = c.y + c.ty), "
+    + "start AS (SELECT image_id, label, CAST(label % 48 AS INTEGER) AS x, CAST(label // 48 AS INTEGER) AS y FROM frame), "
+    + "walk(image_id, label, k, x, y, s) AS (SELECT image_id, label, 0, x, y, 0 FROM start UNION ALL SELECT m.image_id, m.label, k + 1, m.nx, m.ny, m.ns FROM walk w JOIN moves m ON m.image_id = w.image_id AND m.label = w.label AND m.x = w.x AND m.y = w.y AND m.s = w.s "
+    + "JOIN start t ON t.image_id = w.image_id AND t.label = w.label WHERE NOT (m.nx = t.x AND m.ny = t.y AND m.ns = 0)), "
+    + "steps AS (SELECT w.image_id, w.label, k, w.x, w.y, nx <> w.x OR ny <> w.y AS moved FROM walk w JOIN moves m USING (image_id, label, x, y, s)), "
+    + "rings AS (SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id, label ORDER BY k) - 1 AS INTEGER) AS seq, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT *, bool_or(moved) OVER (PARTITION BY image_id, label) AS any_move FROM steps) WHERE moved OR (NOT any_move AND k = 0))"
+)
+# Closed simplification: the vertex farthest from the first splits the ring, then each part splits at its farthest vertex
+# while that deviates by more than the tolerance. Deviations of one part compare as integers.
+SQL["simple"] = (
+    SQL["rings"]
+    + ", lap AS (SELECT *, count(*) OVER w AS n, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny, first_value(x) OVER o AS fx, first_value(y) OVER o AS fy FROM rings WINDOW w AS (PARTITION BY image_id, label), o AS (PARTITION BY image_id, label ORDER BY seq)), "
+    + "whole AS (SELECT image_id, label, any_value(n) AS n, CAST(0.003 AS DOUBLE) * sum(sqrt(CAST((nx - x) * (nx - x) + (ny - y) * (ny - y) AS DOUBLE))) AS tolerance, first(seq ORDER BY (x - fx) * (x - fx) + (y - fy) * (y - fy) DESC, seq) AS far FROM lap GROUP BY image_id, label), "
+    + "loop AS (SELECT image_id, label, seq AS i, x, y FROM rings UNION ALL SELECT image_id, label, n, fx, fy FROM lap WHERE seq = 0), "
+    + "part(image_id, label, a, b) AS (SELECT image_id, label, 0, CAST(far AS BIGINT) FROM whole WHERE n > 2 UNION ALL SELECT image_id, label, far, n FROM whole WHERE n > 2 UNION ALL "
+    + "SELECT image_id, label, unnest([a, k]), unnest([k, b]) FROM (SELECT image_id, label, a, b, first(i ORDER BY off DESC, i) AS k, max(off) / CASE WHEN any_value(long2) = 0 THEN CAST(1 AS DOUBLE) ELSE sqrt(CAST(any_value(long2) AS DOUBLE)) END AS most FROM ("
+    + "SELECT p.image_id, p.label, p.a, p.b, r.i, (v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y) AS long2, CASE WHEN v.x = u.x AND v.y = u.y THEN sqrt(CAST((r.x - u.x) * (r.x - u.x) + (r.y - u.y) * (r.y - u.y) AS DOUBLE)) ELSE CAST(abs((v.x - u.x) * (r.y - u.y) - (v.y - u.y) * (r.x - u.x)) AS DOUBLE) END AS off "
+    + "FROM part p JOIN loop u ON u.image_id = p.image_id AND u.label = p.label AND u.i = p.a JOIN loop v ON v.image_id = p.image_id AND v.label = p.label AND v.i = p.b JOIN loop r ON r.image_id = p.image_id AND r.label = p.label AND r.i > p.a AND r.i < p.b) GROUP BY image_id, label, a, b) "
+    + "JOIN (SELECT image_id, label, tolerance FROM whole) USING (image_id, label) WHERE most > tolerance), "
+    + "held AS (SELECT DISTINCT image_id, label, a AS seq FROM part UNION SELECT image_id, label, seq FROM rings JOIN whole USING (image_id, label) WHERE n < 3), "
+    + "simple AS (SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id, label ORDER BY seq) - 1 AS INTEGER) AS seq, x, y FROM rings JOIN held USING (image_id, label, seq))"
+)
 
 
 def with_(name: str, recursive: bool = False) -> str:

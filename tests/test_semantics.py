@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.functions import expressions as X
-from leafgrid.functions.geometry import ring_length, simplify, trace
+from leafgrid.functions.geometry import RunCells, ring_length, simplify, trace
 from leafgrid.operators import audit, bands, catalog, indices, materials, morphology, objects
 from leafgrid.plans import jobs
 from leafgrid.sources import materials as material_files
@@ -160,6 +160,28 @@ def test_joins_of_components_hold_border_labels_only(spark):
     assert {(r["u"], r["v"]) for r in edges.collect()} == {(430, 230), (830, 430), (1230, 830)}
 
 
+def test_rings_on_runs_match_pixel_sets():
+    rng = np.random.default_rng(11)
+    for grid in [rng.random((14, 15)) < 0.55 for _ in range(20)]:
+        for part in flood(grid):
+            rows = sorted((y, x) for x, y in part)
+            starts = [k for k, (y, x) in enumerate(rows) if k == 0 or rows[k - 1] != (y, x - 1)]
+            ends = [*[k - 1 for k in starts[1:]], len(rows) - 1]
+            cells = RunCells(np.array([rows[k][0] for k in starts]), np.array([rows[k][1] for k in starts]), np.array([rows[k][1] for k in ends]))
+            assert trace(cells) == trace(part)
+
+
+def test_ring_of_a_large_disc():
+    """A disc of 4,000 pixels across has twelve million pixels and 4,001 runs; the ring is traced on the runs."""
+    y = np.arange(-2000, 2001)
+    half = np.floor(np.sqrt(2000**2 - y.astype(float) ** 2)).astype(int)
+    cells = RunCells(y + 2000, 2000 - half, 2000 + half)
+    ring = trace(cells)
+    assert sum(len(starts) for starts, _ in cells.lines.values()) == 4001
+    assert len(ring) == len(set(ring)) and all((x - 2000) ** 2 + (v - 2000) ** 2 <= 2000**2 < (abs(x - 2000) + 1) ** 2 + (abs(v - 2000) + 1) ** 2 for x, v in ring)
+    assert 11_000 < len(ring) < 12_000
+
+
 def test_object_counts_keep_empty_images(spark):
     run = objects.runs(mask_table(spark, [[1, 0, 1]]).unionByName(mask_table(spark, [[0, 0]], 2)))
     got = dict(objects.object_counts(spark.createDataFrame([(1,), (2,)], "image_id bigint"), objects.components(run, 48)).collect())
