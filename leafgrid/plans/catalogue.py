@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions.scratch import scratch
 from ..operators import audit, bands, catalog, indices, materials, morphology, objects, sensors
+from ..sources import files
 from ..sources import pixels as images
 from ..sources import sinks
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, ingest_images
 from . import fixtures as fx
 from . import jobs
 from .fixtures import with_
@@ -534,6 +535,62 @@ def _(spark, d):
     return images.explode_pixels(fx.encoded(spark, d), ["image_id"])
 
 
+def _image_folder(spark, d, spoilt: bool, part: str = "true", folder: str | None = None) -> str:
+    """PNG files of the embeddings; with ``spoilt`` some are cut short, hold text or their first bytes alone."""
+    folder = folder or new_folder(spark)
+    made = fx.image_files(spark, d).where(part)
+    bodies = files.png_bodies(made)
+    if spoilt:
+        fault = F.when(F.col("fault") == "cut", F.expr("substring(body, 1, length(body) - 30)")).when(F.col("fault") == "text", F.lit(b"no image at all")).when(F.col("fault") == "head", F.expr("substring(body, 1, 8)")).otherwise(F.col("body"))
+        bodies = bodies.join(made.select("name", "fault"), "name").select("name", fault.alias("body"))
+    files.write_files(bodies, folder)
+    return folder
+
+
+@query("s1_image_scan", with_("image_files") + "SELECT name, x, y, r, g, b FROM file_px JOIN image_files USING (image_id)")
+def _(spark, d):
+    return images.explode_pixels(images.read_images(spark, _image_folder(spark, d, False)), ["name"])
+
+
+@query("s11_broken_files", with_("image_files") + "SELECT name, fault IS NULL AS ok, CAST(CASE WHEN fault IS NULL THEN 64 ELSE 0 END AS BIGINT) AS n_pixels FROM image_files")
+def _(spark, d):
+    return jobs.image_job(spark, _image_folder(spark, d, True))[1].select("name", "ok", "n_pixels")
+
+
+@query("a8_scanned_ratio", with_("image_files") + "SELECT count(*) FILTER (WHERE fault IS NULL) AS n_ok, count(*) AS n FROM image_files")
+def _(spark, d):
+    return catalog.success_ratio(jobs.image_job(spark, _image_folder(spark, d, True))[1])
+
+
+#: Files of one batch of the image stream.
+BATCH_FILES = 150
+
+
+def _image_stream(spark, d):
+    """Files arrive in two waves; sink, dead letters and progress after both."""
+    folder, made, progress = new_folder(spark), new_folder(spark), []
+    for wave in ("image_id % 5 < 3", "image_id % 5 >= 3"):
+        _image_folder(spark, d, True, wave, folder)
+        progress += ingest_images(spark, folder, f"{made}/sink", f"{made}/dead", f"{made}/state", max_files=BATCH_FILES)
+    sink = spark.read.schema("name string, x int, y int, r int, g int, b int, batch int").parquet(f"{made}/sink")
+    return sink, spark.read.schema("name string, length bigint, batch int").parquet(f"{made}/dead"), progress
+
+
+@query("st1_image_stream", with_("image_files") + "SELECT name, fault IS NULL AS ok, CASE WHEN fault IS NULL THEN CAST(sum(r) AS BIGINT) END AS total FROM image_files JOIN file_px USING (image_id) GROUP BY name, fault")
+def _(spark, d):
+    sink, dead, _ = _image_stream(spark, d)
+    good = sink.groupBy("name").agg(F.lit(True).alias("ok"), F.sum("r").alias("total"))
+    return good.unionByName(dead.select("name", F.lit(False).alias("ok"), F.lit(None).cast("bigint").alias("total")))
+
+
+@query("st1_stream_progress", f"SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(least(left_over, {BATCH_FILES})) AS BIGINT) AS n_reported, count(*) FILTER (WHERE left_over > 0 AND place % {BATCH_FILES} = 0) AS n_batches FROM (SELECT vec_id, 1 AS left_over, row_number() OVER (PARTITION BY vec_id % 5 < 3 ORDER BY vec_id) - 1 AS place FROM embeddings)")
+def _(spark, d):
+    sink, dead, progress = _image_stream(spark, d)
+    told = spark.createDataFrame(progress, "batch bigint, n_files bigint").agg(F.sum("n_files").alias("n_reported"), F.count("*").alias("n_batches"))
+    held = sink.select("name").distinct().unionByName(dead.select("name")).agg(F.count("*").alias("n_files"))
+    return held.crossJoin(told)
+
+
 @query("p21_base_names", with_("image_samples") + f"SELECT idx, name, {CLEAN} AS base FROM named")
 def _(spark, d):
     return catalog.cleaned(fx.image_samples(spark, d)).select("idx", "name", "base")

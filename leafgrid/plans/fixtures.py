@@ -71,6 +71,16 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").selectExpr("vec_id AS image_id", "8 AS height", "8 AS width", "1 AS nChannels", f"unhex(concat_ws('', transform(embedding, v -> {byte}))) AS data")
 
 
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 8 x 8 pixels from embeddings, to be written as files: grey, RGB and RGBA in turn; ``fault`` tells which to spoil."""
+    at = "least(greatest(cast(floor((cast(embedding[i] as double) + 1) * 100) as int), 0), 255)"
+    pixel = f"CASE vec_id % 3 WHEN 0 THEN array({at}) WHEN 1 THEN array({at}, 255 - {at}, ({at} + i) % 256) ELSE array({at}, 255 - {at}, ({at} + i) % 256, 200) END"
+    return read(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS image_id", "concat('img', vec_id, CASE vec_id % 2 WHEN 0 THEN '.png' ELSE '.PNG' END) AS name", "8 AS height", "8 AS width", "CASE vec_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS channels",
+        f"flatten(transform(sequence(0, 63), i -> {pixel})) AS values", "CASE WHEN vec_id % 7 = 3 THEN 'cut' WHEN vec_id % 11 = 5 THEN 'text' WHEN vec_id % 13 = 4 THEN 'head' END AS fault",
+    )
+
+
 _DISC = " OR ".join(f"(x-(8+(i*17+{k}*13)%32))*(x-(8+(i*17+{k}*13)%32))+(y-(8+(i*29+{k}*19)%32))*(y-(8+(i*29+{k}*19)%32)) <= 9+(i*7+{k}*11)%40" for k in (1, 2, 3))
 
 SQL = {
@@ -80,6 +90,9 @@ lit AS (SELECT i, x, y, (({_DISC}) <> ((x*31+y*17+i*7) % 97 = 0)) AS veg FROM gr
 pixels AS (SELECT i AS image_id, x, y, CAST(CASE WHEN veg THEN 40+(x*3+y*5+i)%20 ELSE 120+(x*3+y*5+i)%20 END AS INTEGER) AS r,
 CAST(CASE WHEN veg THEN 160+(x*7+y+i)%20 ELSE 100+(x*7+y+i)%20 END AS INTEGER) AS g, CAST(CASE WHEN veg THEN 40+(x+y*11+i)%20 ELSE 80+(x+y*11+i)%20 END AS INTEGER) AS b FROM lit)""",
     "tiles": "tiles AS (SELECT vec_id AS image_id, label, CAST((p-1) % 8 AS INTEGER) AS x, CAST((p-1) // 8 AS INTEGER) AS y, CAST(embedding[p] AS DOUBLE) AS red, CAST(embedding[p % 64 + 1] AS DOUBLE) AS nir FROM (SELECT vec_id, label, embedding, unnest(generate_series(1, 64)) AS p FROM embeddings))",
+    "image_files": """raw_px AS (SELECT vec_id AS image_id, CAST((p - 1) % 8 AS INTEGER) AS x, CAST((p - 1) // 8 AS INTEGER) AS y, p - 1 AS i, least(greatest(CAST(floor((CAST(embedding[p] AS DOUBLE) + 1) * 100) AS INTEGER), 0), 255) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS p FROM embeddings)),
+file_px AS (SELECT image_id, x, y, v AS r, CASE WHEN image_id % 3 = 0 THEN v ELSE 255 - v END AS g, CAST(CASE WHEN image_id % 3 = 0 THEN v ELSE (v + i) % 256 END AS INTEGER) AS b FROM raw_px),
+image_files AS (SELECT vec_id AS image_id, 'img' || vec_id || CASE vec_id % 2 WHEN 0 THEN '.png' ELSE '.PNG' END AS name, CASE WHEN vec_id % 7 = 3 THEN 'cut' WHEN vec_id % 11 = 5 THEN 'text' WHEN vec_id % 13 = 4 THEN 'head' END AS fault FROM embeddings)""",
     "materials": """materials AS (SELECT p_name AS name, p_partkey AS version, p_type AS category, p_size / CAST(50 AS DOUBLE) AS red, (p_partkey % 113) / CAST(100 AS DOUBLE) AS green,
 CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (p_partkey % 90) / CAST(100 AS DOUBLE) END AS nir, (p_partkey % 7) / CAST(10 AS DOUBLE) AS chlorophyll, (p_partkey % 11) / CAST(10 AS DOUBLE) AS water_content,
 (p_partkey % 5) * CAST(1 AS DOUBLE) AS lai, (p_partkey % 3) / CAST(10 AS DOUBLE) AS stress FROM part),

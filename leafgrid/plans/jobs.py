@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import above, mask255, ndvi
+from ..functions.scratch import keep
 from ..operators import audit, catalog, objects
 from ..operators.bands import batch_nir, derive_bands
 from ..operators.morphology import vegetation_mask
+from ..sources.files import list_files
+from ..sources.pixels import explode_pixels, read_images, scan_report
 from ..sources.sinks import write_metadata, write_polygons
 
 
+def image_job(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A folder of image files to its pixel table (name, x, y, r, g, b), written once, and a report with one row for each file.
+
+    Broken files stop nothing: the report finds them as listed files without pixels, on names alone.
+    """
+    pixels = keep(explode_pixels(read_images(spark, path), ["name"]), "pixels")
+    return pixels, scan_report(list_files(spark, path), pixels)
+
+
 def batch_index(pixels: DataFrame) -> DataFrame:
     """Batch path, no shuffle: unclipped NDVI on its own NIR."""
     return batch_nir(pixels).withColumn("ndvi", ndvi(F.col("red"), F.col("nir"), clipped=False))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+from ..sources.files import IMAGES, list_files
+from ..sources.pixels import explode_pixels, read_images, scan_report
 
 
 def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None, glob: str | None = None, format: str = "parquet") -> StreamingQuery:
@@ -30,3 +35,55 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+class Progress(StreamingQueryListener):
+    """What a stream did, batch by batch, as Spark reports it: rows of (batch, n_files)."""
+
+    def __init__(self):
+        self.rows, self.ended = [], Event()
+
+    def onQueryStarted(self, event):
+        self.ended.clear()
+
+    def onQueryProgress(self, event):
+        if event.progress.numInputRows:
+            self.rows.append((event.progress.batchId, event.progress.numInputRows))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.set()
+
+
+def ingest_images(spark: SparkSession, source: str, sink: str, dead_letters: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None, max_files: int = 1000) -> list[tuple[int, int]]:
+    """Image files that arrived since the last call with the same checkpoint; gives back the progress by batch.
+
+    A batch takes at most ``max_files`` files, whose paths alone pass the driver. Pixels of files that decode, through
+    ``process`` where given (it keeps ``name``), go to the batch's folder of the sink; the names of the others go to its folder of the dead letters.
+    Both are overwritten when a batch is retried, so nothing is lost and nothing doubled.
+    """
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", max_files).load(source).select("path")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        paths = [r["path"] for r in batch.where(F.col("path").rlike(IMAGES)).collect()]
+        if not paths:
+            return
+        pixels = explode_pixels(read_images(session, paths), ["name"])
+        made = process(pixels) if process else pixels
+        made.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        written = session.read.schema(made.schema).parquet(f"{sink}/batch={number}")
+        lost = scan_report(list_files(session, paths), written).where("not ok").select("name", "length")
+        lost.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+
+    seen = Progress()
+    spark.streams.addListener(seen)
+    try:
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen.ended.wait(30)
+    finally:
+        spark.streams.removeListener(seen)
+    return seen.rows

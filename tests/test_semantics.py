@@ -17,7 +17,8 @@ from leafgrid.plans import jobs
 from leafgrid.sources import materials as material_files
 from leafgrid.sources import pixels as images
 from leafgrid.sources import sinks
-from leafgrid.streaming.ingest import ingest
+from leafgrid.sources import files
+from leafgrid.streaming.ingest import ingest, ingest_images
 
 NAN = float("nan")
 
@@ -349,3 +350,47 @@ def test_strict_lookups_fail_on_what_is_missing(spark):
         materials.get(table, "elm")
     with pytest.raises(ValueError):
         materials.random_of(table, "stone", 3)
+
+
+def picture(spark, name, height, width, channels, seed=0):
+    values = np.random.default_rng(seed).integers(0, 256, height * width * channels)
+    return spark.createDataFrame([(name, height, width, channels, values.tolist())], "name string, height int, width int, channels int, values array<int>"), values.reshape(height, width, channels)
+
+
+@pytest.mark.parametrize("height,width,channels", [(1, 1, 1), (3, 5, 3), (7, 2, 4), (300, 290, 3)])
+def test_image_files_round_trip(spark, tmp_path, height, width, channels):
+    made, values = picture(spark, "p.png", height, width, channels)
+    assert files.write_files(files.png_bodies(made), str(tmp_path)) == 1
+    got = images.explode_pixels(images.read_images(spark, str(tmp_path)), ["name"]).toPandas().sort_values(["y", "x"])
+    assert len(got) == height * width and set(got["name"]) == {"p.png"}
+    for k, c in enumerate("rgb"):
+        assert (got[c].to_numpy().reshape(height, width) == values[:, :, min(k, channels - 1) if channels > 1 else 0]).all()
+
+
+def test_broken_files_stop_nothing(spark, tmp_path):
+    for k in range(6):
+        files.write_files(files.png_bodies(picture(spark, f"good{k}.PnG", 4, 4, 3, k)[0]), str(tmp_path))
+    body = (tmp_path / "good0.PnG").read_bytes()
+    for k, bad in enumerate([body[:20], body[: len(body) // 2], b"text", body[:-40] + b"x" * 28]):
+        (tmp_path / f"bad{k}.png").write_bytes(bad)
+    (tmp_path / "notes.txt").write_text("not asked for")
+    pixels, report = jobs.image_job(spark, str(tmp_path))
+    got = {r["name"]: (r["ok"], r["n_pixels"]) for r in report.collect()}
+    assert got == {f"good{k}.PnG": (True, 16) for k in range(6)} | {f"bad{k}.png": (False, 0) for k in range(4)}
+    assert pixels.count() == 96 and catalog.success_ratio(report).first()["n_ok"] == 6
+
+
+def test_image_stream_keeps_dead_letters(spark, tmp_path):
+    source, sink, dead, state = (str(tmp_path / n) for n in ("in", "out", "dead", "state"))
+    for k in range(5):
+        files.write_files(files.png_bodies(picture(spark, f"a{k}.png", 2, 3, 1, k)[0]), source)
+    (tmp_path / "in" / "b.png").write_bytes(b"broken")
+    seen = ingest_images(spark, source, sink, dead, state, max_files=2)
+    assert len(seen) == 3 and sum(n for _, n in seen) == 6
+    assert ingest_images(spark, source, sink, dead, state, max_files=2) == []
+    files.write_files(files.png_bodies(picture(spark, "c.png", 2, 3, 1)[0]), source)
+    only = lambda d: d.where("x = 0")
+    assert ingest_images(spark, source, sink, dead, state, only) == [(3, 1)]
+    got = spark.read.parquet(sink).groupBy("name").count()
+    assert dict(map(tuple, got.collect())) == {f"a{k}.png": 6 for k in range(5)} | {"c.png": 2}
+    assert [tuple(r) for r in spark.read.parquet(dead).select("name", "length").collect()] == [("b.png", 6)]
