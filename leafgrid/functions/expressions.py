@@ -84,9 +84,15 @@ def preview(value: Column) -> Column:
     return clip((F.nanvl(value, F.lit(0.0)) + F.lit(0.2)) / F.lit(1.2), 0, 1)
 
 
+def hashed_unit(*parts: Column) -> Column:
+    """A number in (0, 1) from the first 52 bits of the md5 of the parts' text, the same in every engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def normal_noise(seed: int, *keys: str) -> Column:
     """Standard normal value that depends on the keys alone, so that retries and repartitioning repeat it (Box-Muller)."""
-    unit = lambda k: (F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(k)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    unit = lambda k: hashed_unit(*map(F.col, keys), F.lit(seed), F.lit(k))
     return F.sqrt(F.log(unit(1)) * -2) * F.cos(unit(2) * F.lit(6.283185307179586))
 
 

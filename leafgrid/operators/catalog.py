@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.expressions import base_name, path_name, path_stem, path_suffix
 
@@ -49,6 +50,26 @@ def to_ingest(samples: DataFrame, present: DataFrame) -> DataFrame:
     return new.join(present.select("name").distinct(), "name", "left_anti")
 
 
+def ingested(spark: SparkSession, destination: str, schema: StructType) -> DataFrame:
+    """What a destination holds: the samples' columns, their name, stem and suffix, and the batch that brought them."""
+    held = ", ".join(["name string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "stem string", "suffix string", "batch int"])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(destination)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], held)
+    return spark.read.schema(held).parquet(destination)
+
+
+def append_new(samples: DataFrame, destination: str, batch: int) -> None:
+    """Append the first sample of each name that no other batch of the destination holds.
+
+    Each batch has its own folder and overwrites it: a batch that is run again leaves what it left before, and a later one
+    over the same samples adds nothing. The names in the destination are the manifest; nothing else has to be kept in step.
+    """
+    held = ingested(samples.sparkSession, destination, samples.schema)
+    new = to_ingest(samples, held.where(F.col("batch") != batch))
+    new.select("name", *samples.columns, "stem", "suffix").write.mode("overwrite").parquet(f"{destination}/batch={batch}")
+
+
 def reconcile(rgb: DataFrame, polygons: DataFrame, records: DataFrame) -> DataFrame:
     """One row for each stem of any table and whether each holds it."""
     side = lambda d, n: d.select("stem").distinct().withColumn(n, F.lit(True))

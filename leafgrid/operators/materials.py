@@ -119,7 +119,7 @@ def without(materials: DataFrame, keys: DataFrame) -> DataFrame:
 
 def random_pick(materials: DataFrame, seed: int) -> DataFrame:
     """One material of each category, the same for the same seed."""
-    order = Window.partitionBy("category").orderBy(F.xxhash64("name", F.lit(seed)), "name")
+    order = Window.partitionBy("category").orderBy(F.md5(F.concat_ws(":", "name", F.lit(seed)).cast("binary")), "name")
     return materials.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

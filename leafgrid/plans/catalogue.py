@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.scratch import scratch
-from ..operators import audit, bands, catalog, indices, materials, morphology, objects, sensors
+from ..operators import audit, bands, catalog, indices, materials, morphology, objects, sensors, tiles
 from ..sources import files
 from ..sources import pixels as images
 from ..sources import sinks
@@ -86,6 +87,18 @@ def _(spark, d):
 for _name, _cols in (("p5_visible_bands", ("blue", "green", "red")), ("p6_red_edge", ("red_edge",)), ("p7_nir", ("nir",))):
     query(_name, with_("bands") + f"SELECT {PX}, {', '.join(_cols)} FROM bands")(lambda spark, d, cols=_cols: jobs.index_table(fx.pixels(spark, d)).select("image_id", "x", "y", *cols))
 
+
+@query("p4_tiled_vegetation", with_("veg") + f"SELECT {PX}, veg FROM veg")
+def _(spark, d):
+    return tiles.tiled_vegetation(fx.pixels(spark, d), size=24).select("image_id", "x", "y", "veg")
+
+
+@query("p7_tiled_bands", with_("bands") + f"SELECT {PX}, blue, green, red, red_edge, nir FROM bands")
+def _(spark, d):
+    made = tiles.tiled_bands(fx.pixels(spark, d), size=24)
+    return made.select("image_id", "x", "y", *[F.col(b).alias(n) for b, n in zip(bands.BANDS, ("blue", "green", "red", "red_edge", "nir"), strict=True)])
+
+
 BATCH = with_("pixels") + ", batch AS (SELECT image_id, x, y, r, g, r / CAST(255 AS DOUBLE) AS red, " + clip_sql("(g / CAST(255 AS DOUBLE) * CAST(1.6 AS DOUBLE) - r / CAST(255 AS DOUBLE) * CAST(0.4 AS DOUBLE) + CAST(0.1 AS DOUBLE))") + " AS nir FROM pixels), ndvi AS (SELECT *, (nir - red) / (nir + red + CAST(1e-8 AS DOUBLE)) AS ndvi FROM batch) "
 
 
@@ -151,15 +164,27 @@ def _(spark, d):
     return indices.colourise(jobs.batch_index(fx.pixels(spark, d)), "ndvi", palette).select("image_id", "x", "y", "code", "pr", "pg", "pb")
 
 
+# Fixed values, stated here a second time so that the SQL does not read the constants that it tests: (place, level) of the
+# Jet map, and the terms of the fit of the Turbo map from the fifth power down.
+JET_SQL = {
+    "r": "CASE WHEN place <= 0.35 THEN 0 WHEN place <= 0.66 THEN (place - 0.35) / (0.66 - 0.35) WHEN place <= 0.89 THEN 1 ELSE 1 + (0.5 - 1) * (place - 0.89) / (1 - 0.89) END",
+    "g": "CASE WHEN place <= 0.125 THEN 0 WHEN place <= 0.375 THEN (place - 0.125) / (0.375 - 0.125) WHEN place <= 0.64 THEN 1 WHEN place <= 0.91 THEN 1 + (0 - 1) * (place - 0.64) / (0.91 - 0.64) ELSE 0 END",
+    "b": "CASE WHEN place <= 0.11 THEN 0.5 + (1 - 0.5) * place / 0.11 WHEN place <= 0.34 THEN 1 WHEN place <= 0.65 THEN 1 + (0 - 1) * (place - 0.34) / (0.65 - 0.34) ELSE 0 END",
+}
+TURBO_SQL = {
+    "r": (59.28637943, -152.94239396, 132.13108234, -42.66032258, 4.6153926, 0.13572138),
+    "g": (2.82956604, 4.27729857, -14.18503333, 4.84296658, 2.19418839, 0.09140261),
+    "b": (27.34824973, -89.90310912, 110.36276771, -60.58204836, 12.64194608, 0.1066733),
+}
+
+
 def _jet_sql(c: str) -> str:
-    stops = indices.JET[c]
-    cases = " ".join(f"WHEN place <= CAST({b} AS DOUBLE) THEN CAST({u} AS DOUBLE) + CAST({v - u} AS DOUBLE) * (place - CAST({a} AS DOUBLE)) / CAST({b - a!r} AS DOUBLE)" for (a, u), (b, v) in zip(stops, stops[1:], strict=False))
-    return f"CASE {cases} END"
+    return "(" + re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)", r"CAST(\1 AS DOUBLE)", JET_SQL[c]) + ")"
 
 
 def _turbo_sql(c: str) -> str:
     found = "CAST(0 AS DOUBLE)"
-    for factor in reversed(indices.TURBO[c]):
+    for factor in TURBO_SQL[c]:
         found = f"({found} * place + CAST({factor} AS DOUBLE))"
     return found
 
@@ -191,9 +216,16 @@ def _(spark, d):
     return fx.tiles(spark, d).select("image_id", "x", "y", X.quantise(F.col("red")).alias("red8"), X.quantise(F.col("red"), 65535).alias("red16"))
 
 
-@query("p19_noise")
+def _unit_sql(k: int) -> str:
+    return f"((CAST('0x' || substr(md5(image_id || ':' || x || ':' || y || ':42:{k}'), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+
+
+NOISE_SQL = f"(nir + sqrt(ln({_unit_sql(1)}) * -2) * cos({_unit_sql(2)} * CAST(6.283185307179586 AS DOUBLE)) * CAST(0.01 AS DOUBLE))"
+
+
+@query("p19_noise", with_("bands") + f"SELECT {PX}, round({clip_sql(NOISE_SQL)}, 6) AS nir FROM bands")
 def _(spark, d):
-    return bands.add_noise(jobs.index_table(fx.pixels(spark, d)), "nir", std=0.01, seed=42).select("image_id", "x", "y", "nir")
+    return r6(bands.add_noise(jobs.index_table(fx.pixels(spark, d)), "nir", std=0.01, seed=42).select("image_id", "x", "y", "nir"), "nir")
 
 
 @query("p26_selected_indices", STACK + f"SELECT {', '.join(KEY)}, gndvi, evi FROM stack")
@@ -398,6 +430,13 @@ def _(spark, d):
     return parsed.select(F.col("path").cast("bigint").alias("version"), "name", "category", *[materials.reflectance(b).alias(b.lower()) for b in ("Red", "Green", "NIR")], *materials.SCALARS, "problem")
 
 
+@query("s2_material_problems", with_("materials") + "SELECT version, CASE WHEN version % 10 = 3 THEN 'unknown key' WHEN version % 10 = 7 THEN 'not an object' WHEN version % 10 = 9 THEN 'missing name or category' END AS problem FROM materials WHERE version % 10 IN (3, 7, 9)")
+def _(spark, d):
+    made = materials.to_json(fx.materials(spark, d)).select(F.col("version").cast("string").alias("path"), (F.col("version") % 10).alias("k"), "body")
+    spoilt = F.when(F.col("k") == 3, F.regexp_replace("body", "^\\{", '{"colour":1,')).when(F.col("k") == 7, F.lit("[1]")).when(F.col("k") == 9, F.lit('{"name":"nameless"}')).otherwise(F.col("body"))
+    return materials.parse_materials(made.select("path", spoilt.alias("body"))).where("problem is not null").select(F.col("path").cast("bigint").alias("version"), "problem")
+
+
 @query("p24_reflectance_access", with_("materials") + "SELECT name, version, red, coalesce(nir, 0) AS nir, CAST(0 AS DOUBLE) AS swir, CAST(0.5 AS DOUBLE) AS green_set, CASE WHEN nir IS NULL THEN 'Green,Red' ELSE 'Green,NIR,Red' END AS bands FROM materials")
 def _(spark, d):
     m = fx.materials(spark, d)
@@ -471,7 +510,7 @@ def _(spark, d):
     return materials.names(fx.materials(spark, d))
 
 
-@query("l3_random_pick")
+@query("l3_random_pick", with_("materials") + "SELECT category, name, version FROM latest QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5(name || ':42'), name) = 1")
 def _(spark, d):
     return materials.random_pick(materials.latest(fx.materials(spark, d)), seed=42).select("category", "name", "version")
 
@@ -507,6 +546,17 @@ def _(spark, d):
     return sensors.with_wavelengths(long, both).groupBy("sensor", "band", "center").agg(F.count("*").alias("n"))
 
 
+@query("j1_band_counts", with_("sensors") + "SELECT sensor, count(*) AS n_bands, min(center) AS shortest, max(center) AS longest FROM sensors GROUP BY sensor")
+def _(spark, d):
+    return sensors.band_counts(fx.sensors(spark, d))
+
+
+@query("f9_has_band", with_("sensors") + ", asked AS (SELECT DISTINCT 'sensor' || s_suppkey AS sensor, band FROM supplier, (VALUES ('B1'), ('B3'), ('B5'), ('Red')) b(band)) SELECT a.sensor, a.band, s.band IS NOT NULL AS found, s.center FROM asked a LEFT JOIN sensors s ON s.sensor = a.sensor AND s.band = a.band")
+def _(spark, d):
+    asked = fx.sensors(spark, d).select("sensor").distinct().withColumn("band", F.explode(F.array(*map(F.lit, ("B1", "B3", "B5", "Red")))))
+    return sensors.has_band(fx.sensors(spark, d), asked).select("sensor", "band", "found", "center")
+
+
 # ---- catalogue ------------------------------------------------------------------------------------------------------
 
 META = "idx, 'samples' AS dataset, '1.0' AS version, name AS image, stem, suffix, false AS synthetic, 'RGB' AS sensor, 'TreePolygons' AS annotations"
@@ -615,6 +665,15 @@ def _(spark, d):
     return catalog.to_ingest(s, catalog.with_names(s).where("idx % 5 = 0 and idx % 3 = 0")).select("idx", "name")
 
 
+@query("s10_idempotent_append", with_("image_samples") + ", early AS (SELECT name, min(idx) AS idx, 0 AS batch FROM named WHERE idx % 4 = 1 AND idx % 3 = 0 GROUP BY name), late AS (SELECT name, min(idx) AS idx, 1 AS batch FROM named WHERE name NOT IN (SELECT name FROM early) GROUP BY name) SELECT * FROM early UNION ALL SELECT * FROM late")
+def _(spark, d):
+    s, folder = fx.image_samples(spark, d), new_folder(spark)
+    arrived = [s.where("idx % 4 = 1 and idx % 3 = 0"), s, s, s]
+    for batch, samples in zip((0, 1, 1, 2), arrived, strict=True):  # batch 1 is run again, batch 2 brings nothing new
+        catalog.append_new(samples, folder, batch)
+    return catalog.ingested(spark, folder, s.schema).select("name", "idx", "batch")
+
+
 @query("j3_anti_join", INGEST.replace("SELECT idx, name FROM firsts", "SELECT count(*) AS n_new, CAST(sum(idx) AS BIGINT) AS idx_sum FROM firsts"))
 def _(spark, d):
     s = fx.image_samples(spark, d)

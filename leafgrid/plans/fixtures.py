@@ -55,6 +55,12 @@ def image_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band tables of as many sensors as there are suppliers, two to five bands each."""
+    bands = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS i", "explode(sequence(1, cast(2 + s_suppkey % 4 as int))) AS k")
+    return bands.selectExpr("concat('sensor', i) AS sensor", "concat('B', k) AS band", "400D + (i * 37 + k * 61) % 500 AS center", "10D + k AS bandwidth")
+
+
 RING = ((10, 0), (9, 5), (5, 9), (0, 10), (-5, 9), (-9, 5), (-10, 0), (-9, -5), (-5, -9), (0, -10), (5, -9), (9, -5))
 
 
@@ -101,6 +107,7 @@ latest AS (SELECT * FROM materials QUALIFY row_number() OVER (PARTITION BY name
 CASE o_orderkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.tif' WHEN 3 THEN '.jpeg' ELSE '.txt' END) AS image FROM orders),
 named0 AS (SELECT *, regexp_extract(image, '([^/]*)$', 1) AS name FROM image_samples), named1 AS (SELECT *, regexp_extract(name, '.(\\.[^.]+)$', 1) AS suffix FROM named0),
 named AS (SELECT *, left(name, length(name) - length(suffix)) AS stem FROM named1)""",
+    "sensors": "sensors AS (SELECT 'sensor' || i AS sensor, 'B' || k AS band, CAST(400 AS DOUBLE) + (i * 37 + k * 61) % 500 AS center, CAST(10 AS DOUBLE) + k AS bandwidth FROM (SELECT s_suppkey AS i, unnest(range(1, 3 + s_suppkey % 4)) AS k FROM supplier))",
     "polygons": "ring AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(RING)) + ") t(seq, dx, dy)), polygons AS (SELECT s_suppkey AS image_id, seq, CAST(24 + s_suppkey % 7 + dx AS INTEGER) AS x, CAST(24 + s_suppkey % 11 + dy AS INTEGER) AS y FROM supplier, ring WHERE seq < 8 + s_suppkey % 5)",
 }
 

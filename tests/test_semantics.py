@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafgrid.functions import expressions as X
 from leafgrid.functions.geometry import RunCells, ring_length, simplify, trace
-from leafgrid.operators import audit, bands, catalog, indices, materials, morphology, objects
+from leafgrid.operators import audit, bands, catalog, indices, materials, morphology, objects, sensors, tiles
 from leafgrid.plans import jobs
 from leafgrid.sources import materials as material_files
 from leafgrid.sources import pixels as images
@@ -394,3 +394,47 @@ def test_image_stream_keeps_dead_letters(spark, tmp_path):
     got = spark.read.parquet(sink).groupBy("name").count()
     assert dict(map(tuple, got.collect())) == {f"a{k}.png": 6 for k in range(5)} | {"c.png": 2}
     assert [tuple(r) for r in spark.read.parquet(dead).select("name", "length").collect()] == [("b.png", 6)]
+
+
+@pytest.mark.parametrize("size", [3, 8, 100])
+def test_tiled_bands_equal_those_of_whole_images(spark, size):
+    """Images smaller than a halo, not a multiple of the tile, on either scale, and a constant one."""
+    rng = np.random.default_rng(size)
+    rows = [(1, x, y, *map(int, rng.integers(0, 256, 3))) for x in range(13) for y in range(10)]
+    rows += [(2, x, y, *map(int, rng.integers(0, 2, 3))) for x in range(9) for y in range(9)]
+    rows += [(3, 0, 0, 5, 90, 7), (4, 0, 0, 9, 9, 9), (4, 1, 0, 9, 9, 9)]
+    px = pixel_table(spark, rows)
+    table = lambda df: {tuple(r)[:3]: tuple(r)[3:] for r in df.select("image_id", "x", "y", *bands.BANDS).collect()}
+    want, got = table(bands.derive_bands(px)), table(tiles.tiled_bands(px, size))
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], rtol=0, atol=1e-12) for k in want)
+
+
+def test_append_is_idempotent(spark, tmp_path):
+    samples = spark.createDataFrame([(2, "/a/x.png"), (1, "/b/x.png"), (3, "/a/y.png")], "idx bigint, image string")
+    folder = str(tmp_path / "made")
+    rows = lambda: sorted(map(tuple, catalog.ingested(spark, folder, samples.schema).select("name", "idx", "batch").collect()))
+    assert rows() == []
+    catalog.append_new(samples.where("idx < 3"), folder, 0)
+    catalog.append_new(samples, folder, 1)
+    want = [("x.png", 1, 0), ("y.png", 3, 1)]
+    assert rows() == want
+    for batch in (1, 0, 2):
+        catalog.append_new(samples.where("idx < 3") if batch == 0 else samples, folder, batch)
+        assert rows() == want
+
+
+def test_bands_of_sensors(spark):
+    table = sensors.sensor_bands(spark)
+    assert sensors.band(table, "drone", "NIR")["center"] == 842.0
+    for sensor, name in (("drone", "SWIR"), ("other", "NIR")):
+        with pytest.raises(KeyError):
+            sensors.band(table, sensor, name)
+    asked = spark.createDataFrame([("drone", "Red"), ("drone", "red")], "sensor string, band string")
+    assert dict(sensors.has_band(table, asked).select("band", "found").collect()) == {"Red": True, "red": False}
+
+
+def test_hashed_noise_is_normal_and_repeats(spark):
+    df = spark.range(20_000).withColumn("v", X.normal_noise(7, "id"))
+    mean, std, far = df.agg(F.avg("v"), F.stddev("v"), F.avg((F.abs("v") > 1.96).cast("double"))).first()
+    assert abs(mean) < 0.03 and abs(std - 1) < 0.03 and abs(far - 0.05) < 0.01
+    assert sorted(df.repartition(7).collect()) == sorted(df.collect())
