@@ -9,10 +9,12 @@ aside chance agreement of placeholders.
 A pair that this strict rule does not match is judged once more by a wider one. Windows are also looked up with names
 as lower-case literals; items with fewer than ``WINDOW`` words, and windows with fewer than ``LITERALS`` literal words,
 by their exact words; two values of the item may become one in the document; and where an alignment is not consistent,
-its verbatim windows still count. So a verbatim copy always matches, whatever its case and spacing.
+its verbatim windows still count. So a verbatim copy always matches, whatever its case and spacing. An item with fewer
+than ``SHORT`` words ("yes", "the river") says nothing inside a text: it matches only texts that have no other words.
 
 The windows of the benchmark are looked up inside each document's row while they number at most ``LITERAL_LIMIT``
-(their size is checked); beyond that, exploded windows meet them in a shuffled join.
+(their size is checked); beyond that, exploded windows meet them in a join. Their table is written, so Spark knows its
+size and chooses how to join, and splits a hot window.
 
 Defined results: null or empty texts and items match nothing. A pair of the strict rule reports that rule's figures.
 Rows that share a doc_id count as one document, a null doc_id as one more. Extra columns are ignored.
@@ -26,28 +28,34 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WINDOW = 8
 LITERALS = 4
 #: Matched windows that make a match, or all windows of a shorter item (in the wider rule all that are templates, if any).
 MATCHED = 4
+#: Words that an item needs to be looked for inside a longer text.
+SHORT = 4
 LITERAL_LIMIT = 50_000
 
 # Units of measure that have no other common meaning.
 UNITS = ("kg", "mg", "km", "cm", "mm", "ml", "mph", "kmh", "kwh", "lb", "lbs", "oz", "ft", "percent", "dollars", "euros", "pounds", "meters", "metres", "miles", "kilometers", "kilograms", "grams", "liters", "litres", "hours", "minutes", "seconds", "%", "$", "€", "£", "°")
+# Numbers written as one word.
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
 NAME_MARK = "\u0001"
 
 
 def words(text: Column) -> Column:
-    """Lower-case words; a name keeps a mark in front."""
+    """Lower-case words; a name keeps a mark in front, and thousands are not parted from their number."""
+    for _ in range(2):  # neighbouring commas take turns
+        text = F.regexp_replace(text, "([0-9]),([0-9]{3})", "$1$2")
     marked = F.regexp_replace(text, r"([\p{Ll},;] )(?=\p{Lu})", "$1" + NAME_MARK)
     return F.filter(F.split(F.lower(marked), "[^\\p{L}\\p{N}" + NAME_MARK + "%$€£°]+"), lambda w: w != "")
 
 
 def slot(word: Column) -> Column:
     """1 for a number, 2 for a name, 3 for a unit, 0 for a literal word."""
-    return F.when(word.between("0", "9~"), 1).when(word.startswith(NAME_MARK), 2).when(word.isin(*UNITS), 3).otherwise(0)
+    return F.when(word.between("0", "9~") | word.isin(*NUMBERS), 1).when(word.startswith(NAME_MARK), 2).when(word.isin(*UNITS), 3).otherwise(0)
 
 
 def template(word: Column) -> Column:
@@ -103,11 +111,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that match: windows matched and slots replaced."""
     spark = docs.sparkSession
-    items = benchmark_windows(benchmark).cache()
+    items = materialize(benchmark_windows(benchmark), "windows")
     known = [r["hash"] for r in items.select("hash").distinct().limit(LITERAL_LIMIT + 1).collect()]
     exact = sorted(r["size"] for r in items.where("b_exact").select(F.size("b_raw").alias("size")).distinct().collect())  # at most WINDOW sizes
     if not known:
-        items.unpersist()
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, n_replaced long")
     rows = _prepared(docs, "doc_id", min([WINDOW, *exact]))
     # each size of window and the hashes by which it is looked up
@@ -132,9 +139,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         kept = settled(rows, ["doc_id", "words", "hashes", "lower", "exact"], **{f"at{size}": wanted(size) for size in looked})
         kept = kept.where(reduce(or_, [F.size(f"at{size}") > 0 for size in looked]))
-        found = kept.select("doc_id", F.inline(F.concat(*[hits(size, F.col(f"at{size}")) for size in looked]))).join(F.broadcast(items), "hash")
+        found = kept.select("doc_id", F.size("words").alias("n_words"), F.inline(F.concat(*[hits(size, F.col(f"at{size}")) for size in looked]))).join(items, "hash")
     else:
-        found = rows.select("doc_id", F.inline(F.concat(*[hits(size, places(size)) for size in looked]))).join(items, "hash")
+        found = rows.select("doc_id", F.size("words").alias("n_words"), F.inline(F.concat(*[hits(size, places(size)) for size in looked]))).join(items, "hash")
+    found = found.where((F.size("b_raw") >= SHORT) | (F.size("b_raw") == F.col("n_words")))
     pairs = F.filter(F.zip_with("raw", "b_raw", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["b"]) > 0)
     replaced = lambda name: F.size(F.filter(name, lambda p: p["a"] != p["b"]))
     by_template = F.col("strict") & F.col("b_strict")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import LITERALS, MATCHED, NAME_MARK, UNITS, WINDOW
+from .decontamination import LITERALS, MATCHED, NAME_MARK, NUMBERS, UNITS, WINDOW
 from .jaccard_join import PERCENT, SHINGLE
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,11 +22,14 @@ SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(got) AS component_
 def decontamination() -> str:
     """Matches of all documents with all items."""
     mark = f"chr({ord(NAME_MARK)})"
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    slot = f"CASE WHEN w >= '0' AND w <= '9~' THEN 1 WHEN starts_with(w, {mark}) THEN 2 WHEN w IN ({units}) THEN 3 ELSE 0 END"
+    units, numbers = (", ".join(f"'{u}'" for u in names) for names in (UNITS, NUMBERS))
+    slot = f"CASE WHEN w >= '0' AND w <= '9~' OR w IN ({numbers}) THEN 1 WHEN starts_with(w, {mark}) THEN 2 WHEN w IN ({units}) THEN 3 ELSE 0 END"
 
     def cut(table: str, key: str) -> str:
-        marked = f"regexp_replace(coalesce(text, ''), '([\\p{{Ll}},;] )(\\p{{Lu}})', '\\1' || {mark} || '\\2', 'g')"
+        joined = "coalesce(text, '')"
+        for _ in range(2):
+            joined = f"regexp_replace({joined}, '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')"
+        marked = f"regexp_replace({joined}, '([\\p{{Ll}},;] )(\\p{{Lu}})', '\\1' || {mark} || '\\2', 'g')"
         return f"SELECT {key}, list_filter(string_split_regex(lower({marked}), '[^\\p{{L}}\\p{{N}}\\x01%$€£°]+'), lambda w: w <> '') AS w FROM {table}"
 
     def windows(name: str, key: str) -> str:

@@ -240,10 +240,46 @@ def test_decontamination_finds_short_and_numeric_items(spark, monkeypatch, limit
     """A verbatim copy matches however few words or literals its item has; other numbers do not."""
     monkeypatch.setattr(decontamination, "LITERAL_LIMIT", limit)
     items = [(1, "what is 17 times 23"), (2, "add 3 and 4 and 5 6 7 8 9"), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (4, "sum of the numbers 4 5 6 7 8"), (5, "why")]
-    rows = [(10 + k, f"some words before it, {t} and some words after it") for k, t in items] + [(20, "what is 18 times 23 here"), (21, "9 9 9 9 9 9 9 9 9 9 9 9"), (22, "What is\n17 TIMES 23"), (23, "sum of the numbers 1 2 3 9 9")]
+    rows = [(10 + k, f"some words before it, {t} and some words after it") for k, t in items] + [(20, "what is 18 times 23 here"), (21, "9 9 9 9 9 9 9 9 9 9 9 9"), (22, "What is\n17 TIMES 23"), (23, "sum of the numbers 1 2 3 9 9"), (24, " Why?\n")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs_of(spark, rows + ODD), bench).collect()}
-    assert found == {(11, 1), (12, 2), (13, 3), (14, 4), (15, 5), (22, 1), (23, 4)}
+    assert found == {(11, 1), (12, 2), (13, 3), (14, 4), (22, 1), (23, 4), (24, 5)}  # "why" is too short to tell anything inside a text
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_short_answers_leave_clean_documents_alone(spark, monkeypatch, limit):
+    """Items of one to three words match texts that are nothing else; a benchmark listed twice changes nothing."""
+    monkeypatch.setattr(decontamination, "LITERAL_LIMIT", limit)
+    bench = spark.createDataFrame([(1, "the"), (2, "Yes."), (3, "17"), (4, "a b c"), (5, "the capital of France")] * 2, "item_id long, text string")
+    docs = table(spark, MORE, "documents").where("lang = 'en'").select("doc_id", "text")
+    assert decontamination.decontaminate(docs, bench).count() == docs.count()
+    rows = [(1, "Oh yes, we went home."), (2, "yes"), (3, "There were 17 of them."), (4, "THE"), (5, "Say a b c again"), (6, "It is the capital of France, they say")]
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs_of(spark, rows), bench).collect()} == {1, 3, 5}
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_decontamination_catches_each_kind_of_new_parameters(spark):
+    """Thirty questions of each kind, asked again with other values: nine in ten are found, and other questions are not."""
+    rng = random.Random(12)
+    spelt = decontamination.NUMBERS[1:20]
+    plot = lambda: words(rng, 9, 10**6).split()
+
+    def question(stem, name, a, b):
+        return " ".join([*stem[:3], name, *stem[3:5], "has", str(a), "apples", *stem[5:], "and", str(b), "pears", "left"])
+
+    items, rows = [], []
+    for kind in range(4):
+        for k in range(30):
+            stem, a, b = plot(), rng.randrange(2, 19), rng.randrange(19, 99)
+            items.append((100 * kind + k, question(stem, "Tom", a, b)))
+            again = [question(stem, "Tom", a + 100, b + 100), question(stem, "Ann", a, b), question(stem, "Tom", f"{a + 1},000", f"{b},500"), question(stem, "Tom", spelt[(a + 3) % 19], spelt[(b + 7) % 19])][kind]
+            rows.append((100 * kind + k, words(rng, 30) + " " + again + " " + words(rng, 30)))
+            rows.append((10_000 + 100 * kind + k, question(plot(), "Tom", a, b)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs_of(spark, rows), bench).collect()}
+    assert all(d == i for d, i in found)
+    for kind in range(4):
+        assert sum((100 * kind + k,) * 2 in found for k in range(30)) >= 27, kind
 
 
 def test_decontamination_with_clashing_values_and_other_case(spark):
