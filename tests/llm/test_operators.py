@@ -1,6 +1,7 @@
 """Each text operator against brute force, an exact round trip or held-out accuracy, with awkward rows."""
 
 import bisect
+import gzip
 import hashlib
 import math
 import random
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leafgrid.llm import decontamination, jaccard_join, language_id, markov_lm, packing, queries, secret_scan, suffix_dedup, toxicity, warc, weighted_fingerprint
-from leafgrid.llm.common import remainder, table
+from leafgrid.llm.common import remainder, setting, table
 
 DATA = "/root/testdata/sf0.001"
 MORE = "/root/testdata/sf0.01"  # the smallest tables hold no secrets
@@ -83,6 +84,59 @@ def test_warc_payloads_hold_anything(spark, tmp_path):
     assert {r["refers_to"]: r["block"] for r in made}["<r13>"] == "caf\ufffd x" and len(made) == 4
 
 
+def warc_record(number, payload, kind=b"response", version=b"1.0"):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    return b"WARC/%s\r\nWARC-Type: %s\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n" % (version, kind, number, len(block)) + block + b"\r\n\r\n"
+
+
+def test_warc_files_as_crawls_ship_them(spark, tmp_path):
+    """Compressed member by member, requests among responses; files that give nothing are named."""
+    records = [warc_record(k, b"page %d " % k * 50, b"request" if k % 3 == 1 else b"response") for k in range(9)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "d.warc").write_bytes(b"nothing of the kind")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    by = {n: sorted((r["record_id"], bytes(r["payload"])) for r in rows if r["file"].endswith(n)) for n in ("a.warc", "b.warc.gz", "c.warc.gz")}
+    assert by["a.warc"] == by["b.warc.gz"] == by["c.warc.gz"] and len(by["a.warc"]) == 6 and all(r["whole"] for r in rows)
+    silent = warc.silent_files(spark, str(tmp_path), warc.read_warc(spark, str(tmp_path))).collect()
+    assert [r["file"].rsplit("/", 1)[-1] for r in silent] == ["d.warc"]
+
+
+@pytest.mark.parametrize("split", [200, 1000, 1 << 20])
+def test_warc_files_in_pieces(spark, tmp_path, split):
+    """Splits anywhere, and payloads that hold whole records, which look like a start wherever a split begins."""
+    rng = random.Random(split)
+    inner = b"".join(warc_record(100 + k, b"inner" * 20) for k in range(5))
+    payloads = [rng.choice([b"x" * rng.randrange(900), inner, b"", b"\r\n\r\n" * 5]) for _ in range(25)]
+    (tmp_path / "a.warc").write_bytes(b"".join(warc_record(k, p) for k, p in enumerate(payloads)))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(split)), setting(spark, "spark.sql.files.openCostInBytes", "1"):
+        rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert {r["record_id"]: bytes(r["payload"]) for r in rows} == {f"<r{k}>": p for k, p in enumerate(payloads)} and len(rows) == 25
+
+
+def test_warc_written_records_end_strictly(spark, tmp_path):
+    made = warc.responses(spark.createDataFrame([(k, f"http://a/{k}", "<p>é</p>") for k in range(20)], "page_id long, url string, html string"))
+    warc.write_warc(warc.serialised_responses(made).coalesce(1), str(tmp_path / "w"), "gzip")
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    at = 0
+    for _ in range(20):
+        head = data.index(b"\r\n\r\n", at) + 4
+        size = int(re.search(rb"Content-Length: (\d+)", data[at:head])[1])
+        assert data[at:].startswith(b"WARC/1.0\r\n") and data[head + size : head + size + 4] == b"\r\n\r\n"
+        at = head + size + 4
+    assert at == len(data) and warc.read_warc(spark, str(tmp_path / "w")).where("whole").count() == 20
+
+
+def test_outlinks_and_character_references(spark):
+    html = """<a class="k" href="/one">1</a><A HREF="/two">2</A><a href='/three?a=1&amp;b=2'>3</a><a\nhref = /four id=x>4</a><a data-href="/no">5</a><abbr href="/no">6</abbr><a name=q>7</a>
+    <p>caf&eacute; &#233;&#xE9;&#128512; &nope; &#0; &#xD800; &#x110000; &amp;lt; a&nbsp;b &copy; &Alpha;</p>"""
+    page = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    made = {r["record_type"]: r["block"] for r in warc.derivatives(warc.responses(page)).collect()}
+    assert made["metadata"].split("\r\n")[1:] == ["outlinks: 4", "outlink: /one", "outlink: /two", "outlink: /three?a=1&b=2", "outlink: /four"]
+    assert made["conversion"].split("\n")[-1] == "café éé😀 &nope; \ufffd \ufffd \ufffd &lt; a b © Α"
+
+
 def test_warc_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a", "<p>x</p>")], "page_id long, url string, html string")
     made = warc.responses(pages).withColumns({"block": F.lit("mine"), "record_type": F.lit("mine"), "refers_to": F.lit(1), "content_type": F.lit(2)})
