@@ -45,7 +45,8 @@ CHAIN_TOKENS = 32
 COPIES = 6
 MOST_COPIES = 100
 PLANTED = 2_000
-EPOCHS = 120
+#: Steps of the fit, fewer once ``STEADY`` of them have not gained ``GAIN`` of the likelihood.
+EPOCHS, STEADY, GAIN = 120, 5, 1e-3
 
 # The base patterns, in the order in which equal starts sort.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -187,8 +188,8 @@ def decoy(rng: random.Random, word) -> str:
 def copies(text: str, base: list, of_file: list[bool], times: int = COPIES) -> Iterator[tuple[str, list[tuple[int, int]], list[bool]]]:
     """Pieces of the text with a planted value (and its span) or a decoy (none), most as if of a file without base spans."""
     rng = random.Random(zlib.crc32(text.encode("utf8", "replace")))
-    cuts = [m.end() for m in re.finditer(r"\s", text[:20_000])] or [0]
-    words = [w for w in re.findall(r"[A-Za-z]{2,}", text[:20_000]) if not KEYISH.fullmatch(w)] or ["word"]
+    cuts = [m.end() for m in re.finditer(r"\s", text)] or [0]
+    words = [w for w in re.findall(r"[A-Za-z]{2,}", text) if not KEYISH.fullmatch(w)] or ["word"]
     word = lambda: rng.choice(words).lower()
     for turn in range(2 * times if base else 1):
         at = rng.choice(cuts)
@@ -230,8 +231,9 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     packed = [(np.stack([samples[k][0] for k in ks]), np.stack([samples[k][1] for k in ks])) for ks in by_length.values()]
     first = [np.zeros_like(weight), np.zeros_like(move)]
     second = [np.zeros_like(weight), np.zeros_like(move)]
+    reached, waited = -np.inf, 0
     for epoch in range(1, EPOCHS + 1):
-        slopes = [-0.002 * weight * len(samples) / 100, -0.01 * move]
+        slopes, likelihood = [-0.002 * weight * len(samples) / 100, -0.01 * move], 0.0
         for x, y in packed:
             emit = x @ weight
             n, length = y.shape
@@ -244,6 +246,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
             behind = behind[::-1]
             total = log_sum(ahead[-1], 1)
             gold = np.eye(3)[y]
+            likelihood += (emit * gold).sum() + move[O, y[:, 0]].sum() + move[y[:, :-1], y[:, 1:]].sum() - total.sum()
             for t in range(length):
                 p = np.exp(ahead[t] + behind[t] - total[:, None])
                 slopes[0] = slopes[0] + x[:, t].T @ (gold[:, t] - p)
@@ -256,6 +259,10 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
             second[k] = 0.99 * second[k] + 0.01 * slope**2
             value += 0.15 * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.99**epoch)) + 1e-8)
         move[O, I] = -20.0
+        waited = 0 if likelihood > reached + GAIN * abs(reached) or epoch == 1 else waited + 1
+        reached = max(reached, likelihood)
+        if waited == STEADY:
+            break
     return weight, move
 
 
@@ -301,12 +308,12 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.nd
         return nothing
     spread = (F.xxhash64(F.col("doc_id"), F.lit(41)) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
     wide = rows.where(spread < min(1.0, 8 * sample / n))
-    chosen = wide.where((spread < min(1.0, sample / 2 / n)) | hint)
-    times = min(MOST_COPIES, max(COPIES, PLANTED // max(1, chosen.where(hint).count())))
+    chosen = materialize(wide.where((spread < min(1.0, sample / 2 / n)) | hint).select("text", hint.alias("hint")), "sample")
+    times = min(MOST_COPIES, max(COPIES, PLANTED // max(1, chosen.where("hint").count())))
     found = materialize(chosen.select("text").mapInArrow(lambda it: _training_chains(it, times), "x binary, y binary"), "chains")
     size = found.count()
     kept = found.where((F.xxhash64("x", "y") % 1_000_000 + 1_000_000) % 1_000_000 < 1e6 * min(1.0, SAMPLE_CHAINS / max(1, size))).toPandas()
-    discard(found)
+    discard(found, chosen)
     samples = sorted((y, x) for x, y in zip(kept["x"], kept["y"], strict=True))
     data = [(np.frombuffer(x, np.uint8).reshape(-1, N_FEATURES).astype(np.float32), np.frombuffer(y, np.uint8).astype(np.int64)) for y, x in samples]
     if not any((y != O).any() for _, y in data):
