@@ -12,7 +12,7 @@ hashes are exploded.
 
 Defined results: a null or empty text, or one of white space only, has the fingerprint "" and is alike (1) only to
 another such one. Rows that share a doc_id are ordered by their text; null ids come last. The only row of a table is its own
-next. Extra columns are ignored; equal texts have equal fingerprints.
+next. Ids are integers. Extra columns are ignored; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -39,20 +39,16 @@ def term_array(text: Column) -> Column:
 
 
 def long_words(text: Column, terms: Column) -> Column:
-    """(term, length) of the words of 63 characters or more; most texts have none and are not cut again."""
+    """(term, length) of every word of 63 characters or more, in order; null for most texts, which have none and are not cut again."""
     found = F.filter(word_array(text), lambda w: F.length(w) >= 63)
-    made = F.array_distinct(F.transform(found, lambda w: F.struct(term_of(w).alias("term"), F.length(w).alias("length"))))
+    made = F.sort_array(F.transform(found, lambda w: F.struct(term_of(w).alias("term"), F.length(w).alias("length"))))
     return F.when(F.exists(terms, lambda t: t.bitwiseAND(F.lit(63)) == 63), made)
 
 
-def length_of(term: Column, long: Column) -> Column:
-    low = term.bitwiseAND(F.lit(63))
-    return F.when(low < 63, low).otherwise(F.get(F.filter(long, lambda x: x["term"] == term), F.lit(0))["length"])
-
-
-def counted(terms: Column, ends: Column) -> Column:
-    """Array of (term, count) from the sorted array and the places where its runs end."""
-    return F.transform(ends, lambda p, j: F.struct(F.get(terms, p - 1).alias("term"), (p - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("n")))
+def counted(terms: Column, ends: Column, length) -> Column:
+    """Array of (term, count, length) from a sorted array and the places where its runs end."""
+    row = lambda t, n: F.struct(*length(t), n.alias("n"))
+    return F.transform(ends, lambda p, j: row(F.get(terms, p - 1), p - F.coalesce(F.get(ends, j - 1), F.lit(0))))
 
 
 def run_ends(terms: Column) -> Column:
@@ -127,9 +123,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     bodies = rows.select("bucket", "rn", "halo", "doc_id", F.length("text").cast("long").alias("n_chars"), F.inline(variants))
     keys = ["bucket", "rn", "halo", "doc_id", "n_chars", "which"]
     bags = bodies.select(*keys, "body", F.when(F.col("which") == 1, F.sha2("body", 256)).alias("sha"), F.inline(F.array(F.struct(term_array(F.col("body")).alias("terms")))))
-    bags = bags.select(*keys, "sha", "terms", F.inline(F.array(F.struct(run_ends(F.col("terms")).alias("ends"), long_words(F.col("body"), F.col("terms")).alias("long")))))
-    terms = bags.select(*keys, "sha", "long", F.inline_outer(counted(F.col("terms"), F.col("ends"))))
-    weighed = terms.select(*keys, "sha", "term", F.log((F.col("n") * length_of(F.col("term"), F.col("long"))).cast("double")).alias("ln_weight"))
+    bags = bags.select(*keys, "sha", "terms", F.inline(F.array(F.struct(long_words(F.col("body"), F.col("terms")).alias("long")))))
+    short = F.when(F.col("long").isNull(), F.col("terms")).otherwise(F.filter("terms", lambda t: t.bitwiseAND(F.lit(63)) < 63))
+    bags = bags.select(*keys, "sha", "long", F.inline(F.array(F.struct(short.alias("terms")))))
+    bags = bags.select(*keys, "sha", "long", "terms", F.inline(F.array(F.struct(run_ends(F.col("terms")).alias("ends"), run_ends(F.col("long")).alias("long_ends")))))
+    few = counted(F.col("terms"), F.col("ends"), lambda t: (t.alias("term"), t.bitwiseAND(F.lit(63)).alias("length")))
+    many = counted(F.col("long"), F.col("long_ends"), lambda t: (t["term"].alias("term"), t["length"].cast("long").alias("length")))
+    terms = bags.select(*keys, "sha", F.inline_outer(F.when(F.col("long").isNull(), few).otherwise(F.concat(few, many))))
+    weighed = terms.select(*keys, "sha", "term", F.log((F.col("n") * F.col("length")).cast("double")).alias("ln_weight"))
     signed = weighed.groupBy(*keys, "sha").agg(*draws(samples)).select(*keys, "sha", F.array(*[F.col(f"s{k}") for k in range(samples)]).alias("signature"))
     order = Window.partitionBy("bucket").orderBy("rn", "which")
     written = lambda c: F.when(F.get(c, F.lit(0)).isNull(), "").otherwise(F.concat_ws("", F.transform(c, lambda s: F.lpad(F.hex(s.bitwiseAND(F.lit(4294967295))), 8, "0"))))
