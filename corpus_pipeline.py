@@ -1,4 +1,10 @@
-"""Cleaning and packing of the documents in five stages, each written as Parquet and read again by the next."""
+"""Cleaning and packing of the documents in five stages, each written as Parquet and read again by the next.
+
+Defined results of all stages but the last, which return the columns of documents: null and empty texts are kept, as they
+match and say nothing; rows that repeat an id are judged by their own texts and stay or go together but for repeats of
+one text; rows without an id are judged by their text. Ties between copies go to the smallest id. Columns of any name pass
+through as they are, and an empty table stays empty. Packing gives each row its pieces.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import decontamination, jaccard_join, packing, secret_scan, toxicity
-from leafgrid.llm.common import materialize, table
+from leafgrid.llm.common import discard, materialize, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table is removed once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
