@@ -194,12 +194,37 @@ def _palette_sql(level) -> str:
     return f"palette AS (SELECT code, {channels} FROM (SELECT CAST(range AS INTEGER) AS code, range / CAST(255 AS DOUBLE) AS place FROM range(256)))"
 
 
-@query("p17_jet_preview", BATCH + f", {_palette_sql(_jet_sql)}, coded AS (SELECT *, CAST(least(floor({clip_sql('((ndvi + CAST(0.2 AS DOUBLE)) / CAST(1.2 AS DOUBLE))')} * 256), 255) AS INTEGER) AS code FROM ndvi) SELECT {PX}, pr, pg, pb FROM coded JOIN palette USING (code)")
-def _(spark, d):
+JET_PREVIEW = BATCH + f", {_palette_sql(_jet_sql)}, coded AS (SELECT *, CAST(least(floor({clip_sql('((ndvi + CAST(0.2 AS DOUBLE)) / CAST(1.2 AS DOUBLE))')} * 256), 255) AS INTEGER) AS code FROM ndvi) SELECT {PX}, pr, pg, pb FROM coded JOIN palette USING (code)"
+
+
+def _jet_preview(spark, d):
     shown = jobs.batch_index(fx.pixels(spark, d)).withColumn("code", indices.fraction_code(X.preview(F.col("ndvi"))))
     return shown.join(F.broadcast(indices.jet_palette(spark)), "code").select("image_id", "x", "y", "pr", "pg", "pb")
 
 
+@query("p17_jet_preview", JET_PREVIEW)
+def _(spark, d):
+    return _jet_preview(spark, d)
+
+
+def _read_back(spark, folder) -> DataFrame:
+    back = images.explode_pixels(images.read_images(spark, folder), ["name"])
+    return back.withColumn("image_id", F.regexp_extract("name", "^[0-9]+", 0).cast("bigint"))
+
+
+@query("s7_preview_files", JET_PREVIEW)
+def _(spark, d):
+    files.write_files(files.png_bodies(files.pictures(_jet_preview(spark, d), ("pr", "pg", "pb"))), folder := new_folder(spark))
+    return _read_back(spark, folder).select("image_id", "x", "y", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb"))
+
+
+@query("s8_mask_files", with_("closed") + f"SELECT {PX}, mask FROM closed")
+def _(spark, d):
+    mask = morphology.vegetation_mask(fx.pixels(spark, d)).select("image_id", "x", "y", "mask")
+    files.write_files(files.png_bodies(files.pictures(mask, ("mask",))), folder := new_folder(spark))
+    return _read_back(spark, folder).select("image_id", "x", "y", F.col("r").alias("mask"))
+
+
 @query("s7_colour_preview", STACK + f", {_palette_sql(_turbo_sql)}, coded AS (SELECT *, CAST(trunc(CAST(255 AS DOUBLE) * ((ndvi + 1) / 2)) AS INTEGER) AS code FROM stack) SELECT {', '.join(KEY)}, pr, pg, pb FROM coded JOIN palette USING (code)")
 def _(spark, d):
     shown = sinks.preview_colours(indices.with_indices(fx.samples(spark, d), ["ndvi"]), KEY, "ndvi", indices.turbo_palette(spark))
