@@ -92,15 +92,11 @@ def releasing(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., It
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for the jobs run inside, where rows are heavy."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
-    try:
+def small_batches(spark: SparkSession, rows: int, size: int = 4 << 20):
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes for the jobs run inside, where rows are heavy."""
+    key = "spark.sql.execution.arrow.max{}PerBatch".format
+    with setting(spark, key("Records"), str(rows)), setting(spark, key("Bytes"), str(size)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:
