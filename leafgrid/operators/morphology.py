@@ -57,11 +57,11 @@ def tiled(pixels: DataFrame, size: int, halo: int) -> DataFrame:
     return spread.withColumn("core", core)
 
 
-def tiled_vegetation_mask(pixels: DataFrame, size: int, threshold: float = 0.25, k: int = 5) -> DataFrame:
-    """Same mask for images too large for one task: extrema first, then windows inside tiles.
+def scaled_green(pixels: DataFrame) -> DataFrame:
+    """Column exg, excess green stretched within the image, without a window: the extrema come from one aggregate.
 
-    One aggregate gives the extrema of both scales. It is written out, so Spark broadcasts it only where its size allows;
-    beyond that the join is one of two plain tables, whose hot images adaptive execution splits.
+    It is written out, so Spark broadcasts it only where its size allows; beyond that the join is one of two plain tables,
+    whose hot images adaptive execution splits.
     """
     of = lambda unit: unit("g") * 2 - unit("r") - unit("b")
     scales = {"byte": of(lambda c: F.col(c) / F.lit(255.0)), "plain": of(lambda c: F.col(c).cast("double"))}
@@ -69,8 +69,26 @@ def tiled_vegetation_mask(pixels: DataFrame, size: int, threshold: float = 0.25,
     pick = lambda byte, plain: F.when(F.col("peak") > 1, byte).otherwise(plain)
     ends = keep(ends.select("image_id", "peak", *[pick(F.col(f"{n}_byte"), F.col(f"{n}_plain")).alias(n) for n in ("low", "top")]), "extrema")
     green = pixels.join(ends, "image_id").withColumn("exg", pick(scales["byte"], scales["plain"]))
-    scaled = green.withColumn("exg", (F.col("exg") - F.col("low")) / (F.col("top") - F.col("low") + F.lit(1e-6)))
-    cut = threshold_mask(scaled, "exg", threshold).select("image_id", "x", "y", "mask").transform(lambda d: tiled(d, size, 4 * (k // 2)))
+    return green.withColumn("exg", (F.col("exg") - F.col("low")) / (F.col("top") - F.col("low") + F.lit(1e-6)))
+
+
+def tiled_vegetation_mask(pixels: DataFrame, size: int, threshold: float = 0.25, k: int = 5) -> DataFrame:
+    """Same mask for images too large for one task: extrema first, then windows inside tiles with a halo."""
+    cut = threshold_mask(scaled_green(pixels), "exg", threshold).select("image_id", "x", "y", "mask").transform(lambda d: tiled(d, size, 4 * (k // 2)))
     named = cut.withColumn("whole", F.col("image_id")).withColumn("image_id", F.struct("image_id", "tile_x", "tile_y"))
     clean = closing(opening(named.repartition("image_id"), k=k), k=k)
     return clean.where("core").select(F.col("whole").alias("image_id"), "x", "y", "mask")
+
+
+def vegetation_mask_by_lines(pixels: DataFrame, threshold: float = 0.25, k: int = 5) -> DataFrame:
+    """Same mask for images too large for one task, without tiles: a task holds single lines and columns.
+
+    Opening and closing are an erosion, two dilations and an erosion. The dilations merge into one of twice the reach, and
+    as each step may take its two axes in either order, lines and columns alternate three times only: no pixel is copied.
+    """
+    low, high = -(k // 2), k - 1 - k // 2
+    made = threshold_mask(scaled_green(pixels), "exg", threshold).select("image_id", "x", "y", "mask")
+    steps = [(along_x, F.min, 1), (along_y, F.min, 1), (along_y, F.max, 2), (along_x, F.max, 2), (along_x, F.min, 1), (along_y, F.min, 1)]
+    for along, pick, reach in steps:
+        made = made.withColumn("mask", pick("mask").over(along().rangeBetween(reach * low, reach * high)))
+    return made

@@ -326,6 +326,11 @@ def _(spark, d):
     return morphology.tiled_vegetation_mask(fx.pixels(spark, d), size=16)
 
 
+@query("w6_mask_by_lines", with_("closed") + f"SELECT {PX}, mask FROM closed")
+def _(spark, d):
+    return morphology.vegetation_mask_by_lines(fx.pixels(spark, d))
+
+
 @query("a9_mask_values", with_("closed") + "SELECT image_id, mask AS value, count(*) AS n FROM closed GROUP BY image_id, mask")
 def _(spark, d):
     return audit.distinct_values(morphology.vegetation_mask(fx.pixels(spark, d)))

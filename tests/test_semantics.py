@@ -108,6 +108,9 @@ def test_mask_is_the_same_for_any_partitioning_and_tiling(spark):
     want = sorted(map(tuple, morphology.vegetation_mask(df, k=3).select("image_id", "x", "y", "mask").collect()))
     assert sorted(map(tuple, morphology.vegetation_mask(df.repartition(7), k=3).select("image_id", "x", "y", "mask").collect())) == want
     assert sorted(map(tuple, morphology.tiled_vegetation_mask(df, size=8, k=3).collect())) == want
+    for k in (2, 3, 4, 5):
+        want = sorted(map(tuple, morphology.vegetation_mask(df, k=k).select("image_id", "x", "y", "mask").collect()))
+        assert sorted(map(tuple, morphology.vegetation_mask_by_lines(df, k=k).collect())) == want
 
 
 def flood(grid):
@@ -336,6 +339,12 @@ def test_box_outline_makes_its_own_cells(spark):
     assert got == sorted(want)
 
 
+def test_mask_by_lines_alternates_three_times(spark):
+    px = pixel_table(spark, [(1, x, y, 1, 2, 3) for x in range(3) for y in range(3)])
+    plan = morphology.vegetation_mask_by_lines(px)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(image_id") == 4 and "Generate" not in plan
+
+
 def test_tiled_mask_shuffles_pixels_only_into_tiles(spark):
     px = pixel_table(spark, [(1, x, y, 1, 2, 3) for x in range(3) for y in range(3)])
     plan = morphology.tiled_vegetation_mask(px, size=2)._jdf.queryExecution().executedPlan().toString()
