@@ -47,15 +47,18 @@ NAME_MARK = "\u0001"
 
 def words(text: Column) -> Column:
     """Lower-case words; a name keeps a mark in front, and thousands are not parted from their number."""
+    joined = text
     for _ in range(2):  # neighbouring commas take turns
-        text = F.regexp_replace(text, "([0-9]),([0-9]{3})", "$1$2")
+        joined = F.regexp_replace(joined, "([0-9]),([0-9]{3})", "$1$2")
+    text = F.when(F.regexp_like(text, F.lit("[0-9],[0-9]{3}")), joined).otherwise(text)
     marked = F.regexp_replace(text, r"([\p{Ll},;] )(?=\p{Lu})", "$1" + NAME_MARK)
     return F.filter(F.split(F.lower(marked), "[^\\p{L}\\p{N}" + NAME_MARK + "%$€£°]+"), lambda w: w != "")
 
 
 def slot(word: Column) -> Column:
     """1 for a number, 2 for a name, 3 for a unit, 0 for a literal word."""
-    return F.when(word.between("0", "9~") | word.isin(*NUMBERS), 1).when(word.startswith(NAME_MARK), 2).when(word.isin(*UNITS), 3).otherwise(0)
+    listed = F.when(word.isin(*NUMBERS), 1).otherwise(3)
+    return F.when(word.between("0", "9~"), 1).when(word.startswith(NAME_MARK), 2).when(word.isin(*NUMBERS, *UNITS), listed).otherwise(0)
 
 
 def template(word: Column) -> Column:
@@ -79,10 +82,16 @@ def settled(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def _prepared(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """Words of texts that have ``least`` or more, and their hashes: templates, templates with names as literals, words."""
+def _prepared(rows: DataFrame, key: str, least: int, exact: bool = True) -> DataFrame:
+    """Words of texts that have ``least`` or more, and their hashes: templates, templates with names as literals, words.
+
+    Texts without names have one template for both; ``exact`` tells whether the words' own hashes are asked for.
+    """
     raw = settled(rows, [key], words=words(F.col("text"))).where(F.size("words") >= least)
-    return settled(raw, [key, "words"], hashes=F.transform("words", template), lower=F.transform("words", lambda w: template(plain(w))), exact=F.transform("words", lambda w: F.xxhash64(plain(w))))
+    made = settled(raw, [key, "words"], hashes=F.transform("words", template), named=F.exists("words", lambda w: w.startswith(NAME_MARK)))
+    lower = F.when(F.col("named"), F.transform("words", lambda w: template(plain(w)))).otherwise(F.col("hashes"))
+    own = F.transform("words", lambda w: F.xxhash64(plain(w))) if exact else F.array().cast("array<bigint>")
+    return settled(made, [key, "words", "hashes", "named"], lower=lower, exact=own)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -116,7 +125,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     exact = sorted(r["size"] for r in items.where("b_exact").select(F.size("b_raw").alias("size")).distinct().collect())  # at most WINDOW sizes
     if not known:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, n_replaced long")
-    rows = _prepared(docs, "doc_id", min([WINDOW, *exact]))
+    rows = _prepared(docs, "doc_id", min([WINDOW, *exact]), bool(exact))
     # each size of window and the hashes by which it is looked up
     looked = {size: ["exact"] for size in exact} | {WINDOW: ["hashes", "lower"] + ["exact"] * (WINDOW in exact)}
 
@@ -135,7 +144,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if len(known) <= LITERAL_LIMIT:
 
         def wanted(size: int) -> Column:
-            return F.filter(places(size), lambda i: reduce(or_, [window_hash(F.col(name), i, size).isin(known) for name in looked[size]]))
+            def asked(name: str, i: Column) -> Column:
+                found = window_hash(F.col(name), i, size).isin(known)
+                return F.col("named") & found if name == "lower" else found  # without names both templates are one
+
+            return F.filter(places(size), lambda i: reduce(or_, [asked(name, i) for name in looked[size]]))
 
         kept = settled(rows, ["doc_id", "words", "hashes", "lower", "exact"], **{f"at{size}": wanted(size) for size in looked})
         kept = kept.where(reduce(or_, [F.size(f"at{size}") > 0 for size in looked]))
