@@ -814,4 +814,4 @@ def test_parity_bitmaps_never_hide_a_similar_pair():
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
