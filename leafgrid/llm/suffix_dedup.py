@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialize, partitions, releasing, table, utf8
+from .common import blocks, column, discard, materialize, partitions, releasing, table, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -262,12 +262,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_records: int =
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.xxhash64("doc_id"), F.lit(0))).withColumn("th", F.hash("text", "doc_id"))
     found = rows.select("key", "th", "text").mapInArrow(_anchor_rows, "gram long, key long, th int, pos long")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    twice = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     chosen = found.join(twice, "gram", "left_semi").groupBy("key", "th").agg(F.collect_set(F.struct("gram", "pos")).alias("found"))
     records = materialize(
         rows.select("key", "th", "text").join(chosen.hint("shuffle_hash"), ["key", "th"]).mapInArrow(_record_rows, "gram long, digest long, key long, th int, low long, lead long, first int, content binary, n long"),
         "records",
     )
+    discard(twice)
     contents = records.where("content is not null").select("gram", "digest", "lead", "first", "content", "n")
     hot = contents.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot_records).select("gram")
     hot = materialize(hot, "hot")
