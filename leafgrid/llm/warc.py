@@ -50,6 +50,8 @@ REFERENCE = "&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
 #: Names of HTML 4, and what a space that does not break becomes here: a space.
 NAMES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"nbsp": " "}
 UNKNOWN = "\ufffd"
+#: Names that most pages hold, which need no pattern, and what tells that a text holds others.
+COMMON, UNCOMMON = ("nbsp", "lt", "gt", "quot", "#39", "copy", "middot"), "&(#[0-9xX]|(?!amp;)[A-Za-z][A-Za-z0-9]*;)"
 
 
 def uuid_of(*parts: Column) -> Column:
@@ -71,10 +73,16 @@ def character(reference: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    """The text with its references replaced, in one pass."""
-    between, references = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), 1)
-    made = F.concat_ws("", F.flatten(F.zip_with(between, F.transform(references, character), lambda b, c: F.array(b, F.coalesce(c, F.lit(""))))))
-    return F.when(F.contains(text, F.lit("&")), made).otherwise(text)
+    """The text with its references replaced, each once: what a reference gives is not read again."""
+    for name in COMMON:  # none of these gives a sign that begins a reference
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(NAMES.get(name, "'")))
+
+    def rest(held: Column) -> Column:
+        between, references = F.split(held, REFERENCE, -1), F.regexp_extract_all(held, F.lit(REFERENCE), 1)
+        made = F.concat_ws("", F.flatten(F.zip_with(between, F.transform(references, character), lambda b, c: F.array(b, F.coalesce(c, F.lit(""))))))
+        return F.when(F.regexp_like(held, F.lit(UNCOMMON)), made).otherwise(F.replace(held, F.lit("&amp;"), F.lit("&")))
+
+    return F.get(F.transform(F.array(text), rest), F.lit(0))  # worked out once, read several times
 
 
 def outlinks(payload: Column) -> Column:
