@@ -80,14 +80,16 @@ def characters(text: Column) -> Column:
     def rest(held: Column) -> Column:
         between, references = F.split(held, REFERENCE, -1), F.regexp_extract_all(held, F.lit(REFERENCE), 1)
         made = F.concat_ws("", F.flatten(F.zip_with(between, F.transform(references, character), lambda b, c: F.array(b, F.coalesce(c, F.lit(""))))))
-        return F.when(F.regexp_like(held, F.lit(UNCOMMON)), made).otherwise(F.replace(held, F.lit("&amp;"), F.lit("&")))
+        return F.when(~F.contains(held, F.lit("&")), held).when(F.regexp_like(held, F.lit(UNCOMMON)), made).otherwise(F.replace(held, F.lit("&amp;"), F.lit("&")))
 
     return F.get(F.transform(F.array(text), rest), F.lit(0))  # worked out once, read several times
 
 
 def outlinks(payload: Column) -> Column:
     """Targets of all anchors, in order."""
-    return F.transform(F.regexp_extract_all(payload, F.lit(LINK), 1), lambda v: characters(F.regexp_replace(v, QUOTES, "")))
+    bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    found = F.transform(F.regexp_extract_all(payload, F.lit(LINK), 1), bare)
+    return F.transform(found, lambda v: F.when(F.contains(v, F.lit("&")), characters(v)).otherwise(v))
 
 
 def plain_text(html: Column) -> Column:
