@@ -116,7 +116,7 @@ def text_of(payload: Column) -> Column:
 def derivatives(records: DataFrame) -> DataFrame:
     """One metadata and one conversion record for each response, linked to it and to each other."""
     title = characters(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "[ \\t\\r\\n]+", " "))
-    links = outlinks(F.col("payload"))
+    links = F.col("links")
     fields = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}outlinks: "), F.size(links).cast("string"), F.when(F.size(links) > 0, F.concat(F.lit(CRLF), F.concat_ws(CRLF, F.transform(links, lambda u: F.concat(F.lit("outlink: "), u))))).otherwise(""))
     kept = [c for c in ("page_id", "record_id", "target_uri", "date", "http_header", "payload_digest") if c in records.columns]
     if "whole" in records.columns:
@@ -124,6 +124,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     records = records.select(*kept, "payload")
     if dict(records.dtypes)["payload"] == "binary":
         records = records.withColumn("payload", text_of(F.col("payload")))
+    records = records.select(*kept, "payload", outlinks(F.col("payload")).alias("links"))
     both = records.select(*kept, F.inline(F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block")))))
     return both.select(
         *[c for c in kept if c not in ("record_id", "http_header", "payload_digest")],
