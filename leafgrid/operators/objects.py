@@ -125,9 +125,12 @@ def at_least(objects: DataFrame, min_area: int = 500) -> DataFrame:
 
 
 def filtered_mask(mask: DataFrame, labelled: DataFrame, kept: DataFrame) -> DataFrame:
-    """255 only on objects of ``kept``; the runs turn back into pixels."""
-    on = labelled.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(255).alias("_on"))
-    return mask.select("image_id", "x", "y").join(on, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("_on", F.lit(0)).alias("mask"))
+    """255 only on objects of ``kept``; the runs turn back into pixels.
+
+    Spark sizes an exploded table by its source, so the joins are merges by hint; else it would broadcast all pixels.
+    """
+    on = labelled.join(kept.select("image_id", "label").hint("merge"), ["image_id", "label"], "left_semi").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(255).alias("_on"))
+    return mask.select("image_id", "x", "y").join(on.hint("merge"), ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("_on", F.lit(0)).alias("mask"))
 
 
 def object_counts(images: DataFrame, labelled: DataFrame) -> DataFrame:
