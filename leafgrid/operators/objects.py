@@ -142,14 +142,15 @@ def object_counts(images: DataFrame, labelled: DataFrame) -> DataFrame:
 def box_outline(pixels: DataFrame, objects: DataFrame) -> DataFrame:
     """Pixels on the one-pixel outline of detection boxes, from (x, y) to (x + w, y + h) inclusive.
 
-    Each box makes its own outline, so pixels and boxes meet on whole pixel keys.
+    Each box makes its own outline, so pixels and boxes meet on whole pixel keys, by a merge: Spark sizes an exploded table
+    by its source and would broadcast the pixels.
     """
     box = objects.select("image_id", "label", "x_min", "y_min", (F.col("x_min") + F.col("w")).alias("ex"), (F.col("y_min") + F.col("h")).alias("ey"))
     cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
     row = lambda y: F.transform(F.sequence("x_min", "ex"), lambda x: cell(x, F.col(y)))
     side = lambda x: F.transform(F.sequence("y_min", "ey"), lambda y: cell(F.col(x), y))
     outline = box.select("image_id", "label", F.inline(F.array_distinct(F.concat(row("y_min"), row("ey"), side("x_min"), side("ex")))))
-    return pixels.select("image_id", "x", "y").join(outline, ["image_id", "x", "y"]).select("image_id", "label", "x", "y")
+    return pixels.select("image_id", "x", "y").join(outline.hint("merge"), ["image_id", "x", "y"]).select("image_id", "label", "x", "y")
 
 
 def boundary(mask: DataFrame) -> DataFrame:
