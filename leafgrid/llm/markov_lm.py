@@ -20,6 +20,7 @@ included (a null id is in training). Extra columns are ignored. Without training
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,20 +56,28 @@ def tokens(text: bytes | None) -> list[bytes]:
     return found
 
 
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, signed."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
 def key_of(word: bytes) -> int:
-    """64-bit hash, signed."""
-    h = xxhash.xxh64_intdigest(word)
-    return h - 2**64 if h >> 63 else h
+    return int(keys_of([word])[0])
+
+
+def endings(words: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(zlib.crc32, [w[-3:] for w in words]), np.uint32, len(words)) % ENDINGS).astype(np.int16)
 
 
 def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
+    return int(endings([word])[0])
 
 
 @releasing
 def _cut(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of texts (doc_id, held_out, ids) and of words (place, word, ending, n in training) of each chunk."""
-    number: dict[bytes, int] = {}
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__  # a word not seen before takes the next number
     held: list[tuple] = []
     size, chunk = 0, TaskContext.get().partitionId() << 32
     schema = pa.schema([("chunk", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary()), ("place", pa.int32()), ("word", pa.int64()), ("ending", pa.int16()), ("n", pa.int64())])
@@ -79,22 +88,20 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(number), np.int64)
-        for _, held_out, ids in held:
-            if not held_out:
-                counts += np.bincount(np.frombuffer(ids, np.uint32), minlength=len(number))
+        counts = np.bincount(np.frombuffer(b"".join(ids for _, held_out, ids in held if not held_out), np.uint32), minlength=len(number))
         for k in range(0, len(held), 1000):
             docs, out, ids = zip(*held[k : k + 1000], strict=True)
             yield rows({"doc_id": docs, "held_out": out, "ids": ids})
         words = list(number)
         for k in range(0, len(words), 50_000):
             part = words[k : k + 50_000]
-            yield rows({"place": np.arange(k, k + len(part)), "word": np.fromiter(map(key_of, part), np.int64), "ending": np.fromiter(map(ending, part), np.int16), "n": counts[k : k + len(part)]})
+            yield rows({"place": np.arange(k, k + len(part)), "word": keys_of(part), "ending": endings(part), "n": counts[k : k + len(part)]})
 
     for batch in batches:
         for block in blocks(batch, "text"):
             for doc, out, text in zip(*(column(block, c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-                held.append((doc, out, np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32).tobytes()))
+                words = tokens(text)
+                held.append((doc, out, np.fromiter(map(number.__getitem__, words), np.uint32, len(words)).tobytes()))
                 size += len(text) + 16
                 if size >= CHUNK_BYTES:
                     yield from flush()
