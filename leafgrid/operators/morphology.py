@@ -125,15 +125,14 @@ def with_extrema(pixels: DataFrame, ends: DataFrame) -> DataFrame:
 def scaled_green(pixels: DataFrame) -> DataFrame:
     """Column exg, excess green stretched within the image, without a window: the extrema come from one aggregate.
 
-    It is written out, so Spark broadcasts it only where its size allows; beyond that the join is one of two plain tables,
-    whose hot images adaptive execution splits.
+    It is written out and joined by ``with_extrema``.
     """
     of = lambda unit: unit("g") * 2 - unit("r") - unit("b")
     scales = {"byte": of(lambda c: F.col(c) / F.lit(255.0)), "plain": of(lambda c: F.col(c).cast("double"))}
     ends = pixels.groupBy("image_id").agg(F.max(F.greatest("r", "g", "b")).alias("peak"), *[f(v).alias(f"{n}_{k}") for k, v in scales.items() for n, f in (("low", F.min), ("top", F.max))])
     pick = lambda byte, plain: F.when(F.col("peak") > 1, byte).otherwise(plain)
     ends = keep(ends.select("image_id", "peak", *[pick(F.col(f"{n}_byte"), F.col(f"{n}_plain")).alias(n) for n in ("low", "top")]), "extrema")
-    green = pixels.join(ends, "image_id").withColumn("exg", pick(scales["byte"], scales["plain"]))
+    green = with_extrema(pixels, ends).withColumn("exg", pick(scales["byte"], scales["plain"]))
     return green.withColumn("exg", (F.col("exg") - F.col("low")) / (F.col("top") - F.col("low") + F.lit(1e-6)))
 
 
@@ -154,6 +153,7 @@ def vegetation_mask_by_lines(pixels: DataFrame, threshold: float = 0.25, k: int
     """
     low, high = -(k // 2), k - 1 - k // 2
     made = threshold_mask(scaled_green(pixels), "exg", threshold).select("image_id", "x", "y", "mask")
+    made = made.repartition("image_id", "y")  # pixels that a join has dealt by image would stay so
     steps = [(along_x, F.min, 1), (along_y, F.min, 1), (along_y, F.max, 2), (along_x, F.max, 2), (along_x, F.min, 1), (along_y, F.min, 1)]
     for along, pick, reach in steps:
         made = made.withColumn("mask", pick("mask").over(along().rangeBetween(reach * low, reach * high)))
